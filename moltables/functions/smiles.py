@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# One heavy atom: a bracket atom that is not hydrogen, or an organic-subset symbol.
-HEAVY_ATOM = r"\[(?![0-9]*H[+-]?[0-9]*\])[^\]]+\]|Cl|Br|(?<!\[[^\]]{0,20})[BCNOPSFIbcnops]"
+# Bracket atoms, those of them that are hydrogen, and the symbols written without brackets.
+BRACKET = r"\[[^\]]+\]"
+BRACKET_HYDROGEN = r"\[[0-9]*H[+-]?[0-9]*\]"
+PLAIN_ATOM = "Cl|Br|[BCNOPSFIbcnops]"
 
 
 def simplify_smiles(s: Column) -> Column:
@@ -15,7 +17,10 @@ def simplify_smiles(s: Column) -> Column:
 
 
 def heavy_atom_count(s: Column) -> Column:
-    return F.regexp_count(s, F.lit(HEAVY_ATOM))
+    """Bracket atoms other than hydrogen plus plain symbols outside brackets."""
+    bare = F.regexp_replace(s, BRACKET, "")
+    return (F.regexp_count(s, F.lit(BRACKET)) - F.regexp_count(s, F.lit(BRACKET_HYDROGEN))
+            + F.regexp_count(bare, F.lit(PLAIN_ATOM)))
 
 
 def nanomolar_to_molar(x: Column) -> Column:

@@ -89,27 +89,24 @@ def principal_components(vectors: DataFrame, column: str, k: int = 10) -> tuple[
 
     components: component, eigenvalue, share of the kept and of the total
     variance in percent, and the running share. eigenvectors: component,
-    coordinate, value; signs make the largest entry positive. The covariance is
-    summed on the executors; only the width x width matrix, whose size is the
-    number of coordinates, is decomposed on the driver.
+    coordinate, value; signs make the largest entry positive. Rows are reduced
+    on the executors; what comes back is as wide as one vector.
     """
+    from pyspark.ml.feature import PCA
     from pyspark.ml.functions import array_to_vector
-    from pyspark.mllib.linalg import Vectors
-    from pyspark.mllib.linalg.distributed import RowMatrix
+    from pyspark.ml.stat import Summarizer
 
     rows = vectors.select(array_to_vector(F.col(column).cast("array<double>")).alias("v"))
-    mat = RowMatrix(rows.rdd.map(lambda r: Vectors.fromML(r["v"])))
-    cov = mat.computeCovariance().toArray()
-    val, vec = np.linalg.eigh(cov)
-    top = np.argsort(val)[::-1][:k]
-    val_k, vec_k = val[top], vec[:, top]
-    vec_k = vec_k * np.sign(vec_k[np.abs(vec_k).argmax(axis=0), range(len(top))])
-    kept, total = float(val_k.sum()), float(val.sum())
+    model = PCA(k=k, inputCol="v", outputCol="p").fit(rows)
+    total = float(rows.select(Summarizer.variance(F.col("v")).alias("s")).first()["s"].toArray().sum())
+    vec = model.pc.toArray()
+    val = model.explainedVariance.toArray() * total
+    vec = vec * np.sign(vec[np.abs(vec).argmax(axis=0), range(vec.shape[1])])
+    kept, run = float(val.sum()), np.cumsum(val)
     spark = vectors.sparkSession
-    run = np.cumsum(val_k)
     comp = [(i + 1, float(v), 100.0 * float(v) / kept, 100.0 * float(v) / total, 100.0 * float(run[i]) / kept)
-            for i, v in enumerate(val_k)]
-    ev = [(i + 1, c, float(vec_k[c, i])) for i in range(len(top)) for c in range(vec_k.shape[0])]
+            for i, v in enumerate(val)]
+    ev = [(i + 1, c, float(vec[c, i])) for i in range(vec.shape[1]) for c in range(vec.shape[0])]
     return (
         spark.createDataFrame(comp, "component int, eigenvalue double, variance_explained_percent double, "
                                     "variance_total_percent double, cumulative_percent double"),

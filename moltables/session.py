@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -46,6 +47,12 @@ def stable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder below the checkpoint folder, for tables written on the way."""
+    _ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -58,5 +65,7 @@ def local_session(cpus: int | None = None) -> SparkSession:
         spark__sql__shuffle__partitions=str(n),
         spark__ui__enabled="false",
         spark__driver__memory="12g",
+        spark__driver__host="127.0.0.1",
         spark__driver__bindAddress="127.0.0.1",
+        spark__ui__showConsoleProgress="false",
     )

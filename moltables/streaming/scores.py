@@ -27,11 +27,22 @@ def running_best(stream: DataFrame, compound: Column, score: str, keep: Sequence
     return stream.groupBy(compound.alias("compound")).agg(F.min(F.struct(F.col(score), *keep)).alias("best"))
 
 
-def best_score_updates(stream: DataFrame, compound: Column, score: str, keep: Sequence[str], name: str, checkpoint: str) -> StreamingQuery:
-    return (running_best(stream, compound, score, keep).writeStream.outputMode("complete").format("memory").queryName(name)
+def best_score_updates(stream: DataFrame, compound: Column, score: str, keep: Sequence[str], path: str, checkpoint: str) -> StreamingQuery:
+    """Append every improved best row to a table; ``current_best`` reads it.
+
+    A replayed batch only repeats rows, which the minimum ignores.
+    """
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.withColumn("batch", F.lit(batch_id)).write.mode("append").parquet(path)
+
+    return (running_best(stream, compound, score, keep).writeStream.outputMode("update").foreachBatch(write)
             .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
 
 
+def current_best(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path).groupBy("compound").agg(F.min("best").alias("best")).select("compound", "best.*")
+
+
 def extract_new(stream: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
     """Append every new score file once to a parquet table."""
     return (stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint)
