@@ -26,14 +26,15 @@ def strip_and_pad(s: Column, width: int) -> Column:
 def base62_value(s: Column, width: int = 8) -> Column:
     """Value of up to ``width`` base-62 symbols; null for any other symbol.
 
-    Written as a sum over positions so that it stays inside generated code.
+    A plain sum over positions counted from the end, so it stays inside
+    generated code.
     """
-    n = F.length(s)
-    total = F.lit(0).cast("bigint")
+    rev = F.reverse(s)
+    total = None
     for i in range(width):
-        symbol = F.substring(s, i + 1, 1)
-        at = F.call_function("instr", F.lit(SYMBOLS), symbol)
-        total = F.when(F.lit(i) < n, total * 62 + (at - 1)).otherwise(total)
+        at = F.call_function("instr", F.lit(SYMBOLS), F.substring(rev, i + 1, 1)).cast("bigint")
+        term = F.when(F.length(s) > i, (at - 1) * F.lit(62**i)).otherwise(F.lit(0).cast("bigint"))
+        total = term if total is None else total + term
     return F.when(s.rlike(f"^[0-9a-zA-Z]{{1,{width}}}$"), total)
 
 

@@ -63,11 +63,22 @@ def window_around(seq: Column, center: int | Column, half: int, index_base: int
 
 
 def find_exact(seq: Column, motif: str) -> Column:
-    """0-based starts of all hits, overlapping ones too."""
+    """0-based starts of all hits, overlapping ones too.
+
+    The text is cut before every hit; running lengths of the pieces are the
+    starts, so the work is linear in the text.
+    """
     m = motif.upper()
-    last = F.length(seq) - len(m)
-    starts = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
-    return F.filter(starts, lambda i: F.substring(seq, i + 1, F.lit(len(m))) == m)
+    pieces = F.split(seq, "(?=" + re.escape(m) + ")", -1)
+    empty = F.array().cast("array<int>")
+    later = F.aggregate(
+        F.slice(pieces, 1, F.size(pieces) - 1),
+        F.struct(F.lit(0).alias("at"), empty.alias("out")),
+        lambda acc, p: F.struct((acc["at"] + F.length(p)).alias("at"), F.array_append(acc["out"], acc["at"] + F.length(p)).alias("out")),
+        lambda acc: acc["out"],
+    )
+    first = F.when(seq.startswith(m), F.array(F.lit(0))).otherwise(empty)
+    return F.array_distinct(F.concat(first, F.when(F.size(pieces) > 1, later).otherwise(empty)))
 
 
 def find_regex(seq: Column, pattern: str) -> Column:
