@@ -48,7 +48,6 @@ def angle(a: Column, b: Column, c: Column) -> Column:
 def dihedral(a: Column, b: Column, c: Column, d: Column) -> Column:
     """Signed torsion in degrees; 0 when the points do not define one."""
     b1, b2, b3 = minus(b, a), minus(c, b), minus(d, c)
-    n1, n2 = cross(b1, b2), cross(b2, b3)
-    n = F.sqrt(dot(n1, n1)) * F.sqrt(dot(n2, n2))
-    size = _clamped_acos(dot(n1, n2) / n)
-    return F.when(n == 0, F.lit(0.0)).otherwise(F.when(dot(cross(n1, n2), b2) < 0, -size).otherwise(size))
+    n2 = cross(b2, b3)
+    across = F.sqrt(dot(b2, b2)) * dot(b1, n2)
+    return F.degrees(F.atan2(across + F.lit(0.0), dot(cross(b1, b2), n2)))

@@ -411,17 +411,26 @@ def _bridges(edges: list[tuple[int, int]]) -> set[int]:
 def rotatable_bonds(bonds: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Single bonds outside rings whose two ends both have further neighbours.
 
-    One molecule's bonds go to one call; molecules are small by nature.
+    Each molecule becomes one row of bond arrays (as long as the molecule), and
+    Arrow batches of molecules are searched for ring-free bonds.
     """
     types = dict(bonds.dtypes)
     keys = list(keys)
-
-    def per_molecule(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("num").reset_index(drop=True)
-        free = _bridges(list(zip(pdf["a1"].tolist(), pdf["a2"].tolist(), strict=True)))
-        degree = pd.concat([pdf["a1"], pdf["a2"]]).value_counts()
-        ok = (pdf["type"] == "1") & pdf.index.isin(list(free)) & (pdf["a1"].map(degree) > 1) & (pdf["a2"].map(degree) > 1)
-        return pdf.loc[ok, [*keys, "num", "a1", "a2"]]
-
-    schema = ", ".join(f"`{c}` {types[c]}" for c in (*keys, "num", "a1", "a2"))
-    return bonds.select(*keys, "num", "a1", "a2", "type").groupBy(*keys).applyInPandas(per_molecule, schema)
+    cell = F.struct("num", "a1", "a2", "type")
+    mols = bonds.groupBy(*keys).agg(F.array_sort(F.collect_list(cell)).alias("_b")).select(
+        *keys, *[F.col(f"_b.{c}").alias(f"_{c}") for c in ("num", "a1", "a2", "type")])
+
+    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            keep = []
+            for a1, a2, kind in zip(pdf["_a1"], pdf["_a2"], pdf["_type"], strict=True):
+                free = _bridges(list(zip(a1.tolist(), a2.tolist(), strict=True)))
+                atoms, counts = np.unique(np.concatenate([a1, a2]), return_counts=True)
+                degree = dict(zip(atoms.tolist(), counts.tolist(), strict=True))
+                keep.append([i for i in sorted(free) if kind[i] == "1" and degree[a1[i]] > 1 and degree[a2[i]] > 1])
+            yield pdf[keys].assign(_keep=keep, _num=pdf["_num"], _a1=pdf["_a1"], _a2=pdf["_a2"])
+
+    schema = ", ".join(f"`{k}` {types[k]}" for k in keys) + ", _keep array<int>"
+    arrays = ", ".join(f"_{c} array<{types[c]}>" for c in ("num", "a1", "a2"))
+    found = mols.mapInPandas(search, f"{schema}, {arrays}").select(*keys, "_num", "_a1", "_a2", F.explode("_keep").alias("_i"))
+    return found.select(*keys, *[F.get(f"_{c}", F.col("_i")).alias(c) for c in ("num", "a1", "a2")])

@@ -125,9 +125,10 @@ def projections(vectors: DataFrame, column: str, eigenvectors: DataFrame, keep:
     return d.select(*keep, F.col("_c.component").alias("component"), F.aggregate(prod, F.lit(0.0), lambda a, b: a + b).alias("projection"))
 
 
-def frame_table(torsion: DataFrame, rmsd: DataFrame, keys: Sequence[str], frame: str, timestep: float) -> DataFrame:
+def frame_table(torsion: DataFrame, rmsd: DataFrame, keys: Sequence[str], frame: str, timestep: float, keep: Sequence[str] = ()) -> DataFrame:
+    """frame, time, phi, psi and RMSD side by side; ``keep`` names further torsion columns such as the residue."""
     return torsion.join(rmsd, [*keys, frame]).select(
-        *keys, frame, (F.col(frame) * timestep).alias("time_ps"), "phi_deg", "psi_deg", "rmsd_angstrom")
+        *keys, frame, *keep, (F.col(frame) * timestep).alias("time_ps"), "phi_deg", "psi_deg", "rmsd_angstrom")
 
 
 def frame_pairs(vectors: DataFrame, ident: str, column: str, eps: float, atoms: int, pivots: int = 3) -> DataFrame:

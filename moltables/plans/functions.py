@@ -124,17 +124,14 @@ def one_letter_codes(spark, sf):
 
 
 @query("""
-select doc_id, pos from (select doc_id, unnest(range(0, length(text) - 2)) pos, translate(text, 'aehntoi', 'AEHNTOI') as text from documents where length(text) >= 3) where substr(text, pos + 1, 3) = 'EHE' union all select doc_id, pos from (select doc_id, unnest(range(0, length(text) - 1)) pos, translate(text, 'aehntoi', 'AEHNTOI') as text from documents where length(text) >= 2) where substr(text, pos + 1, 2) = 'HH'
-union all select doc_id, pos from (select doc_id, unnest(range(0, length(text) - 2)) pos, text from documents where length(text) >= 3) where substr(text, pos + 1, 3) = 'Das'
+with c as (select doc_id, unnest(l) c, generate_subscripts(l, 1) i from (select doc_id, string_split(translate(text, 'aehntois', 'AEHNTOIS'), '') l from documents)),
+w as (select doc_id, i - 1 as pos, c a, lead(c, 1) over w b, lead(c, 2) over w d from c window w as (partition by doc_id order by i))
+select doc_id, pos from w where a = 'E' and b = 'H' and d = 'E' union all select doc_id, pos from w where a = 'H' and b = 'H' union all select doc_id, pos from w where a = 'D' and b = 'A' and d = 'S'
 """)
 def exact_motif_hits(spark, sf):
-    d = table(spark, sf, "documents").select("doc_id", "text")
-    upper = F.translate("text", "aehntoi", "AEHNTOI")
-    one = d.select("doc_id", F.explode(F.concat(Q.find_exact(upper, "ehe"), Q.find_exact(upper, "hh"))).alias("pos"))
-    # Motifs are upper case by rule; mixed case is searched on a swapped text.
-    swapped = F.translate("text", "Dasdas", "DASxyz")
-    two = d.select("doc_id", F.explode(Q.find_exact(swapped, "DAS")).alias("pos"))
-    return one.unionByName(two).withColumn("pos", big("pos"))
+    upper = F.translate("text", "aehntois", "AEHNTOIS")
+    hits = F.concat(*[Q.find_exact(upper, m) for m in ("ehe", "hh", "das")])
+    return table(spark, sf, "documents").select("doc_id", F.explode(hits).alias("pos")).withColumn("pos", big("pos"))
 
 
 @query(r"""
