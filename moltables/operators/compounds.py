@@ -26,7 +26,7 @@ def duplicate_report(df: DataFrame, key: str, ident: str, order: str, chunk: int
     lists = (
         o.filter("_rn > 1")
         .groupBy("key", F.floor((F.col("_rn") - 2) / chunk).cast("int").alias("part"))
-        .agg(F.transform(F.array_sort(F.collect_list(F.struct("_rn", "id"))), lambda s: s["id"]).alias("duplicates"))
+        .agg(F.transform(F.sort_array(F.collect_list(F.struct("_rn", "id"))), lambda s: s["id"]).alias("duplicates"))
     )
     out = heads.join(lists.withColumnRenamed("key", "_k"), F.col("key").eqNullSafe(F.col("_k")), "left").drop("_k")
     return out.withColumn("part", F.coalesce("part", F.lit(0)))
@@ -53,7 +53,7 @@ def match_lists(a: DataFrame, b: DataFrame, key: str, ident: str, chunk: int = L
         b.select(F.lit("b").alias("file_origin"), key, ident)).join(shared, key, "left_semi")
     o = ordered(both, ["file_origin", key], [ident]).row_number("_rn").result()
     return o.groupBy("file_origin", key, F.floor((F.col("_rn") - 1) / chunk).cast("int").alias("part")).agg(
-        F.array_sort(F.collect_list(ident)).alias("ids"))
+        F.sort_array(F.collect_list(ident)).alias("ids"))
 
 
 def route(df: DataFrame, tranche: Column, shard_map: DataFrame, fallback: str = "fake") -> DataFrame:

@@ -123,7 +123,7 @@ def interactions(encoded: DataFrame, ident: str, pairs: Sequence[tuple[int, int]
     descriptor, so the product is as wide as the descriptor table squared and
     is expanded row by row, without a join.
     """
-    vec = lambda p: F.array_sort(F.collect_list(F.when(F.col("position") == p, F.struct("feature", "value"))))
+    vec = lambda p: F.sort_array(F.collect_list(F.when(F.col("position") == p, F.struct("feature", "value"))))
     used = sorted({p for pair in pairs for p in pair})
     g = encoded.filter(F.col("position").isin(used)).groupBy(ident).agg(*[vec(p).alias(f"_v{p}") for p in used])
     out = None

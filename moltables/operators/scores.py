@@ -44,7 +44,7 @@ def top_scores(df: DataFrame, score: str, ties: Sequence[str], n: int = 500) ->
 
 def fetch_list(df: DataFrame, score: str, ties: Sequence[str], n: int, chunk: str, index: str) -> DataFrame:
     """Output files per chunk needed for the top n (n bounds every set)."""
-    return top_scores(df, score, ties, n).groupBy(chunk).agg(F.array_sort(F.collect_set(index)).alias("indexes"))
+    return top_scores(df, score, ties, n).groupBy(chunk).agg(F.sort_array(F.collect_set(index)).alias("indexes"))
 
 
 def best_poses(poses: DataFrame, wanted: DataFrame, name: str = "name", energy: str = "energy", ties: Sequence[str] = ("file", "ordinal"),
@@ -233,7 +233,7 @@ def scores_by_compound(scores: DataFrame, wanted: DataFrame, compound: str, fiel
     d = scores.join(wanted.select(compound).distinct(), compound, "left_semi")
     o = ordered(d, [compound], order).row_number("_rn").result()
     return o.groupBy(compound, F.floor((F.col("_rn") - 1) / chunk).cast("int").alias("part")).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("_rn", F.struct(*fields).alias("s")))), lambda z: z["s"]).alias("scores"))
+        F.transform(F.sort_array(F.collect_list(F.struct("_rn", F.struct(*fields).alias("s")))), lambda z: z["s"]).alias("scores"))
 
 
 def scores_with_text(scores: DataFrame, texts: DataFrame, key: Sequence[str]) -> DataFrame:

@@ -166,7 +166,7 @@ def beads(atoms: DataFrame, mapping: DataFrame, keys: Sequence[str], mass: Colum
     d = atoms.join(mapping, ["resname", "name"]).withColumn("_m", mass)
     return d.groupBy(*keys, "resname", "bead").agg(
         *[(F.sum(F.col("_m") * F.col(c)) / F.sum("_m")).alias(c) for c in XYZ],
-        F.array_sort(F.collect_list("serial")).alias("serials"))
+        F.sort_array(F.collect_list("serial")).alias("serials"))
 
 
 def atom_mass_by_letter(name: Column) -> Column:
@@ -251,7 +251,7 @@ def template_serials(atoms: DataFrame, template: DataFrame, keys: Sequence[str])
     """Serials of each residue in a template's atom order; template: (resname, name, position)."""
     d = atoms.join(template, ["resname", "name"])
     return d.groupBy(*keys, "resname").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("position", "serial"))), lambda s: s["serial"]).alias("serials"))
+        F.transform(F.sort_array(F.collect_list(F.struct("position", "serial"))), lambda s: s["serial"]).alias("serials"))
 
 
 def run_numbers(df: DataFrame, keys: Sequence[str], order: Sequence[str], changed: Sequence[str], out: str,
@@ -332,7 +332,7 @@ def residue_sequence(atoms: DataFrame, keys: Sequence[str], order: str, chunk: i
     o = ordered(first, keys, ["_at"], max_group_rows).row_number("_rn").result()
     row = F.struct("_rn", one_letter(F.col("resname")).alias("aa"))
     return o.groupBy(*keys, F.floor((F.col("_rn") - 1) / chunk).cast("int").alias("part")).agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(row)), lambda s: s["aa"]), "").alias("sequence"))
+        F.array_join(F.transform(F.sort_array(F.collect_list(row)), lambda s: s["aa"]), "").alias("sequence"))
 
 
 def class_counts(residues: DataFrame, resclass: Column, name: str) -> DataFrame:
@@ -417,7 +417,7 @@ def rotatable_bonds(bonds: DataFrame, keys: Sequence[str]) -> DataFrame:
     types = dict(bonds.dtypes)
     keys = list(keys)
     cell = F.struct("num", "a1", "a2", "type")
-    mols = bonds.groupBy(*keys).agg(F.array_sort(F.collect_list(cell)).alias("_b")).select(
+    mols = bonds.groupBy(*keys).agg(F.sort_array(F.collect_list(cell)).alias("_b")).select(
         *keys, *[F.col(f"_b.{c}").alias(f"_{c}") for c in ("num", "a1", "a2", "type")])
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -75,7 +75,7 @@ def covariance_table(long: DataFrame, frame: str, coordinate: str, value: str) -
     """
     mean = long.groupBy(coordinate).agg(F.avg(value).alias("_mean"))
     d = long.join(mean, coordinate).withColumn("_d", F.col(value) - F.col("_mean"))
-    vec = d.groupBy(frame).agg(F.array_sort(F.collect_list(F.struct(F.col(coordinate).alias("c"), F.col("_d").alias("d")))).alias("v"))
+    vec = d.groupBy(frame).agg(F.sort_array(F.collect_list(F.struct(F.col(coordinate).alias("c"), F.col("_d").alias("d")))).alias("v"))
     n = vec.agg(F.count(F.lit(1)).alias("_n"))
     left = vec.select("v", F.posexplode("v").alias("_p", "_a"))
     pairs = left.select(F.col("_a.c").alias("i"), F.col("_a.d").alias("_di"),
@@ -118,8 +118,8 @@ def projections(vectors: DataFrame, column: str, eigenvectors: DataFrame, keep:
     mean = vectors.select(F.posexplode(column).alias("coordinate", "_v")).groupBy("coordinate").agg(F.avg("_v").alias("_mean"))
     # Both tables are as wide as one vector times the number of components.
     e = eigenvectors.join(mean, "coordinate").groupBy("component").agg(
-        F.array_sort(F.collect_list(F.struct("coordinate", "eigenvector_value", "_mean"))).alias("_e"))
-    all_e = e.agg(F.array_sort(F.collect_list(F.struct("component", "_e"))).alias("_all"))
+        F.sort_array(F.collect_list(F.struct("coordinate", "eigenvector_value", "_mean"))).alias("_e"))
+    all_e = e.agg(F.sort_array(F.collect_list(F.struct("component", "_e"))).alias("_all"))
     d = vectors.join(F.broadcast(all_e)).select(*keep, column, F.explode("_all").alias("_c"))
     prod = F.zip_with(column, F.col("_c._e"), lambda v, w: (v.cast("double") - w["_mean"]) * w["eigenvector_value"])
     return d.select(*keep, F.col("_c.component").alias("component"), F.aggregate(prod, F.lit(0.0), lambda a, b: a + b).alias("projection"))

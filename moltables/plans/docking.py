@@ -230,7 +230,7 @@ def density_corrected_part_preferences(spark, sf):
     for i in range(6):
         o = o.scan(lags={f"p{i}": prev}, leads={f"n{i}": nxt})
         prev, nxt = F.col(f"p{i}"), F.col(f"n{i}")
-    near = F.slice(F.array_sort(F.array_compact(F.array(*[F.abs(F.col("value") - F.col(f"{s}{i}")) for s in "pn" for i in range(6)]))), 1, 6)
+    near = F.slice(F.sort_array(F.array_compact(F.array(*[F.abs(F.col("value") - F.col(f"{s}{i}")) for s in "pn" for i in range(6)]))), 1, 6)
     nb = o.result().select("compound", "pose", F.explode(near).alias("rmsd"))
     d = D.density_corrected_preferences(e, nb, n_dist=3)
     return d.withColumn("preference", rounded("preference", 7))

@@ -62,7 +62,7 @@ def mol2_round_trip(spark, sf):
     a = atoms(spark, sf)
     row = F.format_string("%-6d %-4s %9.4f %9.4f %9.4f %-5s %4s %6s %9.4f", "serial", F.lit("X"), "x", "y", "z", "type", F.lit("1"), F.lit("LIG"), "q")
     # One record per molecule: its rows, as many as the molecule has atoms.
-    rec = a.groupBy("mol").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("serial", row.alias("t")))), lambda s: s["t"]), "\n").alias("t"))
+    rec = a.groupBy("mol").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("serial", row.alias("t")))), lambda s: s["t"]), "\n").alias("t"))
     text = F.concat(F.lit("\n"), F.col("mol").cast("string"), F.lit("\n1 1 1 0 0\nSMALL\nUSER_CHARGES\n@<TRIPOS>ATOM\n"), F.col("t"), F.lit("\n@<TRIPOS>BOND\n1 1 2 1\n"))
     body = rec.select(F.col("mol").alias("at"), text.alias("v"))
     first = spark.range(1).select(F.lit(-1).cast("bigint").alias("at"), F.lit("########## Name: first").alias("v"))

@@ -42,9 +42,14 @@ def _ensure_checkpoint_dir(spark: SparkSession) -> None:
 
 
 def stable(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: later plans read these very rows, even after executors are lost."""
-    _ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write the rows to the shared folder and read them back.
+
+    Computed once; later plans read these very rows, also after executors are
+    lost, and only the columns they need.
+    """
+    path = shared_folder(df.sparkSession, "stable")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
