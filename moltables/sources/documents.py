@@ -18,7 +18,7 @@ def read_sequence_documents(spark: SparkSession, path: str) -> tuple[DataFrame,
          .option("pathGlobFilter", "*.json").option("columnNameOfCorruptRecord", "_bad").json(path)
          .withColumn("file", F.col("_metadata.file_path")))
     bad = F.col("_bad").isNotNull()
-    return d.filter(~bad).drop("_bad"), d.filter(bad).select("file", F.col("_bad").alias("text"))
+    return d.filter(~bad).drop("_bad"), d.filter(bad).select("file", F.col("_bad").alias("text"), "name")
 
 
 def parse_sequence_document(text: Column) -> Column:
