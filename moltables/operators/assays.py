@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from moltables.operators.ordered import MAX_GROUP_ROWS, min_rank, ordered, running_count_at
+from moltables.operators.ordered import MAX_GROUP_ROWS, largest_group, min_rank, ordered, running_count_at
 
 
 def group_sizes(df: DataFrame, group: str) -> DataFrame:
@@ -64,6 +64,23 @@ def success_rates(
     return df.join(rates, on, "left").withColumn(out, F.coalesce("_rate", F.lit(0.0))).drop("_g", "_p", "_rate")
 
 
+def _rates_in_windows(df: DataFrame, group: str, potency: str, out: str, factor: float, min_size: int) -> DataFrame:
+    """Each row enters its group twice, as a member at its potency and as a question at a tenth of it."""
+    p = F.col(potency)
+    twice = df.select(F.col(group).alias("_g"), "*", F.explode(F.array(
+        F.struct(p.alias("_at"), F.lit(1).alias("_w")), F.struct((p / F.lit(factor)).alias("_at"), F.lit(0).alias("_w")),
+    )).alias("_e")).withColumns({"_at": F.col("_e._at"), "_w": F.col("_e._w")}).drop("_e")
+    # Members only count; their other columns are not shuffled.
+    twice = twice.select("_g", "_at", "_w", *[F.when(F.col("_w") == 0, F.col(c)).alias(c) for c in df.columns])
+    within = Window.partitionBy("_g")
+    upto = within.orderBy("_at").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    # Null potencies count in the group size but are not at or below anything.
+    known = F.when(F.col("_at").isNotNull(), F.col("_w")).otherwise(0)
+    d = twice.withColumns({"_c": F.sum(known).over(upto), "_n": F.sum("_w").over(within)}).filter(F.col("_w") == 0)
+    ok = F.col("_g").isNotNull() & F.col("_at").isNotNull() & (F.col("_n") > min_size)
+    return d.select(*df.columns, F.when(ok, F.col("_c") / F.col("_n")).otherwise(0.0).alias(out))
+
+
 def rank_in_group(
     df: DataFrame, group: str, potency: str, ascending: bool, max_group_rows: int = MAX_GROUP_ROWS,
 ) -> DataFrame:

@@ -139,17 +139,27 @@ class Ordered:
         return self.df.drop(self.block) if self.block == _BLOCK else self.df
 
 
+def largest_group(df: DataFrame, keys: Sequence[str]) -> tuple[int, int]:
+    """(rows of the largest group, all rows), counted map-side."""
+    top, total = df.groupBy(*keys).count().agg(F.max("count"), F.sum("count")).first()
+    return top or 0, total or 0
+
+
 def ordered(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], max_group_rows: int = MAX_GROUP_ROWS,
+    bound: DataFrame | None = None, bound_keys: Sequence[str] | None = None,
 ) -> Ordered:
     """Prepare ``df`` for scans: plain windows if every group is small, else range blocks.
 
-    ``order`` (ascending column names) must be total inside each group.
+    ``order`` (ascending column names) must be total inside each group. When
+    ``df`` is costly to compute, ``bound`` may name a cheap table whose groups
+    are at least as large; if those are small, ``df`` is not counted.
     """
     keys, order = tuple(keys), tuple(order)
-    per_group = df.groupBy(*keys).count()
-    top, total = per_group.agg(F.max("count"), F.sum("count")).first()
-    if top is None or top <= max_group_rows:
+    if bound is not None and largest_group(bound, bound_keys if bound_keys is not None else keys)[0] <= max_group_rows:
+        return Ordered(df, keys, order)
+    top, total = largest_group(df, keys)
+    if top <= max_group_rows:
         return Ordered(df, keys, order)
     n = max(2 * shuffle_width(df.sparkSession), -(-total // max_group_rows) * 4)
     ranged = df.repartitionByRange(n, *keys, *order).withColumn(_BLOCK, F.spark_partition_id())
@@ -163,14 +173,14 @@ def ordered_by_block(df: DataFrame, keys: Sequence[str], block: str, order: Sequ
 
 def running_count_at(
     df: DataFrame, keys: Sequence[str], at: str, weight: Column, out: str,
-    max_group_rows: int = MAX_GROUP_ROWS,
+    max_group_rows: int = MAX_GROUP_ROWS, bound: DataFrame | None = None,
 ) -> DataFrame:
     """Distinct (keys, at) with the weight summed over all rows whose ``at`` is <= it.
 
     Equal values are added up before the scan, so ties cannot make a hot spot.
     """
     pts = df.groupBy(*keys, at).agg(F.sum(weight).alias("_wt"))
-    return ordered(pts, keys, [at], max_group_rows).scan(sums={out: F.col("_wt")}).result().drop("_wt")
+    return ordered(pts, keys, [at], max_group_rows, bound).scan(sums={out: F.col("_wt")}).result().drop("_wt")
 
 
 def min_rank(
@@ -178,8 +188,7 @@ def min_rank(
     max_group_rows: int = MAX_GROUP_ROWS,
 ) -> DataFrame:
     """Competition rank (1,1,3) of ``value`` inside the group; null values get a null rank."""
-    top = df.groupBy(*keys).count().agg(F.max("count")).first()[0]
-    if top is None or top <= max_group_rows:
+    if largest_group(df, keys)[0] <= max_group_rows:
         o = F.col(value).asc_nulls_last() if ascending else F.col(value).desc_nulls_last()
         r = F.rank().over(Window.partitionBy(*keys).orderBy(o)).cast("bigint")
         return df.withColumn(out, F.when(F.col(value).isNotNull(), r))

@@ -68,7 +68,8 @@ def rank_against(df: DataFrame, score: str, reference: DataFrame, ref_score: str
     """max(1, number of reference scores <= score)."""
     pts = df.select(F.col(score).alias("at")).distinct().withColumn("w", F.lit(0).cast("bigint")).unionByName(
         reference.groupBy(F.col(ref_score).alias("at")).agg(F.count(F.lit(1)).alias("w")))
-    counts = running_count_at(pts, [], "at", F.col("w"), "_c", max_group_rows)
+    both = df.select(F.lit(1)).unionAll(reference.select(F.lit(1)))
+    counts = running_count_at(pts, [], "at", F.col("w"), "_c", max_group_rows, both)
     return df.join(counts, F.col(score) == F.col("at"), "left").withColumn(
         out, F.greatest(F.lit(1).cast("bigint"), F.coalesce("_c", F.lit(0)))).drop("at", "_c")
 
