@@ -312,7 +312,8 @@ def linear_fit_summary(spark, sf):
 
 
 # The t quantile by its expansion in 1/v around the normal quantile; exact to far below the rounding here.
-_T = "(1.959963984540054 + (pow(1.959963984540054, 3) + 1.959963984540054) / (4.0 * (n - 2)))"
+_Z = "1.959963984540054"
+_T = (f"({_Z} + (pow({_Z}, 3) + {_Z}) / (4.0 * (n - 2)) + (5 * pow({_Z}, 5) + 16 * pow({_Z}, 3) + 3 * {_Z}) / (96.0 * (n - 2) * (n - 2)))")
 
 
 @query(f"""{_FIT} select i::int as i, {rs("gx", 6)} as x, {rs("slope * gx + intercept", 2)} as y,
