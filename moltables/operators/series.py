@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from moltables.operators.ordered import MAX_GROUP_ROWS, ordered
@@ -76,12 +76,16 @@ def smooth(df: DataFrame, keys: Sequence[str], order: str, value: str, window: i
            clip_at: float | None = 0.0, max_group_rows: int = MAX_GROUP_ROWS) -> DataFrame:
     """Savitzky-Golay smoothing of series of at least ``window`` rows; ends use the end polynomials.
 
-    Each row adds its value, weighted, to the rows it influences, so a long
-    series is never gathered: inner rows take the fixed weights, the first and
-    last ``window // 2`` rows the polynomial of the first or last window.
+    Inner rows take the fixed weights, the first and last ``window // 2`` rows
+    the polynomial of the first or last window. Short series see their
+    neighbours through a window frame; a series cut into blocks is never
+    gathered, there each row adds its weighted value to the rows it influences.
     """
     half = window // 2
-    o = ordered(df.select(*keys, order, value), keys, [order], max_group_rows).row_number("_rn").result()
+    run = ordered(df.select(*keys, order, value), keys, [order], max_group_rows)
+    if run.block is None:
+        return _smooth_in_frames(run.df, keys, order, value, window, degree, out, clip_at)
+    o = run.row_number("_rn").result()
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     d = o.join(sizes, list(keys)) if keys else o.join(F.broadcast(sizes))
     inner = _fit_weights(window, degree, half)
@@ -108,6 +112,23 @@ def smooth(df: DataFrame, keys: Sequence[str], order: str, value: str, window: i
     return o.join(sums, [*keys, "_rn"]).drop("_rn")
 
 
+def _smooth_in_frames(df: DataFrame, keys: Sequence[str], order: str, value: str, window: int, degree: int, out: str,
+                      clip_at: float | None) -> DataFrame:
+    w = Window.partitionBy(*keys)
+    along = w.orderBy(order)
+    table = F.array(*[F.array(*[F.lit(x) for x in _fit_weights(window, degree, at)]) for at in range(window)])
+    d = df.withColumns({
+        "_i": F.row_number().over(along) - 1, "_n": F.count(F.lit(1)).over(w).cast("int"),
+        "_near": F.collect_list(F.struct(F.col(value).alias("v"))).over(along.rowsBetween(-(window - 1), window - 1))})
+    # First row of the fitted window, and its place in the neighbour list.
+    d = d.withColumn("_s", F.greatest(F.lit(0), F.least(F.col("_i") - window // 2, F.col("_n") - window)))
+    used = F.slice("_near", F.col("_s") - F.greatest(F.lit(0), F.col("_i") - (window - 1)) + 1, F.lit(window))
+    total = F.aggregate(F.zip_with(used, F.get(table, F.col("_i") - F.col("_s")), lambda a, b: F.coalesce(a["v"] * b, F.lit(0.0))),
+                        F.lit(0.0), lambda a, b: a + b)
+    result = total if clip_at is None else F.greatest(total, F.lit(clip_at))
+    return d.select(*keys, order, value, result.alias(out))
+
+
 def exact_percentile(df: DataFrame, keys: Sequence[str], value: str, p: float, out: str,
                      max_group_rows: int = MAX_GROUP_ROWS) -> DataFrame:
     """Linear-interpolated percentile from running counts of distinct values, so no task holds a group."""
