@@ -183,8 +183,9 @@ def roc_points(df: DataFrame, score: str, is_ligand: Column, max_group_rows: int
     tot = pts.agg(F.sum("_l").alias("_tl"), F.sum("_d").alias("_td"))
     d = run.join(F.broadcast(tot))  # one row
     return d.select(
-        score, (F.col("_cd") / F.col("_td")).alias("x"), (F.col("_cl") / F.col("_tl")).alias("y"),
-        ((F.col("_cd") - F.col("_d")) / F.col("_td")).alias("x0"), ((F.col("_cl") - F.col("_l")) / F.col("_tl")).alias("y0"))
+        score, F.try_divide("_cd", "_td").alias("x"), F.try_divide("_cl", "_tl").alias("y"),
+        F.try_divide(F.col("_cd") - F.col("_d"), F.col("_td")).alias("x0"),
+        F.try_divide(F.col("_cl") - F.col("_l"), F.col("_tl")).alias("y0"))
 
 
 def log_auc(points: DataFrame, floor: float = 0.001, interpolate: bool = True) -> DataFrame:
@@ -195,7 +196,7 @@ def log_auc(points: DataFrame, floor: float = 0.001, interpolate: bool = True) -
     """
     x0, x, y0, y = F.col("x0"), F.col("x"), F.col("y0"), F.col("y")
     lo = F.greatest(x0, F.lit(floor))
-    y_lo = F.when(x0 >= floor, y0).otherwise(y0 + (y - y0) * (floor - x0) / (x - x0))
+    y_lo = F.when(x0 >= floor, y0).otherwise(y0 + F.try_divide((y - y0) * (F.lit(floor) - x0), x - x0))
     area = (F.log10(x) - F.log10(lo)) * (y + y_lo) / 2.0
     used = (x > floor) & (x > x0) & (F.lit(interpolate) | (x0 >= floor))
     total = F.coalesce(F.sum(F.when(used, area)), F.lit(0.0)) / F.log10(F.lit(1.0 / floor))

@@ -233,10 +233,20 @@ def farthest_pair(atoms: DataFrame, keys: Sequence[str], ordinal: str) -> DataFr
     d = _by(d, outer, keys)
     span = d.groupBy(*keys).agg(F.max(distance(point(*XYZ), F.col("_p"))).alias("_s"))
     shell = _by(d, span, keys).filter(F.col("_r") >= F.col("_s") - F.col("_rm") - 1e-9)
-    a = shell.select(*keys, F.col(ordinal).alias("i"), point(*XYZ).alias("_a"))
-    b = shell.select(*keys, F.col(ordinal).alias("j"), point(*XYZ).alias("_b"))
-    cond = F.col("i") < F.col("j")
-    pairs = a.join(b, list(keys)).filter(cond) if keys else a.join(b, cond)
+    # The shell is put into cells of an eighth of the span (a fixed number at most); only cells that
+    # can hold a pair as long as the span are compared atom by atom.
+    width = F.greatest(F.col("_s") / 8.0, F.lit(1e-9))
+    shell = shell.withColumn("_cell", F.array(*[F.floor((F.col(c) - F.col(f"c{c}")) / width) for c in XYZ]))
+    if not keys:
+        shell = shell.withColumn("_all", F.lit(0))
+    on = list(keys) or ["_all"]
+    cells = shell.groupBy(*on, "_cell", "_s").agg(*[F.min(c).alias(f"lo{c}") for c in XYZ], *[F.max(c).alias(f"hi{c}") for c in XYZ])
+    other = cells.drop("_s").withColumnsRenamed({n: f"{n}2" for n in cells.columns if n not in (*on, "_s")})
+    reach = sum([F.greatest(F.col(f"hi{c}") - F.col(f"lo{c}2"), F.col(f"hi{c}2") - F.col(f"lo{c}")) ** 2 for c in XYZ], F.lit(0.0))
+    near = cells.join(other, on).filter(F.sqrt(reach) >= F.col("_s") - 1e-9).select(*on, "_cell", "_cell2")
+    a = shell.select(*on, "_cell", F.col(ordinal).alias("i"), point(*XYZ).alias("_a"))
+    b = shell.select(*on, F.col("_cell").alias("_cell2"), F.col(ordinal).alias("j"), point(*XYZ).alias("_b"))
+    pairs = a.join(near, [*on, "_cell"]).join(b, [*on, "_cell2"]).filter(F.col("i") < F.col("j"))
     dist = distance(F.col("_a"), F.col("_b"))
     return pairs.groupBy(*keys).agg(
         F.max_by(F.struct("i", "j", dist.alias("distance")), F.struct(dist, -F.col("i"), -F.col("j"))).alias("_m")).select(*keys, "_m.*")
