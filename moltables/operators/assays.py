@@ -41,10 +41,12 @@ def success_rates(
     """Share of the group with potency <= own potency / factor, ties exact.
 
     Groups of ``min_size`` or fewer, and rows without a potency, get 0. Rows
-    with a null potency still count in the group size. Work is done on distinct
-    (group, potency) values: a sweep over a running count replaces the
-    comparison of all pairs.
+    with a null potency still count in the group size. A sweep over a running
+    count replaces the comparison of all pairs: one window when all groups are
+    small, else on distinct (group, potency) values cut into blocks.
     """
+    if largest_group(df.select(group), [group])[0] <= max_group_rows:
+        return _rates_in_windows(df, group, potency, out, factor, min_size)
     values = (
         df.filter(F.col(group).isNotNull() & F.col(potency).isNotNull())
         .groupBy(F.col(group).alias("_g"), F.col(potency).alias("_p")).agg(F.count(F.lit(1)).alias("_w"))

@@ -19,7 +19,7 @@ def sorted_scores(df: DataFrame, score: str, *ties: str) -> DataFrame:
 
 
 def best_per_compound(df: DataFrame, compound: Column, score: str, ties: Sequence[str] = (), keep: Sequence[str] | None = None) -> DataFrame:
-    """Lowest score row per compound; combined map-side, no sort."""
+    """Lowest score row per compound; combined map-side before the shuffle."""
     cols = list(keep or df.columns)
     order = F.struct(score, *ties) if ties else F.struct(score)
     return df.groupBy(compound.alias("_compound")).agg(F.min_by(F.struct(*cols), order).alias("_r")).select("_r.*")
