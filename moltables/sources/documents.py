@@ -13,12 +13,12 @@ SEQUENCE_SCHEMA = (
 
 def read_sequence_documents(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(documents, bad files) below a folder, whole directory tree, one document per file."""
+    raw = (spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.json")
+           .text(path).select(F.col("_metadata.file_path").alias("file"), "value"))
     schema = SEQUENCE_SCHEMA + ", _bad string"
-    d = (spark.read.schema(schema).option("multiLine", True).option("recursiveFileLookup", True)
-         .option("pathGlobFilter", "*.json").option("columnNameOfCorruptRecord", "_bad").json(path)
-         .withColumn("file", F.col("_metadata.file_path")))
-    bad = F.col("_bad").isNotNull()
-    return d.filter(~bad).drop("_bad"), d.filter(bad).select("file", F.col("_bad").alias("text"), "name")
+    d = raw.withColumn("_d", F.from_json("value", schema, {"columnNameOfCorruptRecord": "_bad"}))
+    bad = F.col("_d").isNull() | F.col("_d._bad").isNotNull()
+    return d.filter(~bad).select("file", "_d.*").drop("_bad"), d.filter(bad).select("file", F.col("value").alias("text"))
 
 
 def parse_sequence_document(text: Column) -> Column:
