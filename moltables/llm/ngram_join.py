@@ -141,8 +141,11 @@ def _reachable(a: str, b: str, percent: int) -> Column:
             & (F.least(n - i, m - j) + F.least(i, j) >= needed(n, m, percent)))
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs whose whole sets reach the threshold."""
+def _verified(pairs: DataFrame, texts: DataFrame, percent: int, width: int) -> DataFrame:
+    """Pairs whose whole sets reach the threshold; only the texts of these pairs are cut into shingles again."""
+    pairs = stable(pairs)
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    sets = stable(texts.join(wanted, "doc_id", "left_semi").mapInArrow(_sets(width), "doc_id long, grams array<long>"))
     d = (pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("grams").alias("ga")), "a")
          .join(sets.select(F.col("doc_id").alias("b"), F.col("grams").alias("gb")), "b"))
     both = F.size(F.array_intersect("ga", "gb"))
@@ -207,11 +210,9 @@ def near_duplicate_components(docs: DataFrame, id_col: str = "doc_id", text_col:
     # Columns of one row have no product. The entries are dealt by column, and the single ones go before anything else is done.
     dealt = entries.repartition(shuffle_width(spark), "h").sortWithinPartitions("h").mapInArrow(_drop_single, "h long, doc long, n long, pos int")
     columns = stable(dealt)
-    wanted = columns.select(F.col("doc").alias("doc_id")).distinct()
-    sets = stable(texts.join(wanted, "doc_id", "left_semi").mapInArrow(_sets(width), "doc_id long, grams array<long>"))
-    links = stable(_verified(_column_stars(columns, percent), sets, percent).union(ties))
+    links = stable(_verified(_column_stars(columns, percent), texts, percent, width).union(ties))
     comp = stable(components(links, "a", "b"))
-    more = stable(_verified(_column_products(columns, comp, percent), sets, percent))
+    more = stable(_verified(_column_products(columns, comp, percent), texts, percent, width))
     chain = comp.select(F.col("node").alias("a"), F.col("component").alias("b"))
     comp = stable(components(chain.union(more), "a", "b"))
     node = member.groupBy("doc_id").agg(F.min("rep").alias("rep"))
