@@ -42,49 +42,75 @@ FREQUENT_OVER = 32
 MAX_FREQUENT = 1 << 19
 ROW_BLOCK = 512
 
-_IDS: dict[bytes, int] = {}
-_HASHES = np.zeros(1 << 12, np.uint64)
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], np.uint64)
 
 
-def _word_hashes(words: list[bytes]) -> np.ndarray:
-    """64-bit hash of each word; the worker remembers words it has seen, up to a bound."""
-    global _HASHES
-    if len(_IDS) > 400_000:
-        _IDS.clear()
-    n = len(_IDS)
-    ids = np.fromiter((_IDS.setdefault(w, len(_IDS)) for w in words), np.int64, len(words))
-    if len(_IDS) > n:
-        if len(_IDS) > len(_HASHES):
-            _HASHES = np.resize(_HASHES, 2 * len(_IDS))
-        new = list(islice(reversed(_IDS), len(_IDS) - n))[::-1]
-        _HASHES[n:len(_IDS)] = [xxhash.xxh3_64_intdigest(w) for w in new]
-    return _HASHES[ids]
+#: A word's hash is a polynomial of random byte values modulo 2**64. Texts are hashed in pieces of at most so many bytes.
+_PIECE = 1 << 18
+_RANDOM = np.random.default_rng(20)
+_VALUES = _RANDOM.integers(0, 1 << 64, 256, np.uint64, endpoint=False)
+_BASE = 0x9FB21C651E98DF25
+_POWERS = np.cumprod(np.concatenate([[np.uint64(1)], np.full(_PIECE, _BASE, np.uint64)]), dtype=np.uint64)
+_INVERSES = np.cumprod(np.concatenate([[np.uint64(1)], np.full(_PIECE, pow(_BASE, -1, 1 << 64), np.uint64)]), dtype=np.uint64)
+_IS_SPACE = np.isin(np.arange(256), [32, 9, 10, 11, 12, 13])
 
 
-def _mix(h: np.ndarray) -> np.ndarray:
+def _hashes_of_piece(data: np.ndarray) -> np.ndarray:
+    space = np.concatenate([[True], _IS_SPACE[data], [True]])
+    edges = np.flatnonzero(space[1:] != space[:-1])
+    starts, ends = edges[::2], edges[1::2]
+    sums = np.concatenate([[np.uint64(0)], np.cumsum(_VALUES[data] * _POWERS[:len(data)], dtype=np.uint64)])
+    h = (sums[ends] - sums[starts]) * _INVERSES[starts]
     h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return h ^ (h >> np.uint64(31))
 
 
+def word_hashes(text: bytes) -> np.ndarray:
+    """64-bit hash of each word of a text, in order."""
+    text = text.lower()  # on bytes: ASCII only, as is the white space
+    if len(text) <= _PIECE:
+        return _hashes_of_piece(np.frombuffer(text, np.uint8))
+    out, at = [], 0
+    while at < len(text):
+        to = min(at + _PIECE, len(text))
+        if to < len(text):  # end the piece after a white space
+            cut = max(text.rfind(bytes([c]), at, to) for c in (32, 9, 10, 11, 12, 13)) + 1
+            if cut <= at:  # one word longer than a piece: its parts are folded together
+                end = min((i for i in (text.find(bytes([c]), to) for c in (32, 9, 10, 11, 12, 13)) if i >= 0), default=len(text))
+                out.append(np.array([xxhash.xxh3_64_intdigest(text[at:end])], np.uint64))
+                at = end
+                continue
+            to = cut
+        out.append(_hashes_of_piece(np.frombuffer(text, np.uint8, to - at, at)))
+        at = to
+    return np.concatenate(out)
+
+
 def shingle_set(text: bytes | None, width: int = WIDTH) -> np.ndarray:
-    """Sorted distinct shingle hashes of a whole text; a text with fewer words is one shingle, one without words none."""
-    words = (text or b"").lower().split()  # on bytes both are ASCII only
-    if not words:
+    """Sorted distinct shingle hashes of a whole text; a text with fewer words is one shingle, one without words none.
+
+    A shingle's hash is a sum of its words' 64-bit hashes, each times an odd
+    factor of its own.
+    """
+    h = word_hashes(text) if text else np.zeros(0, np.uint64)
+    if not len(h):
         return np.zeros(0, np.int64)
-    if len(words) < width:
-        return np.array([xxhash.xxh3_64_intdigest(b" ".join(words), seed=1)], np.uint64).view(np.int64)
-    h = _word_hashes(words)
+    if len(h) < width:
+        return np.array([xxhash.xxh3_64_intdigest(h.tobytes())], np.uint64).view(np.int64)
     n = len(h) - width + 1
-    acc = np.zeros(n, np.uint64)
-    for i in range(width):
-        acc = _mix(acc * _FACTORS[i % 5] + h[i:i + n])
-    return np.unique(acc).view(np.int64)
+    acc = h[:n] * _FACTORS[0]
+    for i in range(1, width):
+        acc += h[i:i + n] * (_FACTORS[i % 5] + np.uint64(2 * i))
+    acc.sort()
+    keep = np.empty(n, bool)
+    keep[0] = True
+    np.not_equal(acc[1:], acc[:-1], out=keep[1:])
+    return acc[keep].view(np.int64)
 
 
 def _prefix_length(n: int, percent: int) -> int:
-    return n - -(-percent * n // 100) + 1 if n else 0
+    return n + (-percent * n // 100) + 1 if n else 0
 
 
 def _first_prefixes(percent: int, width: int):
@@ -141,6 +167,18 @@ def _reachable(a: str, b: str, percent: int) -> Column:
             & (F.least(n - i, m - j) + F.least(i, j) >= needed(n, m, percent)))
 
 
+def _accumulated(entries: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) whose shared prefix shingles leave the threshold within reach.
+
+    Of two prefixes the one that ends first in the common order has met all it
+    shares with the other set, so the overlap is at most the count here plus
+    what follows that prefix.
+    """
+    d = entries.groupBy("a", "b", "n", "m").count()
+    after = lambda c: F.ceil(F.col(c) * percent / F.lit(100) - F.lit(1e-9)) - 1  # noqa: E731  set size less prefix length
+    return d.filter(F.col("count") + F.greatest(after("n"), after("m")) >= needed(F.col("n"), F.col("m"), percent)).select("a", "b").distinct()
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, percent: int, width: int) -> DataFrame:
     """Pairs whose whole sets reach the threshold; only the texts of these pairs are cut into shingles again."""
     pairs = stable(pairs)
@@ -156,7 +194,8 @@ def _column_stars(columns: DataFrame, percent: int) -> DataFrame:
     """Each column times its first row: pairs (first document, other document) within the bounds."""
     first = stable(columns.groupBy("h").agg(F.min(F.struct("doc", "n", "pos")).alias("p")))
     d = columns.alias("q").join(first, "h").filter(F.col("q.doc") != F.col("p.doc"))
-    return d.filter(_reachable("p", "q", percent)).select(F.col("p.doc").alias("a"), F.col("q.doc").alias("b")).distinct()
+    d = d.filter(_reachable("p", "q", percent))
+    return _accumulated(d.select(F.col("p.doc").alias("a"), F.col("q.doc").alias("b"), F.col("p.n").alias("n"), F.col("q.n").alias("m")), percent)
 
 
 def _column_products(columns: DataFrame, comp: DataFrame, percent: int) -> DataFrame:
@@ -176,7 +215,8 @@ def _column_products(columns: DataFrame, comp: DataFrame, percent: int) -> DataF
     right = rows.withColumn("s", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
     right = right.select("h", "doc", "n", "pos", "c", F.col("s").alias("x"), F.col("r").alias("y"))
     d = left.alias("p").join(right.alias("q"), ["h", "x", "y"]).filter((F.col("p.doc") < F.col("q.doc")) & (F.col("p.c") != F.col("q.c")))
-    return d.filter(_reachable("p", "q", percent)).select(F.col("p.doc").alias("a"), F.col("q.doc").alias("b")).distinct()
+    d = d.filter(_reachable("p", "q", percent))
+    return _accumulated(d.select(F.col("p.doc").alias("a"), F.col("q.doc").alias("b"), F.col("p.n").alias("n"), F.col("q.n").alias("m")), percent)
 
 
 def near_duplicate_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, width: int = WIDTH,
