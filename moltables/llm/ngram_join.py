@@ -265,17 +265,20 @@ def near_duplicate_components(docs: DataFrame, id_col: str = "doc_id", text_col:
 def one_of_each(docs: DataFrame, comp: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """Rows of ``docs`` that stand for their component, with all their columns.
 
-    Kept: the row whose id is the component (one row if the id is repeated:
-    the least text), every row of an empty set, and every row of a null id.
+    Kept: the row whose id is the component (if the id is repeated, the least
+    of its rows), every row of an empty set, and every row of a null id.
+    ``comp`` is the written result of ``near_duplicate_components``.
     """
-    gone = comp.filter("component_id <> doc_id").select(F.col("doc_id").alias(id_col)).distinct()
-    again = stable(comp.filter("n_shingles > 0 and component_id = doc_id").groupBy("doc_id").count().filter("count > 1")
-                   .select(F.col("doc_id").alias(id_col)))
-    kept = docs.join(gone, id_col, "left_anti")
+    names = docs.columns
+    gone = comp.filter("component_id <> doc_id").select(F.col("doc_id").alias("_gone")).distinct()
+    again = comp.filter("n_shingles > 0 and component_id = doc_id").groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("_again"))
+    again = stable(again)
+    kept = docs.join(gone, docs[id_col] == F.col("_gone"), "left_anti")
     if again.isEmpty():
         return kept
-    first = kept.join(again, id_col, "left_semi").dropDuplicates([id_col])
-    return kept.join(again, id_col, "left_anti").unionByName(first)
+    rest = kept.join(again, kept[id_col] == F.col("_again"), "left_anti")
+    least = kept.join(again, kept[id_col] == F.col("_again"), "left_semi").groupBy(F.col(id_col).alias("_id")).agg(F.min(F.struct(*names)).alias("_row"))
+    return rest.unionByName(least.select("_row.*"))
 
 
 def _drop_single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
