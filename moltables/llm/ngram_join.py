@@ -29,7 +29,7 @@ from itertools import islice
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from moltables.llm.common import documents, query, slices, with_bytes
@@ -38,8 +38,15 @@ from moltables.session import shuffle_width, stable
 
 WIDTH = 5
 PERCENT = 75
-FREQUENT_OVER = 32
-MAX_FREQUENT = 1 << 19
+#: Shingles in more documents than these are put later in the common order, level by level.
+LEVELS = (8, 128, 2048)
+#: Bits of a bitmap over hashes (4 MB each, whatever the size of the corpus).
+BITS = 1 << 25
+#: Rows of a column that the others are tried against first.
+CENTRES = 4
+#: Bits of a set's parity signature, looked at in columns of more than ``CROWD`` rows.
+SIGNATURE = 512
+CROWD = 8
 ROW_BLOCK = 512
 
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], np.uint64)
@@ -122,32 +129,55 @@ def _first_prefixes(percent: int, width: int):
     return run
 
 
+def bitmap(hashes: DataFrame, column: str) -> np.ndarray:
+    """Bits of all hashes in a column, modulo ``BITS``: at most ``BITS`` / 64 rows come to the driver."""
+    bit = F.pmod(F.col(column), F.lit(BITS))
+    got = (hashes.select(F.shiftright(bit, 6).alias("w"), F.pmod(bit, F.lit(64)).cast("int").alias("b"))
+           .groupBy("w").agg(F.bit_or(F.expr("shiftleft(1L, b)")).alias("v")).toPandas())
+    out = np.zeros(BITS // 64, np.int64)
+    out[got["w"].to_numpy(np.int64)] = got["v"].to_numpy(np.int64)
+    return out
+
+
+def _has(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    bit = hashes & (BITS - 1)
+    return (bits[bit >> 6] >> (bit & 63)) & 1 == 1
+
+
+def signature(s: np.ndarray) -> list[int]:
+    """Parity of a set's hashes by bit. Each element of the symmetric difference of two sets flips one bit, so the bits that differ are no more."""
+    odd = np.bincount((s >> 20) & (SIGNATURE - 1), minlength=SIGNATURE) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64).tolist()
+
+
 def _rows(percent: int, width: int, frequent):
-    """Per document its set size, a 128-bit digest of the set, and the prefix in the common order."""
+    """Per document its set size, a 128-bit digest of the set, its signature, and the prefix in the common order."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often = frequent.value
         for b in slices(batches):
-            sizes, keys, prefixes = [], [], []
+            sizes, keys, signs, prefixes = [], [], [], []
             for t in b.column("text").to_pylist():
                 s = shingle_set(t, width)
                 sizes.append(len(s))
                 keys.append(xxhash.xxh3_128_digest(s.tobytes()))
-                if len(often) and len(s):
-                    at = np.minimum(np.searchsorted(often, s), len(often) - 1)
-                    common = often[at] == s
-                    s = np.concatenate([s[~common], s[common]])
+                signs.append(signature(s))
+                level = sum(_has(bits, s).astype(np.int8) for bits in often)
+                if level.any():
+                    s = np.concatenate([s[level == k] for k in range(len(often) + 1)])
                 prefixes.append(s[:_prefix_length(len(s), percent)])
             ends = np.cumsum([0, *map(len, prefixes)]).astype(np.int32)
             flat = np.concatenate(prefixes or [np.zeros(0, np.int64)])
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))],
-                ["doc_id", "n", "key", "prefix"])
+                [b.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(signs, pa.list_(pa.int64())), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))],
+                ["doc_id", "n", "key", "sig", "prefix"])
     return run
 
 
-def _sets(width: int):
+def _sets(width: int, wanted):
+    """Whole sets of the documents whose ids are in a bitmap (and of a few more, whose ids share a bit)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
+            b = b.filter(pa.array(_has(wanted.value, b.column("hash").to_numpy())))
             sets = [shingle_set(t, width) for t in b.column("text").to_pylist()]
             ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
             flat = np.concatenate(sets or [np.zeros(0, np.int64)])
@@ -160,6 +190,11 @@ def needed(n: Column, m: Column, percent: int) -> Column:
     return F.ceil((n + m) * percent / F.lit(100 + percent) - F.lit(1e-9))
 
 
+def _needed_alone(n: Column, percent: int) -> Column:
+    """Least overlap of a set of n shingles with any set that is similar enough."""
+    return F.ceil(n * percent / F.lit(100) - F.lit(1e-9))
+
+
 def _reachable(a: str, b: str, percent: int) -> Column:
     """Size-derived bounds: the sizes allow the threshold, and so does what is left from the shared shingle on."""
     n, m, i, j = (F.col(c) for c in (f"{a}.n", f"{b}.n", f"{a}.pos", f"{b}.pos"))
@@ -175,52 +210,79 @@ def _accumulated(entries: DataFrame, percent: int) -> DataFrame:
     what follows that prefix.
     """
     d = entries.groupBy("a", "b", "n", "m").count()
-    after = lambda c: F.ceil(F.col(c) * percent / F.lit(100) - F.lit(1e-9)) - 1  # noqa: E731  set size less prefix length
+    after = lambda c: _needed_alone(F.col(c), percent) - 1  # noqa: E731  set size less prefix length
     return d.filter(F.col("count") + F.greatest(after("n"), after("m")) >= needed(F.col("n"), F.col("m"), percent)).select("a", "b").distinct()
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, percent: int, width: int) -> DataFrame:
-    """Pairs whose whole sets reach the threshold; only the texts of these pairs are cut into shingles again."""
+    """Pairs whose whole sets reach the threshold.
+
+    Only the texts of these pairs are cut into shingles again; a bitmap of
+    their ids, of a fixed size, finds them where they are, without a shuffle.
+    """
     pairs = stable(pairs)
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = stable(texts.join(wanted, "doc_id", "left_semi").mapInArrow(_sets(width), "doc_id long, grams array<long>"))
+    wanted = bitmap(pairs.select(F.explode(F.array("a", "b")).alias("d")).select(F.xxhash64("d").alias("hash")), "hash")
+    shared = texts.sparkSession.sparkContext.broadcast(wanted)
+    sets = stable(texts.withColumn("hash", F.xxhash64("doc_id")).mapInArrow(_sets(width, shared), "doc_id long, grams array<long>"))
     d = (pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("grams").alias("ga")), "a")
          .join(sets.select(F.col("doc_id").alias("b"), F.col("grams").alias("gb")), "b"))
     both = F.size(F.array_intersect("ga", "gb"))
     return d.filter(100 * both >= percent * (F.size("ga") + F.size("gb") - both)).select("a", "b").distinct()
 
 
+def _with_weight(columns: DataFrame, percent: int) -> DataFrame:
+    """Add weight: rows of the columns that a document's prefix is in, for each shingle of the prefix.
+
+    The original of a group of near copies has only shingles that most of
+    them share, and so the greatest weight.
+    """
+    rows = stable(columns.groupBy("h").agg(F.count("*").alias("rows")))
+    per = columns.join(rows, "h").groupBy("doc", "n").agg((F.sum("rows") / (F.col("n") - _needed_alone(F.col("n"), percent) + 1)).alias("weight"))
+    return columns.join(stable(per), ["doc", "n"])
+
+
 def _column_stars(columns: DataFrame, percent: int) -> DataFrame:
-    """Each column times its first row: pairs (first document, other document) within the bounds."""
-    first = stable(columns.groupBy("h").agg(F.min(F.struct("doc", "n", "pos")).alias("p")))
-    d = columns.alias("q").join(first, "h").filter(F.col("q.doc") != F.col("p.doc"))
-    d = d.filter(_reachable("p", "q", percent))
+    """Each column times its few weightiest rows: pairs (centre, other document) within the bounds."""
+    order = Window.partitionBy("h").orderBy(F.desc("weight"), "doc", "n")
+    first = columns.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= CENTRES)
+    first = stable(first.select("h", "doc", "n", "pos"))
+    d = columns.alias("q").join(first.alias("p"), "h").filter(F.col("q.doc") != F.col("p.doc")).filter(_reachable("p", "q", percent))
     return _accumulated(d.select(F.col("p.doc").alias("a"), F.col("q.doc").alias("b"), F.col("p.n").alias("n"), F.col("q.n").alias("m")), percent)
 
 
-def _column_products(columns: DataFrame, comp: DataFrame, percent: int) -> DataFrame:
+def _close(a: str, b: str, percent: int) -> Column:
+    """Signatures, where both rows have one, differ in no more bits than the symmetric difference may have elements."""
+    n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
+    bits = [F.bit_count(F.col(f"{a}.sig")[i].bitwiseXOR(F.col(f"{b}.sig")[i])) for i in range(SIGNATURE // 64)]
+    return F.coalesce(sum(bits[1:], bits[0]) <= n + m - 2 * needed(n, m, percent), F.lit(True))
+
+
+def _column_products(columns: DataFrame, comp: DataFrame, signs: DataFrame, percent: int) -> DataFrame:
     """Entries of the product between rows of different components, in blocks of rows.
 
     A column of one component has nothing left to find. The rows of the other
     columns are dealt by a hash into blocks of about ``ROW_BLOCK``; each pair
     of blocks is one key, so a hot column is spread over many tasks. Rows of
-    the same component never meet.
+    the same component never meet, and in crowded columns only rows meet
+    whose signatures allow the threshold.
     """
     c = columns.join(comp.select(F.col("node").alias("doc"), "component"), "doc", "left").withColumn("c", F.coalesce("component", "doc"))
-    open_ = stable(c.groupBy("h").agg(F.count("*").alias("rows"), F.min("c").alias("lo"), F.max("c").alias("hi"))
-             .filter("lo < hi").select("h", F.ceil(F.col("rows") / ROW_BLOCK).cast("int").alias("k")))
-    rows = c.join(open_, "h").select("h", "doc", "n", "pos", "c", "k", F.pmod(F.xxhash64("doc"), "k").cast("int").alias("r"))
-    left = rows.withColumn("s", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
-    left = left.select("h", "doc", "n", "pos", "c", F.col("r").alias("x"), F.col("s").alias("y"))
-    right = rows.withColumn("s", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
-    right = right.select("h", "doc", "n", "pos", "c", F.col("s").alias("x"), F.col("r").alias("y"))
+    c = stable(c.select("h", "doc", "n", "pos", "c"))
+    open_ = stable(c.groupBy("h").agg(F.count("*").alias("rows"), F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("h", "rows"))
+    rows = c.join(open_, "h").select("h", "doc", "n", "pos", "c", "rows")
+    crowded = rows.filter(F.col("rows") > CROWD).join(signs.select(F.col("doc_id").alias("doc"), "n", "sig"), ["doc", "n"])
+    rows = rows.filter(F.col("rows") <= CROWD).withColumn("sig", F.lit(None).cast("array<long>")).unionByName(crowded)
+    rows = rows.withColumn("k", F.ceil(F.col("rows") / ROW_BLOCK).cast("int")).drop("rows").withColumn("r", F.pmod(F.xxhash64("doc"), "k").cast("int"))
+    rows = stable(rows).withColumn("s", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+    names = ["h", "doc", "n", "pos", "c", "sig"]
+    left = rows.select(*names, F.col("r").alias("x"), F.col("s").alias("y"))
+    right = rows.select(*names, F.col("s").alias("x"), F.col("r").alias("y"))
     d = left.alias("p").join(right.alias("q"), ["h", "x", "y"]).filter((F.col("p.doc") < F.col("q.doc")) & (F.col("p.c") != F.col("q.c")))
-    d = d.filter(_reachable("p", "q", percent))
+    d = d.filter(_reachable("p", "q", percent) & _close("p", "q", percent))
     return _accumulated(d.select(F.col("p.doc").alias("a"), F.col("q.doc").alias("b"), F.col("p.n").alias("n"), F.col("q.n").alias("m")), percent)
 
 
-def near_duplicate_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, width: int = WIDTH,
-                              frequent_over: int = FREQUENT_OVER, max_frequent: int = MAX_FREQUENT) -> DataFrame:
+def near_duplicate_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, width: int = WIDTH) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of ``docs``.
 
     component_id is the smallest id reachable by links (the id itself where
@@ -228,31 +290,29 @@ def near_duplicate_components(docs: DataFrame, id_col: str = "doc_id", text_col:
     of one id are one node, whatever their texts. A row with a null id links
     with nothing and has a null component. Other columns are not read.
 
-    ``max_frequent`` bounds the broadcast list of frequent shingles (8 bytes
-    each, 4 MB as set). The list only orders the shingles: any list gives the
-    same links, a good one makes fewer candidates.
+    Bitmaps of fixed size say how frequent a shingle's hash is. They only order
+    the shingles: any bits give the same links, good ones make fewer candidates.
     """
     spark = docs.sparkSession
     texts = with_bytes(docs, id_col, text_col)
     first = texts.mapInArrow(_first_prefixes(percent, width), "h long")
-    top = (first.groupBy("h").count().filter(F.col("count") > frequent_over).orderBy(F.desc("count"), "h").limit(max_frequent)
-           .select("h").toPandas()["h"])
-    frequent = spark.sparkContext.broadcast(np.sort(top.to_numpy(np.int64)))
-    rows = stable(texts.mapInArrow(_rows(percent, width, frequent), "doc_id long, n long, key binary, prefix array<long>"))
+    counts = stable(first.groupBy("h").count().filter(F.col("count") > LEVELS[0]))
+    frequent = spark.sparkContext.broadcast([bitmap(counts.filter(F.col("count") > n), "h") for n in LEVELS])
+    rows = stable(texts.mapInArrow(_rows(percent, width, frequent), "doc_id long, n long, key binary, sig array<long>, prefix array<long>"))
     known = rows.filter("n > 0 and doc_id is not null")
     classes = stable(known.groupBy("key").agg(F.min("doc_id").alias("rep")))
     # A class is one node, named by its least id. An id with several texts is in several classes and ties them together.
     member = stable(known.select("doc_id", "key").join(classes, "key").select("doc_id", "rep"))
     several = member.groupBy("doc_id").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).filter("lo < hi")
     ties = member.join(several, "doc_id").select(F.col("lo").alias("a"), F.col("rep").alias("b"))
-    reps = known.join(classes.select("key", F.col("rep").alias("doc_id")), ["key", "doc_id"]).dropDuplicates(["key", "doc_id"])
+    reps = known.select("doc_id", "n", "key", "prefix").join(classes.select("key", F.col("rep").alias("doc_id")), ["key", "doc_id"]).dropDuplicates(["key", "doc_id"])
     entries = reps.select(F.col("doc_id").alias("doc"), "n", F.posexplode("prefix").alias("pos", "h"))
     # Columns of one row have no product. The entries are dealt by column, and the single ones go before anything else is done.
     dealt = entries.repartition(shuffle_width(spark), "h").sortWithinPartitions("h").mapInArrow(_drop_single, "h long, doc long, n long, pos int")
-    columns = stable(dealt)
+    columns = stable(_with_weight(stable(dealt), percent))
     links = stable(_verified(_column_stars(columns, percent), texts, percent, width).union(ties))
     comp = stable(components(links, "a", "b"))
-    more = stable(_verified(_column_products(columns, comp, percent), texts, percent, width))
+    more = stable(_verified(_column_products(columns, comp, known, percent), texts, percent, width))
     chain = comp.select(F.col("node").alias("a"), F.col("component").alias("b"))
     comp = stable(components(chain.union(more), "a", "b"))
     node = member.groupBy("doc_id").agg(F.min("rep").alias("rep"))
