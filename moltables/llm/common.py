@@ -60,8 +60,13 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int =
             yield b.slice(start)
 
 
-def bounded(cache: dict, most: int) -> dict:
-    """Empty a worker's cache once it has ``most`` entries: it saves time only, never changes a result."""
-    if len(cache) > most:
-        cache.clear()
-    return cache
+def least_hashed(rows: DataFrame, id_col: str, total: int, most: int) -> DataFrame:
+    """At most ``most`` of ``total`` rows, those of the least hashed ids.
+
+    Rows far beyond the wanted share are left out before the sort, so that no
+    task keeps ``most`` rows of its own once there are many tasks.
+    """
+    part = 1 << 30
+    below = min(part, int(part * (2 * most + 50) / max(total, 1)))
+    h = F.pmod(F.xxhash64(id_col), F.lit(part))
+    return rows.filter(h < below).orderBy(h, F.xxhash64(*rows.columns)).limit(most)

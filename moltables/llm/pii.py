@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from moltables.llm import crf
-from moltables.llm.common import documents, query, slices, with_bytes
+from moltables.llm.common import documents, least_hashed, query, slices, with_bytes
 from moltables.session import stable
 
 KINDS = ("email", "ip", "card", "phone")
@@ -31,8 +31,8 @@ PATTERNS = {
 }
 #: What a text must hold before a pattern is tried at all.
 _NEEDS = {"email": "@", "ip": ".", "phone": "+"}
-#: Documents that give windows to the labelled table, the ones of the least hashed ids; and the most windows taken from one.
-LABELLED_DOCUMENTS, WINDOWS_OF_ONE, AROUND = 1500, 8, 4
+#: Documents that give windows to the labelled table, the ones of the least hashed ids; the most windows taken from one; tokens on each side.
+LABELLED_DOCUMENTS, WINDOWS_OF_ONE, AROUND = 5000, 8, 4
 #: Fixed labelled examples, token by token; a slash and a kind mark tokens of one span.
 EXAMPLES = """
 call me at (212)/phone 555-0142/phone after six
@@ -158,9 +158,10 @@ def fixed_examples() -> list[tuple[list[str], list[str]]]:
 
 
 def labelled_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = LABELLED_DOCUMENTS) -> DataFrame:
-    """Small labelled table (tokens, labels): windows of at most ``most`` documents that hold a digit or an @ sign."""
-    some = docs.filter(F.col(text_col).rlike("[0-9@]")).orderBy(F.xxhash64(id_col, text_col)).limit(most)
-    return with_bytes(some, id_col, text_col).select("text").mapInArrow(_window_task, "tokens array<string>, labels array<string>")
+    """Small labelled table (tokens, labels): windows of those of at most ``most`` documents that hold a digit or an @ sign."""
+    rows = with_bytes(docs, id_col, text_col)
+    some = least_hashed(rows, "doc_id", rows.count(), most).filter(F.col("text").cast("string").rlike("[0-9@]"))
+    return some.select("text").mapInArrow(_window_task, "tokens array<string>, labels array<string>")
 
 
 def trained(labelled: DataFrame) -> crf.Model:
