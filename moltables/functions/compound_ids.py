@@ -8,13 +8,12 @@ from pyspark.sql import functions as F
 # The 62 id symbols in value order.
 SYMBOLS = "0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
-
-def logp_labels() -> list[str]:
-    """The 61 logP bins: whole units below zero and above five, tenths between."""
-    below = [f"M{n * 100:03d}" for n in range(5, -1, -1)]
-    between = [f"P{n * 10:03d}" for n in range(0, 51)]
-    above = [f"P{n * 100:03d}" for n in range(6, 10)]
-    return below + between + above
+# The 61 logP bins in order.
+LOGP_LABELS = """
+    M500 M400 M300 M200 M100 M000 P000 P010 P020 P030 P040 P050 P060 P070 P080 P090 P100 P110 P120 P130 P140 P150 P160
+    P170 P180 P190 P200 P210 P220 P230 P240 P250 P260 P270 P280 P290 P300 P310 P320 P330 P340 P350 P360 P370 P380 P390
+    P400 P410 P420 P430 P440 P450 P460 P470 P480 P490 P500 P600 P700 P800 P900
+""".split()
 
 
 def strip_and_pad(s: Column, width: int) -> Column:
@@ -56,7 +55,7 @@ def tranche_of(compound_id: Column) -> Column:
     """``H<heavy atoms><logP bin>`` from characters 5 and 6; null when out of range."""
     heavy = base62_value(F.substring(compound_id, 5, 1), 1)
     logp = base62_value(F.substring(compound_id, 6, 1), 1)
-    labels = F.array(*[F.lit(x) for x in logp_labels()])
+    labels = F.array(*[F.lit(x) for x in LOGP_LABELS])
     return F.concat(F.format_string("H%02d", heavy), F.get(labels, logp.cast("int")))
 
 
@@ -66,7 +65,7 @@ def number_of(compound_id: Column) -> Column:
 
 def compound_id(number: Column, tranche: Column, prefix: str = "ZINC") -> Column:
     """Id text from (number, tranche); an unknown tranche is written ``??``."""
-    labels = F.array(*[F.lit(x) for x in logp_labels()])
+    labels = F.array(*[F.lit(x) for x in LOGP_LABELS])
     heavy = F.substring(tranche, 2, 2).try_cast("int")
     logp = F.array_position(labels, F.substring(tranche, 4, 4)).cast("int")
     known = (heavy.between(0, 61)) & (logp > 0)

@@ -31,35 +31,33 @@ ELEMENT_MASSES = {
     "Zn": 65.39, "Se": 78.96, "Br": 79.904, "Mo": 95.94, "Sn": 118.710, "I": 126.90447, "LP": 0.0,
 }
 
-# Numeric docking atom type of a typed atom, listed by number.
-_TYPES_BY_NUMBER = {
-    1: "C.2 C.ar C.1 C.cat", 5: "C.3", 6: "H H.spc H.t3p", 7: "H-C", 8: "N.2 N.1 N.ar N.pl3 N.am",
-    9: "N.4", 10: "N.3", 11: "O.2 O.co2 O.spc O.t3p", 12: "O.3", 13: "P.3", 14: "S.3 S.2 S.o S.o2",
-    15: "F", 16: "Cl", 17: "Br", 18: "I", 19: "Na K", 20: "Li Al Mg", 21: "Ca", 24: "Si",
-    25: "LP Du Du.C ANY HEV HET HAL Cr.oh Cr.th Se Fe Cu Sn Mo Mn Co.oh", 26: "Zn",
+# Numeric docking atom type of a typed atom.
+DOCK_TYPES = {
+    "C.2": 1, "C.ar": 1, "C.1": 1, "C.cat": 1, "C.3": 5, "H": 6, "H.spc": 6, "H.t3p": 6, "H-C": 7, "N.2": 8, "N.1": 8, "N.ar":
+    8, "N.pl3": 8, "N.am": 8, "N.4": 9, "N.3": 10, "O.2": 11, "O.co2": 11, "O.spc": 11, "O.t3p": 11, "O.3": 12, "P.3": 13,
+    "S.3": 14, "S.2": 14, "S.o": 14, "S.o2": 14, "F": 15, "Cl": 16, "Br": 17, "I": 18, "Na": 19, "K": 19, "Li": 20, "Al": 20,
+    "Mg": 20, "Ca": 21, "Si": 24, "LP": 25, "Du": 25, "Du.C": 25, "ANY": 25, "HEV": 25, "HET": 25, "HAL": 25, "Cr.oh": 25,
+    "Cr.th": 25, "Se": 25, "Fe": 25, "Cu": 25, "Sn": 25, "Mo": 25, "Mn": 25, "Co.oh": 25, "Zn": 26,
 }
-DOCK_TYPES = {t: n for n, names in _TYPES_BY_NUMBER.items() for t in names.split()}
 CARBON_TYPES = ("C.1", "C.2", "C.3", "C.ar", "C.cat")
 
 
-def _residue_classes() -> dict[str, str]:
-    # Residue names by class. Chain-end forms carry an N or C prefix.
-    inner = "ALA ARG ASN ASP CYS CYX GLN GLU GLY HID HIE HIP HIS ILE LEU LYS MET PHE PRO SER THR TRP TYR VAL".split()
-    protein = (
-        inner + ["N" + r for r in inner] + ["C" + r for r in inner]
-        + "ACE ASH AS4 CHYP CYM GLH GL4 HYP LYN NHE NME".split()
-    )
-    dna = [f"D{b}{end}" for b in "ACGT" for end in ("", "3", "5", "N")]
-    rna = [f"{b}{end}" for b in "ACGU" for end in ("", "3", "5", "N", "MP")] + ["OHE"]
-    lipid = "POPE DOPC AR CHL DHA LAL MY OL PA PC PE PGR PH- PS ST".split()
-    carbohydrate = "0GB 4GB 0YA 4YA 0fA 0YB 2MA 4YB NLN UYB VMB 0SA 6LB ROH".split()
-    out = {r: "protein" for r in protein}
-    out |= {r: "dna" for r in dna} | {r: "rna" for r in rna}
-    out |= {r: "lipid" for r in lipid} | {r: "carbohydrate" for r in carbohydrate}
-    return out | {"TIP3": "charmm_water", "WAT": "water"}
-
-
-RESIDUE_CLASSES = _residue_classes()
+# Residue names by class. Chain-end forms carry an N or C prefix.
+RESIDUE_NAMES = {
+    "protein": """
+        ALA ARG ASN ASP CYS CYX GLN GLU GLY HID HIE HIP HIS ILE LEU LYS MET PHE PRO SER THR TRP TYR VAL NALA NARG NASN
+        NASP NCYS NCYX NGLN NGLU NGLY NHID NHIE NHIP NHIS NILE NLEU NLYS NMET NPHE NPRO NSER NTHR NTRP NTYR NVAL CALA
+        CARG CASN CASP CCYS CCYX CGLN CGLU CGLY CHID CHIE CHIP CHIS CILE CLEU CLYS CMET CPHE CPRO CSER CTHR CTRP CTYR
+        CVAL ACE ASH AS4 CHYP CYM GLH GL4 HYP LYN NHE NME
+    """.split(),
+    "dna": "DA DA3 DA5 DAN DC DC3 DC5 DCN DG DG3 DG5 DGN DT DT3 DT5 DTN".split(),
+    "rna": "A A3 A5 AN AMP C C3 C5 CN CMP G G3 G5 GN GMP U U3 U5 UN UMP OHE".split(),
+    "lipid": "POPE DOPC AR CHL DHA LAL MY OL PA PC PE PGR PH- PS ST".split(),
+    "carbohydrate": "0GB 4GB 0YA 4YA 0fA 0YB 2MA 4YB NLN UYB VMB 0SA 6LB ROH".split(),
+    "charmm_water": "TIP3".split(),
+    "water": "WAT".split(),
+}
+RESIDUE_CLASSES = {name: group for group, names in RESIDUE_NAMES.items() for name in names}
 
 
 def rename_residues(text: Column, renames: Mapping[str, str] | None = None) -> Column:

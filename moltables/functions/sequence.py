@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Mapping, Sequence
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -63,49 +64,28 @@ def window_around(seq: Column, center: int | Column, half: int, index_base: int
 
 
 def find_exact(seq: Column, motif: str) -> Column:
-    """0-based starts of all hits, overlapping ones too.
+    """0-based starts of all hits, overlapping ones too; one pass over each text in an Arrow batch. Null for null."""
+    look = re.compile("(?=" + re.escape(motif.upper()) + ")")
 
-    The text is cut before every hit; running lengths of the pieces are the
-    starts, so the work is linear in the text.
-    """
-    m = motif.upper()
-    pieces = F.split(seq, "(?=" + re.escape(m) + ")", -1)
-    empty = F.array().cast("array<int>")
-    later = F.aggregate(
-        F.slice(pieces, 1, F.size(pieces) - 1),
-        F.struct(F.lit(0).alias("at"), empty.alias("out")),
-        lambda acc, p: F.struct((acc["at"] + F.length(p)).alias("at"), F.array_append(acc["out"], acc["at"] + F.length(p)).alias("out")),
-        lambda acc: acc["out"],
-    )
-    first = F.when(seq.startswith(m), F.array(F.lit(0))).otherwise(empty)
-    return F.array_distinct(F.concat(first, F.when(F.size(pieces) > 1, later).otherwise(empty)))
+    @F.pandas_udf("array<int>")
+    def starts(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: None if t is None else [m.start() for m in look.finditer(t)])
+    return starts(seq)
 
 
 def find_regex(seq: Column, pattern: str) -> Column:
-    """Spans (0-based start, end) of all non-overlapping hits of a regular expression.
+    """Spans (0-based start, end) of all non-overlapping hits of a regular expression; one pass over each text in an Arrow batch.
 
-    The text is cut into gaps and hits; running lengths give the spans, so no
-    Python worker is needed. Patterns that match the empty string are refused.
+    Null for null. Patterns that match the empty string are refused.
     """
-    if re.compile(pattern).match(""):
+    wanted = re.compile(pattern)
+    if wanted.match(""):
         raise ValueError("the pattern matches the empty string")
-    hits = F.regexp_extract_all(seq, F.lit(f"({pattern})"), F.lit(1))
-    gaps = F.split(seq, pattern, -1)
-    lens = F.transform(F.arrays_zip(gaps.alias("gap"), hits.alias("hit")),
-                       lambda z: F.struct(F.length(z["gap"]).alias("g"), F.coalesce(F.length(z["hit"]), F.lit(0)).alias("h")))
-    empty = F.array().cast("array<struct<start:int,end:int>>")
-    spans = F.aggregate(
-        F.slice(lens, 1, F.size(hits)),
-        F.struct(F.lit(0).alias("at"), empty.alias("out")),
-        lambda acc, z: F.struct(
-            (acc["at"] + z["g"] + z["h"]).alias("at"),
-            F.array_append(acc["out"], F.struct(
-                (acc["at"] + z["g"]).alias("start"), (acc["at"] + z["g"] + z["h"]).alias("end"),
-            )).alias("out"),
-        ),
-        lambda acc: acc["out"],
-    )
-    return F.when(F.size(hits) > 0, spans).otherwise(empty)
+
+    @F.pandas_udf("array<struct<start:int,end:int>>")
+    def spans(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: None if t is None else [{"start": m.start(), "end": m.end()} for m in wanted.finditer(t)])
+    return spans(seq)
 
 
 def coarse_structure(ss: Column, program: str = "dssp") -> Column:
@@ -119,16 +99,25 @@ def coarse_structure(ss: Column, program: str = "dssp") -> Column:
     return F.translate(marked, "".join(table) + "\u0001", "".join(table.values()) + "C")
 
 
-def helix_types(coarse: Column) -> Column:
-    """Mark helix starts (1), ends (2) and short helices (3) by length of each H run.
+# Helix runs and their types, applied in this order; a dot stands for any other letter or an end.
+HELIX_RUNS = (
+    (".H.", ".3."),
+    (".HH.", ".33."),
+    (".HHH.", ".333."),
+    (".HHHH.", ".3333."),
+    (".HHHHH.", ".13332."),
+    (".HHHHHH.", ".113322."),
+    (".HHHHHHH.", ".1113222."),
+    (".HHHH", ".1111"),
+    ("HHHH.", "2222."),
+)
 
-    Runs of up to four become all 3; five, six and seven get one, two and three
-    caps on both sides; longer ones four.
-    """
+
+def helix_types(coarse: Column) -> Column:
+    """Mark helix starts (1), ends (2) and short helices (3) by the length of each H run."""
     out = coarse
-    for n in range(1, 5):
-        out = F.regexp_replace(out, f"(?<!H)H{{{n}}}(?!H)", "3" * n)
-    for n, caps in ((5, 1), (6, 2), (7, 3)):
-        body = "1" * caps + ("3" * (n - 2 * caps)) + "2" * caps
-        out = F.regexp_replace(out, f"(?<!H)H{{{n}}}(?!H)", body)
-    return F.regexp_replace(F.regexp_replace(out, "(?<!H)HHHH(?=H)", "1111"), "(?<=[1H])HHHH(?!H)", "2222")
+    for run, types in HELIX_RUNS:
+        before = "(?<![H123])" if run.startswith(".") else ""
+        after = "(?!H)" if run.endswith(".") else ""
+        out = F.regexp_replace(out, f"{before}{run.strip('.')}{after}", types.strip("."))
+    return out

@@ -17,9 +17,9 @@ def complete_path(path: Column, root: str) -> Column:
 
 
 def between_markers(html: Column, before: str, after: str) -> Column:
-    """Text between two literal markers, first hit, percent-decoded."""
-    rest = F.substring_index(html, before, -1)
-    return F.when(html.contains(before), url_unquote(F.substring_index(rest, after, 1)))
+    """Text between two literal markers in the first line that holds the first one, percent-decoded."""
+    line = F.get(F.filter(F.split(html, "\r?\n"), lambda x: x.contains(before)), F.lit(0))
+    return F.when(html.contains(before), url_unquote(F.substring_index(F.substring_index(line, before, -1), after, 1)))
 
 
 def all_matches(html: Column, pattern: str, group: int = 1) -> Column:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from moltables.operators.ordered import MAX_GROUP_ROWS, largest_group, min_rank, ordered, running_count_at
+from moltables.operators.ordered import min_rank, ordered, running_count_at
 
 
 def group_sizes(df: DataFrame, group: str) -> DataFrame:
@@ -36,17 +36,15 @@ def number_groups(df: DataFrame, group: str, order: str, out: str = "group_no")
 
 def success_rates(
     df: DataFrame, group: str, potency: str, out: str = "prop_10x", factor: float = 10.0, min_size: int = 5,
-    max_group_rows: int = MAX_GROUP_ROWS,
+    hot: bool = False,
 ) -> DataFrame:
     """Share of the group with potency <= own potency / factor, ties exact.
 
     Groups of ``min_size`` or fewer, and rows without a potency, get 0. Rows
     with a null potency still count in the group size. A sweep over a running
-    count replaces the comparison of all pairs: one window when all groups are
-    small, else on distinct (group, potency) values cut into blocks.
+    count of the distinct (group, potency) values replaces the comparison of all
+    pairs.
     """
-    if largest_group(df.select(group), [group])[0] <= max_group_rows:
-        return _rates_in_windows(df, group, potency, out, factor, min_size)
     values = (
         df.filter(F.col(group).isNotNull() & F.col(potency).isNotNull())
         .groupBy(F.col(group).alias("_g"), F.col(potency).alias("_p")).agg(F.count(F.lit(1)).alias("_w"))
@@ -56,7 +54,7 @@ def success_rates(
         F.struct(F.col("_p").alias("at"), F.col("_w").alias("w"), F.lit(False).alias("ask")),
         F.struct(below.alias("at"), F.lit(0).cast("bigint").alias("w"), F.lit(True).alias("ask")),
     )).alias("e")).select("_g", "e.*")
-    counts = running_count_at(sweep, ["_g"], "at", F.col("w"), "_c", max_group_rows)
+    counts = running_count_at(sweep, ["_g"], "at", F.col("w"), "_c", hot)
     sizes = df.groupBy(F.col(group).alias("_g")).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > min_size)
     rates = (
         values.withColumn("at", below).join(counts, ["_g", "at"]).join(sizes, "_g")
@@ -66,31 +64,16 @@ def success_rates(
     return df.join(rates, on, "left").withColumn(out, F.coalesce("_rate", F.lit(0.0))).drop("_g", "_p", "_rate")
 
 
-def _rates_in_windows(df: DataFrame, group: str, potency: str, out: str, factor: float, min_size: int) -> DataFrame:
-    """Each row enters its group twice, as a member at its potency and as a question at a tenth of it."""
-    p = F.col(potency)
-    twice = df.select(F.col(group).alias("_g"), "*", F.explode(F.array(
-        F.struct(p.alias("_at"), F.lit(1).alias("_w")), F.struct((p / F.lit(factor)).alias("_at"), F.lit(0).alias("_w")),
-    )).alias("_e")).withColumns({"_at": F.col("_e._at"), "_w": F.col("_e._w")}).drop("_e")
-    # Members only count; their other columns are not shuffled.
-    twice = twice.select("_g", "_at", "_w", *[F.when(F.col("_w") == 0, F.col(c)).alias(c) for c in df.columns])
-    within = Window.partitionBy("_g")
-    upto = within.orderBy("_at").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    # Null potencies count in the group size but are not at or below anything.
-    known = F.when(F.col("_at").isNotNull(), F.col("_w")).otherwise(0)
-    d = twice.withColumns({"_c": F.sum(known).over(upto), "_n": F.sum("_w").over(within)}).filter(F.col("_w") == 0)
-    ok = F.col("_g").isNotNull() & F.col("_at").isNotNull() & (F.col("_n") > min_size)
-    return d.select(*df.columns, F.when(ok, F.col("_c") / F.col("_n")).otherwise(0.0).alias(out))
-
-
 def rank_in_group(
-    df: DataFrame, group: str, potency: str, ascending: bool, max_group_rows: int = MAX_GROUP_ROWS,
+    df: DataFrame, group: str, potency: str, ascending: bool, hot: bool = False,
 ) -> DataFrame:
-    """rank (min method), count and prop_improv = rank / count per row."""
-    ranked = min_rank(df, [group], potency, "rank", ascending, max_group_rows)
-    sizes = group_sizes(df, group).select(F.col(group).alias("_g"), F.col("n").alias("count"))
-    return ranked.join(sizes, F.col(group) == F.col("_g")).drop("_g").withColumn(
-        "prop_improv", F.col("rank") / F.col("count"))
+    """rank (min method), count and prop_improv = rank / count per row; rows without a group are a group."""
+    ranked = min_rank(df, [group], potency, "rank", ascending, hot)
+    if hot:
+        counted = with_group_count(ranked, [group], "count")
+    else:
+        counted = ranked.withColumn("count", F.count(F.lit(1)).over(Window.partitionBy(group)))
+    return counted.withColumn("prop_improv", F.col("rank") / F.col("count"))
 
 
 def with_group_count(df: DataFrame, keys: Sequence[str], out: str = "n") -> DataFrame:

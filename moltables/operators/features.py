@@ -3,24 +3,33 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from moltables.operators.fits import correlation_p_value, f_p_value
+from moltables.operators.ordered import ordered
 
 META = ("replicate", "ligand", "mutant")
-_FEATURE = re.compile(r"^(resi?[_\-]?\d+|R\d+|atom[_\-]?\d+)$", re.IGNORECASE)
+# Names of feature columns, in any case.
+FEATURE_NAMES = (
+    r"^res[_\-]?\d+$",
+    r"^resi[_\-]?\d+$",
+    r"^R\d+$",
+    r"^atom[_\-]?\d+$",
+)
 _NUMERIC = ("double", "float", "int", "bigint", "smallint", "tinyint")
 
 
 def feature_columns(df: DataFrame, meta: Sequence[str] = META) -> list[str]:
     """Numeric columns named like residues or atoms; failing that, all numeric non-meta columns."""
     numeric = [c for c, t in df.dtypes if c not in meta and (t in _NUMERIC or t.startswith("decimal"))]
-    named = [c for c in numeric if _FEATURE.match(c)]
+    named = [c for c in numeric if any(re.match(p, c, re.IGNORECASE) for p in FEATURE_NAMES)]
     if not (named or numeric):
         raise ValueError("no numeric feature columns")
     return named or numeric
@@ -152,7 +161,7 @@ def _assembled(df: DataFrame, features: Sequence[str], keep: Sequence[str]) -> D
 
 
 def forest(df: DataFrame, ident: str, features: Sequence[str], response: str, trees: int = 100, seed: int = 42,
-           subset: str = "auto") -> tuple[float, DataFrame]:
+           subset: str = "auto", depth: int = 30) -> tuple[float, DataFrame]:
     """(test R2, importances) of a standardised random forest on an 80/20 hash split."""
     from pyspark.ml import Pipeline
     from pyspark.ml.feature import StandardScaler
@@ -162,7 +171,7 @@ def forest(df: DataFrame, ident: str, features: Sequence[str], response: str, tr
     train, test = hash_split(d, ident, seed=seed)
     model = Pipeline(stages=[
         StandardScaler(inputCol="raw", outputCol="features", withMean=True),
-        RandomForestRegressor(numTrees=trees, seed=seed, featureSubsetStrategy=subset, maxDepth=8),
+        RandomForestRegressor(numTrees=trees, seed=seed, featureSubsetStrategy=subset, maxDepth=depth),
     ]).fit(train)
     e = model.transform(test)
     r2 = e.agg((1.0 - F.sum((F.col("label") - F.col("prediction")) ** 2) / (F.var_pop("label") * F.count(F.lit(1)))).alias("r2")).first()[0]
@@ -171,27 +180,22 @@ def forest(df: DataFrame, ident: str, features: Sequence[str], response: str, tr
     return r2, df.sparkSession.createDataFrame(rows, "feature string, importance double")
 
 
-def balanced_folds(df: DataFrame, group: str, folds: int = 3, max_groups: int = 100_000) -> DataFrame:
-    """Fold of every row; whole groups (replicates) stay together, largest first to the lightest fold.
+def balanced_folds(df: DataFrame, group: str, folds: int = 3) -> DataFrame:
+    """Fold of every row; whole groups (replicates) stay together and folds are near equal.
 
-    Only the table of group sizes reaches the driver, and its length is checked;
-    a longer one is split by hash.
+    Groups are dealt by falling size, back and forth over the folds, so two
+    folds differ by no more than the largest group. Rows without a group are
+    one group. The sizes are numbered in blocks, and nothing comes to the driver.
     """
-    sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("n"))
-    if sizes.limit(max_groups + 1).count() > max_groups:
-        return df.withColumn("fold", F.pmod(F.xxhash64(group), F.lit(folds)).cast("int"))
-    load = [0] * folds
-    rows = []
-    for r in sizes.orderBy(F.col("n").desc(), group).collect():
-        k = load.index(min(load))
-        load[k] += r["n"]
-        rows.append((r[group], k))
-    table = df.sparkSession.createDataFrame(rows, f"`{group}` {dict(df.dtypes)[group]}, fold int")
-    return df.join(F.broadcast(table), group)
+    sizes = df.groupBy(F.col(group).alias("_g")).agg(F.count(F.lit(1)).alias("n")).withColumn("_less", -F.col("n"))
+    at = ordered(sizes, [], ["_less", "_g"]).row_number("_rn").result()
+    turn, place = F.floor((F.col("_rn") - 1) / folds), F.pmod(F.col("_rn") - 1, F.lit(folds))
+    fold = F.when(turn % 2 == 0, place).otherwise(folds - 1 - place).cast("int")
+    return df.join(at.select("_g", fold.alias("fold")), F.col(group).eqNullSafe(F.col("_g"))).drop("_g")
 
 
 def grouped_cv(df: DataFrame, features: Sequence[str], label: str, group: str, folds: int = 3, classifier: str = "logistic",
-               c: float = 1.0, seed: int = 123) -> tuple[list[float], np.ndarray | None]:
+               c: float = 1.0, seed: int = 123, max_iter: int = 4000) -> tuple[list[float], np.ndarray | None]:
     """(accuracy per fold, mean weights) of a standardised classifier, folds by replicate."""
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier
@@ -206,7 +210,7 @@ def grouped_cv(df: DataFrame, features: Sequence[str], label: str, group: str, f
         train, test = d.filter(F.col("fold") != k), d.filter(F.col("fold") == k)
         n = train.count()
         model = (
-            LogisticRegression(family="multinomial", maxIter=200, regParam=1.0 / (c * max(n, 1)), elasticNetParam=0.0, standardization=False)
+            LogisticRegression(family="multinomial", maxIter=max_iter, regParam=1.0 / (c * max(n, 1)), elasticNetParam=0.0, standardization=False)
             if classifier == "logistic" else
             MultilayerPerceptronClassifier(layers=[len(features), 64, classes], maxIter=25, seed=seed))
         fit = Pipeline(stages=[StandardScaler(inputCol="raw", outputCol="features", withMean=True), model]).fit(train)
@@ -272,26 +276,57 @@ def projection_scores(long: DataFrame, ident: str, feature: str, value: str, wei
     return z.join(w, feature).groupBy(ident).agg(F.sum(F.col("z") * F.col("_w")).alias("score"))
 
 
+def products(rows: DataFrame, label: str, vec: str, shift: np.ndarray) -> DataFrame:
+    """(label, i, j, s): sums of products of coordinates i <= j less ``shift``; at i = -2 the sums of coordinate j, at i = -1 the count.
+
+    Each task adds its batches up in one matrix for each class and sends its
+    entries once, so what is shuffled does not grow with the rows of a task.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict = {}
+        for b in batches:
+            if not b.num_rows:
+                continue
+            x = np.stack(b.column(1).to_numpy(zero_copy_only=False)).astype(float) - shift
+            classes = b.column(0).to_pylist()
+            for c in dict.fromkeys(classes):
+                own = x[[k == c for k in classes]]
+                n, total, square = held.get(c, (0, 0.0, 0.0))
+                held[c] = n + len(own), total + own.sum(0), square + own.T @ own
+        for c, (n, total, square) in held.items():
+            i, j = np.triu_indices(len(total))
+            cells = [np.concatenate([[-1], np.full(len(total), -2), i]), np.concatenate([[0], np.arange(len(total)), j]), np.concatenate([[float(n)], total, square[i, j]])]
+            yield pa.RecordBatch.from_arrays([pa.array([c] * len(cells[0]), kind), *map(pa.array, cells)], [label, "i", "j", "s"])
+    own = rows.select(label, vec)
+    kind = to_arrow_type(own.schema[label].dataType)
+    parts = own.mapInArrow(run, f"`{label}` {own.schema[label].dataType.simpleString()}, i long, j long, s double")
+    return parts.groupBy(label, "i", "j").agg(F.sum("s").alias("s"))
+
+
 def fisher_direction(df: DataFrame, features: Sequence[str], label: str) -> DataFrame:
     """(feature, weight) of the leading discriminant, from class sums of products.
 
-    The scatter matrices are as wide as the feature list; classes are summed on
-    the executors.
+    Tasks add the products up; the driver gets one matrix for each class, as wide as the feature list.
     """
-    cols = [F.col(f).cast("double") for f in features]
     n = len(features)
-    aggs = [F.count(F.lit(1)).alias("n")] + [F.avg(c).alias(f"m{i}") for i, c in enumerate(cols)] + [
-        F.covar_pop(cols[i], cols[j]).alias(f"c{i}_{j}") for i in range(n) for j in range(i, n)]
-    rows = df.groupBy(label).agg(*aggs).collect()  # one row per class
-    total = sum(r["n"] for r in rows)
-    means = np.array([[r[f"m{i}"] for i in range(n)] for r in rows])
-    share = np.array([r["n"] / total for r in rows])
-    grand = share @ means
-    within, between = np.zeros((n, n)), np.zeros((n, n))
-    for r, p, m in zip(rows, share, means, strict=True):
-        c = np.array([[r[f"c{min(i, j)}_{max(i, j)}"] for j in range(n)] for i in range(n)])
-        within += p * c
-        between += p * np.outer(m - grand, m - grand)
+    rows = df.select(label, F.array(*[F.col(f).cast("double") for f in features]).alias("_x"))
+    got = products(rows, label, "_x", np.zeros(n)).toPandas()
+    classes = sorted(got[label].unique())
+    total = got.loc[got["i"] == -1, "s"].sum()
+    within, means, share = np.zeros((n, n)), [], []
+    for c in classes:
+        g = got[got[label] == c]
+        k = float(g.loc[g["i"] == -1, "s"].iloc[0])
+        m = g[g["i"] == -2].sort_values("j")["s"].to_numpy() / k
+        upper = g[g["i"] >= 0]
+        square = np.zeros((n, n))
+        square[upper["i"].to_numpy(int), upper["j"].to_numpy(int)] = upper["s"]
+        square = square + np.triu(square, 1).T
+        within += (square - k * np.outer(m, m)) / total
+        means.append(m)
+        share.append(k / total)
+    grand = np.array(share) @ np.array(means)
+    between = sum(p * np.outer(m - grand, m - grand) for p, m in zip(share, means, strict=True))
     val, vec = np.linalg.eig(np.linalg.pinv(within) @ between)
     w = np.real(vec[:, int(np.argmax(np.real(val)))])
     w = w * np.sign(w[np.abs(w).argmax()])

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from moltables.operators.ordered import MAX_GROUP_ROWS, ordered, running_count_at
+from moltables.operators.ordered import ordered, running_count_at
 
 
 def bin_index(x: Column, low: float | Column, width: float | Column, bins: int, closed_last: bool = True) -> Column:
@@ -138,11 +138,11 @@ def right_closed_means(df: DataFrame, x: str, value: str, bins: int = 20) -> Dat
     return _with_empty_bins(agg, [], bins, ["count", "mean"]).withColumn("count", F.coalesce("count", F.lit(0)))
 
 
-def empirical_cdf(df: DataFrame, value: str, max_group_rows: int = MAX_GROUP_ROWS) -> DataFrame:
+def empirical_cdf(df: DataFrame, value: str, hot: bool = False) -> DataFrame:
     """(value, n, cdf) per distinct value."""
     d = df.filter(F.col(value).isNotNull())
     pts = d.groupBy(value).agg(F.count(F.lit(1)).alias("n"))
-    run = running_count_at(pts, [], value, F.col("n"), "_c", max_group_rows, df.select(F.lit(1)))
+    run = running_count_at(pts, [], value, F.col("n"), "_c", hot)
     total = pts.agg(F.sum("n").alias("_t"))
     return run.join(pts, value).join(F.broadcast(total)).select(
         value, "n", (F.col("_c") / F.col("_t")).alias("cdf"), ((F.col("_c") - F.col("n")) / F.col("_t")).alias("cdf_before"))
@@ -154,11 +154,11 @@ def ks_against(df: DataFrame, value: str, cdf: Column) -> DataFrame:
     return e.agg(F.max(F.greatest(F.abs(F.col("_f") - F.col("cdf")), F.abs(F.col("_f") - F.col("cdf_before")))).alias("ks"))
 
 
-def ks_two_samples(df: DataFrame, value: str, first: Column, max_group_rows: int = MAX_GROUP_ROWS) -> DataFrame:
+def ks_two_samples(df: DataFrame, value: str, first: Column, hot: bool = False) -> DataFrame:
     """Largest gap between the distribution functions of the rows with and without ``first``."""
     pts = df.filter(F.col(value).isNotNull()).groupBy(value).agg(
         F.count_if(first).alias("_a"), F.count_if(~first).alias("_b"))
-    run = ordered(pts, [], [value], max_group_rows).scan(sums={"_ca": F.col("_a"), "_cb": F.col("_b")}).result()
+    run = ordered(pts, [], [value], hot).scan(sums={"_ca": F.col("_a"), "_cb": F.col("_b")}).result()
     tot = pts.agg(F.sum("_a").alias("_ta"), F.sum("_b").alias("_tb"))
     return run.join(F.broadcast(tot)).agg(
         F.max(F.abs(F.col("_ca") / F.col("_ta") - F.col("_cb") / F.col("_tb"))).alias("ks"))

@@ -1,10 +1,11 @@
 """Ordered (prefix) computations that survive hot groups.
 
-A SQL window puts a whole group into one task. When a group may be huge the
-rows are range partitioned on (keys, order) instead, every range becomes a
-block, each block is scanned on its own and small per-block summaries carry
-sums, last values and neighbours over block borders. A group whose size is
-proven small takes the ordinary window.
+A SQL window puts a whole group into one task. Without keys, and where the
+caller says that a group may be hot, the rows are range partitioned on (keys,
+order) instead, every range becomes a block, each block is scanned on its own
+and small per-block summaries carry sums, last values and neighbours over
+block borders. All other scans are ordinary windows, and nothing is counted
+while a query is built.
 """
 
 from __future__ import annotations
@@ -17,7 +18,6 @@ from pyspark.sql import functions as F
 
 from moltables.session import shuffle_width, stable
 
-MAX_GROUP_ROWS = 2_000_000
 _BLOCK = "_block"
 
 
@@ -139,30 +139,15 @@ class Ordered:
         return self.df.drop(self.block) if self.block == _BLOCK else self.df
 
 
-def largest_group(df: DataFrame, keys: Sequence[str]) -> tuple[int, int]:
-    """(rows of the largest group, all rows), counted map-side."""
-    top, total = df.groupBy(*keys).count().agg(F.max("count"), F.sum("count")).first()
-    return top or 0, total or 0
+def ordered(df: DataFrame, keys: Sequence[str], order: Sequence[str], hot: bool = False) -> Ordered:
+    """Prepare ``df`` for scans: plain windows, or range blocks without keys and for ``hot`` groups.
 
-
-def ordered(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], max_group_rows: int = MAX_GROUP_ROWS,
-    bound: DataFrame | None = None, bound_keys: Sequence[str] | None = None,
-) -> Ordered:
-    """Prepare ``df`` for scans: plain windows if every group is small, else range blocks.
-
-    ``order`` (ascending column names) must be total inside each group. When
-    ``df`` is costly to compute, ``bound`` may name a cheap table whose groups
-    are at least as large; if those are small, ``df`` is not counted.
+    ``order`` (ascending column names) must be total inside each group.
     """
     keys, order = tuple(keys), tuple(order)
-    if bound is not None and largest_group(bound, bound_keys if bound_keys is not None else keys)[0] <= max_group_rows:
-        return Ordered(df, keys, order)
-    top, total = largest_group(df, keys)
-    if top <= max_group_rows:
+    if keys and not hot:
         return Ordered(df, keys, order)
-    n = max(2 * shuffle_width(df.sparkSession), -(-total // max_group_rows) * 4)
-    ranged = df.repartitionByRange(n, *keys, *order).withColumn(_BLOCK, F.spark_partition_id())
+    ranged = df.repartitionByRange(2 * shuffle_width(df.sparkSession), *keys, *order).withColumn(_BLOCK, F.spark_partition_id())
     return Ordered(stable(ranged), keys, order, _BLOCK)
 
 
@@ -171,24 +156,18 @@ def ordered_by_block(df: DataFrame, keys: Sequence[str], block: str, order: Sequ
     return Ordered(df, tuple(keys), tuple(order), block)
 
 
-def running_count_at(
-    df: DataFrame, keys: Sequence[str], at: str, weight: Column, out: str,
-    max_group_rows: int = MAX_GROUP_ROWS, bound: DataFrame | None = None,
-) -> DataFrame:
+def running_count_at(df: DataFrame, keys: Sequence[str], at: str, weight: Column, out: str, hot: bool = False) -> DataFrame:
     """Distinct (keys, at) with the weight summed over all rows whose ``at`` is <= it.
 
     Equal values are added up before the scan, so ties cannot make a hot spot.
     """
     pts = df.groupBy(*keys, at).agg(F.sum(weight).alias("_wt"))
-    return ordered(pts, keys, [at], max_group_rows, bound).scan(sums={out: F.col("_wt")}).result().drop("_wt")
+    return ordered(pts, keys, [at], hot).scan(sums={out: F.col("_wt")}).result().drop("_wt")
 
 
-def min_rank(
-    df: DataFrame, keys: Sequence[str], value: str, out: str, ascending: bool,
-    max_group_rows: int = MAX_GROUP_ROWS,
-) -> DataFrame:
+def min_rank(df: DataFrame, keys: Sequence[str], value: str, out: str, ascending: bool, hot: bool = False) -> DataFrame:
     """Competition rank (1,1,3) of ``value`` inside the group; null values get a null rank."""
-    if largest_group(df, keys)[0] <= max_group_rows:
+    if keys and not hot:
         o = F.col(value).asc_nulls_last() if ascending else F.col(value).desc_nulls_last()
         r = F.rank().over(Window.partitionBy(*keys).orderBy(o)).cast("bigint")
         return df.withColumn(out, F.when(F.col(value).isNotNull(), r))
@@ -196,7 +175,7 @@ def min_rank(
         df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
         .withColumn("_o", F.col(value) if ascending else -F.col(value))
     )
-    ranks = ordered(pts, keys, ["_o"], max_group_rows).scan(sums={"_upto": F.col("_n")}).result()
+    ranks = ordered(pts, keys, ["_o"], hot).scan(sums={"_upto": F.col("_n")}).result()
     ranks = ranks.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col(value).alias("_v"),
                          (F.col("_upto") - F.col("_n") + 1).alias(out))
     on = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys] + [F.col(value) == F.col("_v")]

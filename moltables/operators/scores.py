@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from moltables.functions.units import KT, KT_TO_KCAL
-from moltables.operators.ordered import MAX_GROUP_ROWS, ordered, running_count_at
+from moltables.operators.ordered import ordered, running_count_at
 
 RANDOM_LOG_AUC = 0.14462
 
@@ -64,12 +64,12 @@ def drop_identical(df: DataFrame, same: Sequence[str], order: Sequence[str], wit
 
 
 def rank_against(df: DataFrame, score: str, reference: DataFrame, ref_score: str, out: str = "rank",
-                 max_group_rows: int = MAX_GROUP_ROWS) -> DataFrame:
+                 hot: bool = False) -> DataFrame:
     """max(1, number of reference scores <= score)."""
     pts = df.select(F.col(score).alias("at")).distinct().withColumn("w", F.lit(0).cast("bigint")).unionByName(
         reference.groupBy(F.col(ref_score).alias("at")).agg(F.count(F.lit(1)).alias("w")))
     both = df.select(F.lit(1)).unionAll(reference.select(F.lit(1)))
-    counts = running_count_at(pts, [], "at", F.col("w"), "_c", max_group_rows, both)
+    counts = running_count_at(pts, [], "at", F.col("w"), "_c", hot)
     return df.join(counts, F.col(score) == F.col("at"), "left").withColumn(
         out, F.greatest(F.lit(1).cast("bigint"), F.coalesce("_c", F.lit(0)))).drop("at", "_c")
 
@@ -163,8 +163,9 @@ def density_corrected_preferences(
     # An index past the end of the list means its last value.
     nth = nth.filter(F.col("_i") == F.least(F.col("_k"), F.col("_hi") - 1))
     low = poses.groupBy(compound).agg(F.min(energy).alias("_low"))
+    # Equal poses have an r_k of 0 where all of a compound's other poses are equal too; they have no weight then.
     weighted = poses.join(nth.select(compound, "pose", "rmsd", "_k"), [compound, "pose"]).join(low, compound).withColumn(
-        "_w", F.exp(-(F.col(energy) - F.col("_low")) / kt) / (F.col("_k") / F.pow("rmsd", F.lit(dof))))
+        "_w", F.exp(-(F.col(energy) - F.col("_low")) / kt) / F.try_divide(F.col("_k").cast("double"), F.pow("rmsd", F.lit(dof))))
     total = weighted.groupBy(compound).agg(F.sum("_w").alias("_all"))
     parts = weighted.select(compound, "_w", F.explode(F.array_distinct(F.split(receptor, r"\."))).alias("part"))
     return parts.groupBy(compound, "part").agg(F.sum("_w").alias("_in")).join(total, compound).select(
@@ -175,11 +176,11 @@ def information_content(df: DataFrame, x: str, group: Sequence[str] = ()) -> Dat
     return df.filter(F.col(x) > 0).groupBy(*group).agg(F.sum(F.col(x) * F.log(x)).alias("information"))
 
 
-def roc_points(df: DataFrame, score: str, is_ligand: Column, max_group_rows: int = MAX_GROUP_ROWS) -> DataFrame:
+def roc_points(df: DataFrame, score: str, is_ligand: Column, hot: bool = False) -> DataFrame:
     """(x, y, x0, y0) per distinct score: decoy and ligand fractions found so far and before it."""
     pts = df.filter(F.col(score).isNotNull()).groupBy(score).agg(
         F.count_if(is_ligand).alias("_l"), F.count_if(~is_ligand).alias("_d"))
-    run = ordered(pts, [], [score], max_group_rows).scan(sums={"_cl": F.col("_l"), "_cd": F.col("_d")}).result()
+    run = ordered(pts, [], [score], hot).scan(sums={"_cl": F.col("_l"), "_cd": F.col("_d")}).result()
     tot = pts.agg(F.sum("_l").alias("_tl"), F.sum("_d").alias("_td"))
     d = run.join(F.broadcast(tot))  # one row
     return d.select(

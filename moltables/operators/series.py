@@ -5,14 +5,14 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from moltables.operators.ordered import MAX_GROUP_ROWS, ordered
+from moltables.operators.ordered import ordered
 
 
-def every_nth(df: DataFrame, keys: Sequence[str], order: Sequence[str], stride: int, max_group_rows: int = MAX_GROUP_ROWS) -> DataFrame:
-    d = ordered(df, keys, order, max_group_rows).row_number("_rn").result()
+def every_nth(df: DataFrame, keys: Sequence[str], order: Sequence[str], stride: int, hot: bool = False) -> DataFrame:
+    d = ordered(df, keys, order, hot).row_number("_rn").result()
     return d.filter((F.col("_rn") - 1) % stride == 0).drop("_rn")
 
 
@@ -21,10 +21,10 @@ def first_rows(df: DataFrame, order: Sequence[str], n: int) -> DataFrame:
 
 
 def window_statistics(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, discard: float = 0.20,
-                      max_group_rows: int = MAX_GROUP_ROWS) -> DataFrame:
+                      hot: bool = False) -> DataFrame:
     """Mean, standard error and n per window after dropping the first int(discard * n) samples."""
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    d = ordered(df, keys, order, max_group_rows).row_number("_rn").result()
+    d = ordered(df, keys, order, hot).row_number("_rn").result()
     d = d.join(sizes, list(keys)).filter(F.col("_rn") > F.floor(F.col("_n") * F.lit(discard)))
     n = F.count(value)
     return d.groupBy(*keys).agg(
@@ -33,12 +33,12 @@ def window_statistics(df: DataFrame, keys: Sequence[str], order: Sequence[str],
 
 
 def integrate(df: DataFrame, keys: Sequence[str], x: str, y: str, sem: str | None = None,
-              max_group_rows: int = MAX_GROUP_ROWS) -> DataFrame:
+              hot: bool = False) -> DataFrame:
     """Trapezoid integral per series, and its propagated uncertainty when ``sem`` is given."""
     lags = {"_x": F.col(x), "_y": F.col(y)}
     if sem:
         lags["_s"] = F.col(sem)
-    d = ordered(df, keys, [x], max_group_rows).scan(lags=lags).result()
+    d = ordered(df, keys, [x], hot).scan(lags=lags).result()
     dx = F.col(x) - F.col("_x")
     aggs = [F.coalesce(F.sum(dx * (F.col(y) + F.col("_y")) / 2.0), F.lit(0.0)).alias("integral"),
             F.count(F.lit(1)).alias("n_points")]
@@ -72,69 +72,85 @@ def _fit_weights(window: int, degree: int, at: int) -> list[float]:
     return (p @ np.linalg.pinv(a)).tolist()
 
 
+def _weights(spark: SparkSession, window: int, degree: int) -> DataFrame:
+    """(_w, _m): for each odd window up to ``window`` the weights _m[at][j] of its j-th value at its place ``at``.
+
+    A window of at most ``degree`` values is met exactly by its polynomial, so there
+    the weights leave values as they are. The table has ``window`` / 2 rows.
+    """
+    rows = []
+    for w in range(1, window + 1, 2):
+        fit = [_fit_weights(w, degree, at) for at in range(w)] if w > degree else np.eye(w).tolist()
+        rows.append((w, fit))
+    return spark.createDataFrame(rows, "_w int, _m array<array<double>>")
+
+
 def smooth(df: DataFrame, keys: Sequence[str], order: str, value: str, window: int = 51, degree: int = 2, out: str = "smooth",
-           clip_at: float | None = 0.0, max_group_rows: int = MAX_GROUP_ROWS) -> DataFrame:
-    """Savitzky-Golay smoothing of series of at least ``window`` rows; ends use the end polynomials.
+           clip_at: float | None = 0.0, hot: bool = False) -> DataFrame:
+    """Savitzky-Golay smoothing; ends use the end polynomials.
 
-    Inner rows take the fixed weights, the first and last ``window // 2`` rows
-    the polynomial of the first or last window. Short series see their
-    neighbours through a window frame; a series cut into blocks is never
+    A series shorter than ``window`` takes the longest odd window it has. Inner
+    rows take the weights of the window's middle, the first and last
+    ``window // 2`` rows the polynomial of the first or last window. Rows see
+    their neighbours through a window frame; a series cut into blocks is never
     gathered, there each row adds its weighted value to the rows it influences.
     """
-    half = window // 2
-    run = ordered(df.select(*keys, order, value), keys, [order], max_group_rows)
-    if run.block is None:
-        return _smooth_in_frames(run.df, keys, order, value, window, degree, out, clip_at)
+    window = window - 1 if window % 2 == 0 else window
+    d = df.select(*keys, order, value)
+    sizes = d.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    sizes = sizes.withColumn("_w", F.least(F.lit(window), F.col("_n") - F.when(F.col("_n") % 2 == 0, 1).otherwise(0)).cast("int"))
+    sizes = sizes.join(F.broadcast(_weights(df.sparkSession, window, degree)), "_w")
+    run = ordered(d, keys, [order], hot)
+    smoothed = _smooth_in_frames if run.block is None else _smooth_in_blocks
+    return smoothed(run, sizes, keys, order, value, window, out, clip_at)
+
+
+def _with_sizes(d: DataFrame, sizes: DataFrame, keys: Sequence[str]) -> DataFrame:
+    if not keys:
+        return d.join(F.broadcast(sizes))
+    on = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
+    sizes = sizes.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], "_n", "_w", "_m")
+    return d.join(sizes, on).drop(*[f"_k{i}" for i in range(len(keys))])
+
+
+def _smooth_in_blocks(run, sizes, keys, order, value, window, out, clip_at) -> DataFrame:
     o = run.row_number("_rn").result()
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    d = o.join(sizes, list(keys)) if keys else o.join(F.broadcast(sizes))
-    inner = _fit_weights(window, degree, half)
-    # left[at][j]: weight of the j-th value of the first window in the row at position ``at``
-    left = [_fit_weights(window, degree, at) for at in range(half)]
-    mid = F.array(*[F.lit(w) for w in inner])
-    left_w = F.array(*[F.array(*[F.lit(w) for w in row]) for row in left])
-    i, n = F.col("_rn") - 1, F.col("_n")
-    # Rows this value contributes to, as (target position, weight).
-    centre = F.transform(
-        F.filter(F.sequence(i - half, i + half), lambda t: (t >= half) & (t < n - half)),
-        lambda t: F.struct(t.alias("t"), F.get(mid, (i - t + half).cast("int")).alias("w")))
-    none = F.array().cast("array<struct<t:bigint,w:double>>")
-    head = F.when(i < window, F.transform(F.sequence(F.lit(0), F.lit(half - 1)), lambda t: F.struct(
-        t.cast("bigint").alias("t"), F.get(F.get(left_w, t), i.cast("int")).alias("w")))).otherwise(none)
-    # The end is the mirror image of the start.
-    tail = F.when(i >= n - window, F.transform(F.sequence(F.lit(0), F.lit(half - 1)), lambda t: F.struct(
-        (n - 1 - t).alias("t"), F.get(F.get(left_w, t), (n - 1 - i).cast("int")).alias("w")))).otherwise(none)
-    parts = d.select(*keys, F.col(value).alias("_v"), F.explode(F.concat(centre, head, tail)).alias("_c"))
-    sums = parts.groupBy(*keys, F.col("_c.t").alias("_t")).agg(F.sum(F.col("_v") * F.col("_c.w")).alias(out))
-    sums = sums.withColumn("_rn", F.col("_t") + 1).drop("_t")
+    i, n, w = F.col("_rn") - 1, F.col("_n"), F.col("_w")
+    half = F.floor(w / 2)
+    # Rows this value contributes to, as (target, place of the target in its window, place of the value in it).
+    start = lambda t: F.greatest(F.lit(0), F.least(t - half, n - w))
+    near = F.sequence(F.greatest(F.lit(0), i - w + 1), F.least(n - 1, i + w - 1))
+    targets = F.filter(near, lambda t: (start(t) <= i) & (i < start(t) + w))
+    d = _with_sizes(o, sizes, keys).select(*keys, F.col(value).alias("_v"), "_m", F.explode(F.transform(
+        targets, lambda t: F.struct(t.alias("t"), (t - start(t)).cast("int").alias("at"), (i - start(t)).cast("int").alias("j")))).alias("_c"))
+    part = F.col("_v") * F.get(F.get("_m", F.col("_c.at")), F.col("_c.j"))
+    sums = d.groupBy(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_c.t").alias("_t")).agg(F.sum(part).alias(out))
     if clip_at is not None:
         sums = sums.withColumn(out, F.greatest(F.col(out), F.lit(clip_at)))
-    return o.join(sums, [*keys, "_rn"]).drop("_rn")
+    on = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)] + [F.col("_rn") == F.col("_t") + 1]
+    return o.join(sums, on).drop("_rn", "_t", *[f"_k{i}" for i in range(len(keys))])
 
 
-def _smooth_in_frames(df: DataFrame, keys: Sequence[str], order: str, value: str, window: int, degree: int, out: str,
-                      clip_at: float | None) -> DataFrame:
-    w = Window.partitionBy(*keys)
-    along = w.orderBy(order)
-    table = F.array(*[F.array(*[F.lit(x) for x in _fit_weights(window, degree, at)]) for at in range(window)])
-    d = df.withColumns({
-        "_i": F.row_number().over(along) - 1, "_n": F.count(F.lit(1)).over(w).cast("int"),
+def _smooth_in_frames(run, sizes, keys, order, value, window, out, clip_at) -> DataFrame:
+    along = Window.partitionBy(*keys).orderBy(order)
+    d = run.df.withColumns({
+        "_i": F.row_number().over(along) - 1,
         "_near": F.collect_list(F.struct(F.col(value).alias("v"))).over(along.rowsBetween(-(window - 1), window - 1))})
     # First row of the fitted window, and its place in the neighbour list.
-    d = d.withColumn("_s", F.greatest(F.lit(0), F.least(F.col("_i") - window // 2, F.col("_n") - window)))
-    used = F.slice("_near", F.col("_s") - F.greatest(F.lit(0), F.col("_i") - (window - 1)) + 1, F.lit(window))
-    total = F.aggregate(F.zip_with(used, F.get(table, F.col("_i") - F.col("_s")), lambda a, b: F.coalesce(a["v"] * b, F.lit(0.0))),
+    d = _with_sizes(d, sizes, keys).withColumn("_s", F.greatest(F.lit(0), F.least(F.col("_i") - F.floor(F.col("_w") / 2), F.col("_n") - F.col("_w"))).cast("int"))
+    used = F.slice("_near", F.col("_s") - F.greatest(F.lit(0), F.col("_i") - (window - 1)) + 1, F.col("_w"))
+    total = F.aggregate(F.zip_with(used, F.get("_m", F.col("_i") - F.col("_s")), lambda a, b: F.coalesce(a["v"] * b, F.lit(0.0))),
                         F.lit(0.0), lambda a, b: a + b)
     result = total if clip_at is None else F.greatest(total, F.lit(clip_at))
     return d.select(*keys, order, value, result.alias(out))
 
 
 def exact_percentile(df: DataFrame, keys: Sequence[str], value: str, p: float, out: str,
-                     max_group_rows: int = MAX_GROUP_ROWS) -> DataFrame:
+                     hot: bool = False) -> DataFrame:
     """Linear-interpolated percentile from running counts of distinct values, so no task holds a group."""
     pts = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_w"))
     sizes = pts.groupBy(*keys).agg(F.sum("_w").alias("_n"))
-    run = ordered(pts, keys, [value], max_group_rows).scan(sums={"_c": F.col("_w")}).result()
+    run = ordered(pts, keys, [value], hot).scan(sums={"_c": F.col("_w")}).result()
     run = run.join(sizes, list(keys)) if keys else run.join(F.broadcast(sizes))
     at = F.lit(p) * (F.col("_n") - 1)
     both = run.groupBy(*keys).agg(
@@ -145,17 +161,17 @@ def exact_percentile(df: DataFrame, keys: Sequence[str], value: str, p: float, o
 
 
 def plateau(df: DataFrame, keys: Sequence[str], order: str, value: str, bulk_share: float = 0.90, edge_share: float = 0.05,
-            max_group_rows: int = MAX_GROUP_ROWS) -> DataFrame:
+            hot: bool = False) -> DataFrame:
     """Longest run at or above bulk_share * p95, and the extent at or above edge_share * p95.
 
     (keys, bulk, bulk_low, bulk_high, bulk_rows, extent_low, extent_high); the
     first of equally long runs wins.
     """
-    p95 = exact_percentile(df, keys, value, 0.95, "bulk", max_group_rows)
+    p95 = exact_percentile(df, keys, value, 0.95, "bulk", hot)
     d = df.select(*keys, order, value)
     d = d.join(p95, list(keys)) if keys else d.join(F.broadcast(p95))
     d = d.withColumn("_in", F.col(value) >= F.col("bulk") * bulk_share)
-    o = ordered(d, keys, [order], max_group_rows).scan(lags={"_prev": F.col("_in")})
+    o = ordered(d, keys, [order], hot).scan(lags={"_prev": F.col("_in")})
     o = o.with_columns({"_start": (F.col("_in") & ~F.coalesce(F.col("_prev"), F.lit(False))).cast("int")})
     d = o.scan(sums={"_run": F.col("_start")}).result()
     runs = d.filter("_in").groupBy(*keys, "_run").agg(

@@ -13,7 +13,7 @@ from moltables.functions.geometry import distance, point
 from moltables.functions.residues import CARBON_TYPES, DOCK_TYPES, mass_of_type
 from moltables.functions.sequence import lookup, one_letter
 from moltables.functions.units import DEBYE_PER_ELECTRON_ANGSTROM, network_decay
-from moltables.operators.ordered import MAX_GROUP_ROWS, ordered
+from moltables.operators.ordered import ordered
 
 XYZ = ("x", "y", "z")
 
@@ -175,8 +175,9 @@ def atom_mass_by_letter(name: Column) -> Column:
 
 
 def within_distance(poses: DataFrame, center: DataFrame, cutoff: float = 10.0) -> DataFrame:
-    """Pose centroids (cx, cy, cz) at most ``cutoff`` from the one-row ``center``."""
-    c = center.limit(1).select(*[F.col(f"c{v}").alias(f"_r{v}") for v in XYZ])
+    """Pose centroids (cx, cy, cz) at most ``cutoff`` from the one-row ``center``; more than one centre is an error."""
+    one = F.when(F.count(F.lit(1)) > 1, F.raise_error(F.lit("more than one centre"))).otherwise(F.min(F.struct(*[f"c{v}" for v in XYZ])))
+    c = center.agg(one.alias("_c")).filter("_c is not null").select(*[F.col(f"_c.c{v}").alias(f"_r{v}") for v in XYZ])
     d = poses.join(F.broadcast(c))
     dist = distance(point("cx", "cy", "cz"), point("_rx", "_ry", "_rz"))
     return d.withColumn("distance", dist).filter(F.col("distance") <= cutoff).drop("_rx", "_ry", "_rz")
@@ -265,9 +266,9 @@ def template_serials(atoms: DataFrame, template: DataFrame, keys: Sequence[str])
 
 
 def run_numbers(df: DataFrame, keys: Sequence[str], order: Sequence[str], changed: Sequence[str], out: str,
-                max_group_rows: int = MAX_GROUP_ROWS) -> DataFrame:
+                hot: bool = False) -> DataFrame:
     """Number contiguous runs of equal ``changed`` columns 1, 2, … along the order."""
-    return _runs(ordered(df, keys, order, max_group_rows), changed, out).result()
+    return _runs(ordered(df, keys, order, hot), changed, out).result()
 
 
 def _runs(o, changed: Sequence[str], out: str):
@@ -279,12 +280,12 @@ def _runs(o, changed: Sequence[str], out: str):
 
 
 def renumber_residues(lines: DataFrame, keys: Sequence[str], order: Sequence[str], segment: str, resid: str, out: str = "new_resid",
-                      per_atoms: dict[str, int] | None = None, max_group_rows: int = MAX_GROUP_ROWS) -> DataFrame:
+                      per_atoms: dict[str, int] | None = None, hot: bool = False) -> DataFrame:
     """Residue numbers from 1 in every segment run, +1 when the residue changes.
 
     ``per_atoms`` numbers some segments by atom count instead (TIP3: 3).
     """
-    o = ordered(lines, keys, order, max_group_rows)
+    o = ordered(lines, keys, order, hot)
     o = _runs(o, [segment], "_seg_run")
     o = _runs(o, [segment, resid], "_res_run")
     o = o.scan(lags={"_seg_prev": F.col("_seg_run")})
@@ -300,23 +301,26 @@ def renumber_residues(lines: DataFrame, keys: Sequence[str], order: Sequence[str
     return d.drop("_seg_run", "_res_run", "_seg_prev", "_row", "_base")
 
 
-def dense_numbers(atoms: DataFrame, keys: Sequence[str], what: str, order: str, out: str, max_group_rows: int = MAX_GROUP_ROWS) -> DataFrame:
-    """Numbers 1, 2, … of distinct ``what`` values in first-seen order."""
+def dense_numbers(atoms: DataFrame, keys: Sequence[str], what: str, order: str, out: str, hot: bool = False) -> DataFrame:
+    """Numbers 1, 2, … of distinct ``what`` values in first-seen order; null is a value of its own."""
     firsts = atoms.groupBy(*keys, what).agg(F.min(order).alias("_first"))
-    numbers = ordered(firsts, keys, ["_first"], max_group_rows).row_number(out).result().drop("_first")
-    return atoms.join(numbers, [*keys, what])
+    numbers = ordered(firsts, keys, ["_first"], hot).row_number(out).result().drop("_first")
+    names = [*keys, what]
+    numbers = numbers.select(*[F.col(c).alias(f"_d{i}") for i, c in enumerate(names)], out)
+    on = [F.col(c).eqNullSafe(F.col(f"_d{i}")) for i, c in enumerate(names)]
+    return atoms.join(numbers, on).drop(*[f"_d{i}" for i in range(len(names))])
 
 
-def running_suffix(df: DataFrame, ident: str, order: Sequence[str], out: str = "name", max_group_rows: int = MAX_GROUP_ROWS) -> DataFrame:
+def running_suffix(df: DataFrame, ident: str, order: Sequence[str], out: str = "name", hot: bool = False) -> DataFrame:
     """id_0, id_1, … for repeated ids."""
-    d = ordered(df, [ident], order, max_group_rows).row_number("_rn").result()
+    d = ordered(df, [ident], order, hot).row_number("_rn").result()
     return d.withColumn(out, F.concat(F.col(ident), F.lit("_"), (F.col("_rn") - 1).cast("string"))).drop("_rn")
 
 
 def chain_numbers(lines: DataFrame, keys: Sequence[str], order: Sequence[str], chain: str, is_ter: Column,
-                  max_group_rows: int = MAX_GROUP_ROWS) -> DataFrame:
+                  hot: bool = False) -> DataFrame:
     """Chains split at TER records or a change of chain id, numbered from 0; TER lines belong to the chain they end."""
-    o = ordered(lines.withColumn("_ter", is_ter), keys, order, max_group_rows)
+    o = ordered(lines.withColumn("_ter", is_ter), keys, order, hot)
     o = o.scan(lags={"_pc": F.col(chain), "_pt": F.col("_ter")})
     new = F.coalesce(F.col("_pt"), F.lit(False)) | (~F.col("_ter") & F.col("_pc").isNotNull() & (F.col("_pc") != F.col(chain)))
     d = o.with_columns({"_new": new.cast("int")}).scan(sums={"chain_no": F.col("_new")}).result()
@@ -335,11 +339,11 @@ def chain_breaks(atoms: DataFrame, keys: Sequence[str], residue: str, cutoff: fl
     return d.filter(F.col("gap") > cutoff)
 
 
-def residue_sequence(atoms: DataFrame, keys: Sequence[str], order: str, chunk: int = 10_000, max_group_rows: int = MAX_GROUP_ROWS) -> DataFrame:
+def residue_sequence(atoms: DataFrame, keys: Sequence[str], order: str, chunk: int = 10_000, hot: bool = False) -> DataFrame:
     """One-letter sequence of distinct (segid, chain, resseq) CA atoms, in pieces of ``chunk`` residues."""
     first = atoms.filter(F.col("name") == "CA").groupBy(*keys, "segid", "chain", "resseq").agg(
         F.min(order).alias("_at"), F.min_by("resname", order).alias("resname"))
-    o = ordered(first, keys, ["_at"], max_group_rows).row_number("_rn").result()
+    o = ordered(first, keys, ["_at"], hot).row_number("_rn").result()
     row = F.struct("_rn", one_letter(F.col("resname")).alias("aa"))
     return o.groupBy(*keys, F.floor((F.col("_rn") - 1) / chunk).cast("int").alias("part")).agg(
         F.array_join(F.transform(F.sort_array(F.collect_list(row)), lambda s: s["aa"]), "").alias("sequence"))

@@ -8,6 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from moltables.operators.features import products
 from moltables.functions.geometry import dihedral, point
 from moltables.operators.similarity import connected_components
 from moltables.operators.structure import XYZ, centre_of_mass
@@ -84,6 +85,23 @@ def covariance_table(long: DataFrame, frame: str, coordinate: str, value: str) -
     return s.join(F.broadcast(n)).select("i", "j", (F.col("_s") / (F.col("_n") - 1)).alias("cov"))
 
 
+def vector_covariance(frames: DataFrame, vec: str) -> DataFrame:
+    """(i, j, cov) of coordinates i <= j, sample covariance over frames; each task adds its products up before anything is shuffled.
+
+    Rows without a vector are left out. The products are taken about the
+    first vector, so that large offsets do not cost digits.
+    """
+    got = frames.filter(F.col(vec).isNotNull()).select(vec)
+    first = got.limit(1).collect()
+    shift = np.array(first[0][0], float) if first else np.zeros(0)
+    s = products(got.select(F.lit(0).alias("_c"), vec), "_c", vec, shift)
+    n = s.filter("i = -1").select(F.col("s").alias("_n"))
+    m = s.filter("i = -2").select(F.col("j").alias("_j"), F.col("s").alias("_s"))
+    d = s.filter("i >= 0").join(F.broadcast(n))
+    d = d.join(m, F.col("i") == F.col("_j")).drop("_j").withColumnRenamed("_s", "_si").join(m, F.col("j") == F.col("_j"))
+    return d.select("i", "j", F.try_divide(F.col("s") - F.col("_si") * F.col("_s") / F.col("_n"), F.col("_n") - 1).alias("cov"))
+
+
 def principal_components(vectors: DataFrame, column: str, k: int = 10) -> tuple[DataFrame, DataFrame]:
     """(components, eigenvectors) of an array<double> column over all rows.
 

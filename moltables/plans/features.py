@@ -125,23 +125,23 @@ def linker_feature_table(spark, sf):
 
 @query(None)
 def forest_importances(spark, sf):
-    _, imp = X.forest(wide(spark, sf), "vec_id", FEATURES, "label", trees=20)
+    _, imp = X.forest(wide(spark, sf), "vec_id", FEATURES, "label", trees=20, depth=8)
     return imp.withColumn("importance", rounded("importance", 8))
 
 
 @query(None)
 def replicate_cross_validation(spark, sf):
     d = wide(spark, sf).withColumn("replicate", F.col("vec_id") % 6).withColumn("label", (F.col("label") < 5).cast("string"))
-    accs, w = X.grouped_cv(d, FEATURES[:16], "label", "replicate")
-    imp = X.importance_from_weights(X.weights_table(d, FEATURES[:16], w))
+    accs, w = X.grouped_cv(d, FEATURES, "label", "replicate")
+    imp = X.importance_from_weights(X.weights_table(d, FEATURES, w))
     return imp.select(F.lit(float(sum(accs) / len(accs))).alias("accuracy"), "feature", "importance")
 
 
 @query(None)
 def fisher_projection(spark, sf):
     d = wide(spark, sf)
-    w = X.fisher_direction(d, FEATURES[:16], "label")
-    return X.projection_scores(X.to_long(d, ["vec_id"], FEATURES[:16]), "vec_id", "feature", "value", w)
+    w = X.fisher_direction(d, FEATURES, "label")
+    return X.projection_scores(X.to_long(d, ["vec_id"], FEATURES), "vec_id", "feature", "value", w)
 
 
 @query(None)
@@ -149,8 +149,8 @@ def top_down_vector_clusters(spark, sf):
     return M.vector_clusters(table(spark, sf, "embeddings"), "vec_id", "embedding", 10)
 
 
-_BITS = """s as (select doc_id, list_filter(regexp_split_to_array(lower(text), '[^a-z0-9_]+'), lambda w: w <> '') w from documents where lang = lang),
-g as (select doc_id, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) t from s where len(w) >= 3),
+_BITS = r"""s as (select doc_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}_]+'), lambda w: w <> '') w from documents where lang = lang),
+g as (select doc_id, unnest(case when len(w) < 3 then [array_to_string(w, ' ')] else list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) end) t from s),
 b as (select distinct doc_id, ('0x' || substr(sha256(t), 1, 7))::bigint % 1048576 bit from g),
 sets as (select doc_id, list_sort(list(bit)) bits, count(*) n from b group by 1), reps as (select min(doc_id) id, bits, any_value(n) n from sets group by bits)"""
 

@@ -37,7 +37,10 @@ def page_markers(spark, sf):
 
 @query(r"select page_id, case when contains(url, '://') then url_decode(split_part(split_part(url, '://', -1), '/', 1)) end as host from pages")
 def text_between_markers(spark, sf):
-    return table(spark, sf, "pages").select("page_id", T.between_markers(F.col("url"), "://", "/").alias("host"))
+    # The marked line comes second, and a later line has the marker again.
+    page = F.concat(F.lit("head\n"), F.col("url"), F.lit("\nnext ://other/"))
+    page = F.when(F.col("url").contains("://"), page).otherwise(F.col("url"))
+    return table(spark, sf, "pages").select("page_id", T.between_markers(page, "://", "/").alias("host"))
 
 
 @query("select page_id, case when starts_with(p, '/') then p else '/data/' || p end as path from (select page_id, case when page_id < 100 then '/abs/' || page_id else url end p from pages)")
@@ -61,14 +64,14 @@ def typed_tokens(spark, sf):
 @query(f"""select event_id, {rs("(value * 7 - 900) - 360 * floor((value * 7 - 900) / 360.0)", 6)} as wrapped,
   {rs("2 * value * pow(pi() / 180, 2)", 8)} as k, {rs("value / 12.5 * 18.01528 / 6.02214076e23 * 1e24", 6)} as density,
   {rs("value / 12.5 * 18.01528 / 6.02214076e23 * 1e24", 6)} as sd_same, {rs("value / (12.5 * 0.5 * 10) * 18.01528 / 6.02214076e23 * 1e24", 6)} as sd_frames,
-  {rs("exp(-0.8 * pow(value - 0.5, 1.0))", 8)} as decay from events where value > 0.5""")
+  {rs("exp(-0.8 * pow(case when value > 0.5 then value - 0.5 end, 1.0))", 8)} as decay from events""")
 def unit_conversions(spark, sf):
     v = F.col("value")
-    return table(spark, sf, "events").filter("value > 0.5").select(
+    return table(spark, sf, "events").select(
         "event_id", rounded(U.wrap360(v * 7 - 900)).alias("wrapped"), rounded(U.degree_force_constant(v), 8).alias("k"),
         rounded(U.counts_to_density(v, 12.5)).alias("density"), rounded(U.sd_to_density(v, 12.5, 0.5, 10)).alias("sd_same"),
         rounded(U.sd_to_density(v, 12.5, 0.5, 10, same_divisor=False)).alias("sd_frames"),
-        rounded(U.network_decay(v, 0.5, 0.8, 1.0), 8).alias("decay"))
+        rounded(F.when(v > 0.5, U.network_decay(v, 0.5, 0.8, 1.0)), 8).alias("decay"))
 
 
 def _cut(p: int) -> str:
@@ -145,10 +148,9 @@ def regex_motif_spans(spark, sf):
     return d.select("doc_id", big("s.start").alias("first"), big("s.end").alias("last"))
 
 
-@query("select doc_id, translate(regexp_replace(substr(text, 1, 500), '[^.HGIBETSC~]', 'C', 'g'), '.GIB~', 'FHHEC') as ss from documents")
+@query("select doc_id, translate(regexp_replace(text, '[^.HGIBETSC~]', 'C', 'g'), '.GIB~', 'FHHEC') as ss from documents")
 def coarse_structure_letters(spark, sf):
-    d = table(spark, sf, "documents").withColumn("s", F.substring("text", 1, 500))
-    return d.select("doc_id", Q.coarse_structure(F.col("s")).alias("ss"))
+    return table(spark, sf, "documents").select("doc_id", Q.coarse_structure(F.col("text")).alias("ss"))
 
 
 _RES = ["ALA", "CASN", "NVAL", "DA5", "UMP", "POPE", "0GB", "TIP3", "WAT", "XYZ", "SOD"]

@@ -65,20 +65,19 @@ def total_free_energy(spark, sf):
 
 
 _W, _DEG = 11, 2
+# One- and two-value windows are met exactly, three values by their parabola.
 _ROWS = ", ".join(
-    f"({at}, {j}, {w!r}::double)" for at in range(_W) for j, w in enumerate(S._fit_weights(_W, _DEG, at)))
+    f"({n}, {at}, {j}, {w!r}::double)" for n in range(1, _W + 1, 2) for at in range(n)
+    for j, w in enumerate(S._fit_weights(n, _DEG, at) if n > _DEG else [float(at == k) for k in range(n)]))
 
 
 @query(f"""
-with {_POS}, n as (select user_id, count(*) n from events group by 1), w(at_, j, w) as (values {_ROWS}),
-p as (select e.user_id, e.event_id, e.i - 1 i, n, case when e.i - 1 < 5 then e.i - 1 when e.i - 1 >= n - 5 then e.i - 1 - (n - 11) else 5 end at_,
-  case when e.i - 1 < 5 then 0 when e.i - 1 >= n - 5 then n - 11 else e.i - 1 - 5 end start from e join n using (user_id) where n >= 11)
-select p.user_id, p.event_id, {rs("greatest(sum(e.value * w.w), 0)")} as smooth from p join w on w.at_ = p.at_ join e on e.user_id = p.user_id and e.i - 1 = p.start + w.j group by all
+with {_POS}, n as (select user_id, count(*) n, least(11, count(*) - 1 + count(*) % 2) k from events group by 1), w(k, at_, j, w) as (values {_ROWS}),
+p as (select e.user_id, e.event_id, k, e.i - 1 i, greatest(0, least(e.i - 1 - k // 2, n - k)) start from e join n using (user_id))
+select p.user_id, p.event_id, {rs("greatest(sum(e.value * w.w), 0)")} as smooth from p join w on w.k = p.k and w.at_ = p.i - p.start join e on e.user_id = p.user_id and e.i - 1 = p.start + w.j group by all
 """)
 def smoothed_series(spark, sf):
-    e = events(spark, sf, "value")
-    sizes = e.groupBy("user_id").count().filter("count >= 11").select("user_id")
-    d = S.smooth(e.join(sizes, "user_id", "left_semi"), ["user_id"], "event_id", "value", window=_W, degree=_DEG)
+    d = S.smooth(events(spark, sf, "value"), ["user_id"], "event_id", "value", window=_W, degree=_DEG)
     return d.select("user_id", "event_id", rounded("smooth").alias("smooth"))
 
 

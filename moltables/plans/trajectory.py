@@ -1,4 +1,4 @@
-"""Trajectory queries: each embedding is a frame of 21 points (7 residues of N, CA, C)."""
+"""Trajectory queries: each embedding is a frame of 22 points (7 residues of N, CA, C, and one more N; the last point is padded with zeros)."""
 
 from __future__ import annotations
 
@@ -11,16 +11,17 @@ from moltables.plans.registry import big, query, rounded, rs, table
 
 def frames(spark, sf):
     e = table(spark, sf, "embeddings")
-    v = F.transform(F.slice("embedding", 1, 63), lambda x: x.cast("double"))
-    pts = F.transform(F.sequence(F.lit(0), F.lit(20)), lambda i: F.struct(
-        i.alias("atom"), F.get("_v", i * 3).alias("x"), F.get("_v", i * 3 + 1).alias("y"), F.get("_v", i * 3 + 2).alias("z")))
+    v = F.transform("embedding", lambda x: x.cast("double"))
+    at = lambda i: F.coalesce(F.get("_v", i), F.lit(0.0))
+    pts = F.transform(F.sequence(F.lit(0), F.lit(21)), lambda i: F.struct(
+        i.alias("atom"), at(i * 3).alias("x"), at(i * 3 + 1).alias("y"), at(i * 3 + 2).alias("z")))
     d = e.select(F.col("vec_id").alias("frame"), "label", v.alias("_v")).select("frame", "label", F.explode(pts).alias("p"))
     name = F.get(F.array(F.lit("N"), F.lit("CA"), F.lit("C")), F.col("p.atom") % 3)
     return d.select("frame", "label", F.col("p.atom").alias("atom"), name.alias("name"), F.lit("A").alias("chain"),
                     F.floor(F.col("p.atom") / 3).cast("int").alias("resseq"), "p.x", "p.y", "p.z")
 
 
-_F = """f as (select vec_id frame, label, a::int atom, embedding[a*3+1]::double x, embedding[a*3+2]::double y, embedding[a*3+3]::double z, a % 3 nm, (a // 3)::int res from embeddings, range(21) r(a))"""
+_F = """f as (select vec_id frame, label, a::int atom, coalesce(embedding[a*3+1], 0)::double x, coalesce(embedding[a*3+2], 0)::double y, coalesce(embedding[a*3+3], 0)::double z, a % 3 nm, (a // 3)::int res from embeddings, range(22) r(a))"""
 
 
 def _tors(p1, p2, p3, p4):
@@ -36,7 +37,7 @@ def _tors(p1, p2, p3, p4):
 
 _TORS = f"""{_F}, t as (select n.frame, n.res as resseq,
   case when pc.frame is not null and nn.frame is not null then {_tors('pc', 'n', 'ca', 'c')} end phi, case when pc.frame is not null and nn.frame is not null then {_tors('n', 'ca', 'c', 'nn')} end psi
-  from f n join f ca on ca.frame = n.frame and ca.res = n.res and ca.nm = 1 join f c on c.frame = n.frame and c.res = n.res and c.nm = 2
+  from f n left join f ca on ca.frame = n.frame and ca.res = n.res and ca.nm = 1 left join f c on c.frame = n.frame and c.res = n.res and c.nm = 2
   left join f pc on pc.frame = n.frame and pc.res = n.res - 1 and pc.nm = 2 left join f nn on nn.frame = n.frame and nn.res = n.res + 1 and nn.nm = 0 where n.nm = 0)"""
 
 _RMSD = f"""m as (select f.frame, count(*) n, sqrt(var_pop(f.x - r.x) + var_pop(f.y - r.y) + var_pop(f.z - r.z)) rmsd from f join f r on r.atom = f.atom and r.frame = 0 group by 1)"""
@@ -79,17 +80,16 @@ def per_frame_table(spark, sf):
                           "rmsd_angstrom": rounded("rmsd_angstrom")})
 
 
-_COV = """l as (select vec_id, i::int i, embedding[i + 1]::double v from embeddings, range(12) r(i)), c as (select i, avg(v) m from l group by 1), d as (select vec_id, i, v - m v from l join c using (i))"""
+_COV = """l as (select vec_id, i::int i, embedding[i + 1]::double v from embeddings, range(64) r(i)), c as (select i, avg(v) m from l group by 1), d as (select vec_id, i, v - m v from l join c using (i))"""
 
 
 @query(f"with {_COV} select a.i, b.i as j, {rs('sum(a.v * b.v) / (count(*) - 1)', 9)} as cov from d a join d b on a.vec_id = b.vec_id and a.i <= b.i group by all")
 def coordinate_covariance(spark, sf):
-    long = table(spark, sf, "embeddings").select("vec_id", F.posexplode(F.slice("embedding", 1, 12)).alias("i", "v")).withColumn("v", F.col("v").cast("double"))
-    return J.covariance_table(long, "vec_id", "i", "v").withColumn("cov", rounded("cov", 9))
+    return J.vector_covariance(_vectors(spark, sf), "v").withColumn("cov", rounded("cov", 9))
 
 
 def _vectors(spark, sf):
-    return table(spark, sf, "embeddings").select(F.col("vec_id").alias("frame"), F.transform(F.slice("embedding", 1, 63), lambda x: x.cast("double")).alias("v"))
+    return table(spark, sf, "embeddings").select(F.col("vec_id").alias("frame"), F.transform("embedding", lambda x: x.cast("double")).alias("v"))
 
 
 @query(None)
@@ -123,12 +123,12 @@ def close_frame_pairs(spark, sf):
 
 
 @query(f"""
-with e as (select vec_id, embedding[1:63]::double[] v from embeddings), r as (select * from e where vec_id < 5)
-select e.vec_id as frame, r.vec_id as reference, {rs("sqrt(list_sum(list_transform(range(1, 64), lambda k: pow(e.v[k] - r.v[k], 2))) / 21.0)")} as rmsd from e, r
+with e as (select vec_id, embedding::double[] v from embeddings), r as (select * from e where vec_id < 5)
+select e.vec_id as frame, r.vec_id as reference, {rs("sqrt(list_sum(list_transform(range(1, 65), lambda k: pow(e.v[k] - r.v[k], 2))) / 22.0)")} as rmsd from e, r
 """)
 def rmsd_to_reference_frames(spark, sf):
     v = _vectors(spark, sf)
-    return J.rmsd_to_references(v, v.filter("frame < 5"), "frame", "v", 21).withColumn("rmsd", rounded("rmsd"))
+    return J.rmsd_to_references(v, v.filter("frame < 5"), "frame", "v", 22).withColumn("rmsd", rounded("rmsd"))
 
 
 @query(f"""with {_F}, w as (select *, case nm when 0 then 14.0 else 12.0 end m from f), c as (select frame, sum(m*x)/sum(m) cx, sum(m*y)/sum(m) cy, sum(m*z)/sum(m) cz from w group by 1)

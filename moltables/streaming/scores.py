@@ -50,15 +50,19 @@ def extract_new(stream: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
 
 
 def append_new_targets(stream: DataFrame, key: str, path: str, checkpoint: str) -> StreamingQuery:
-    """Append only rows whose key the table does not have yet, batch by batch."""
+    """Append only rows whose key the table did not have when this run began.
+
+    The rows of a new target may come in several batches; all are written. The
+    files of the table are listed once, before the stream starts.
+    """
+    try:
+        known = stream.sparkSession.read.parquet(path)
+    except Exception as e:  # the table does not exist yet
+        if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
+            raise
+        known = None
+
     def write(batch: DataFrame, _: int) -> None:
-        spark = batch.sparkSession
-        try:
-            known = spark.read.parquet(path)
-        except Exception as e:  # the table does not exist yet
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            known = None
         (batch if known is None else only_new(batch, known, key)).write.mode("append").parquet(path)
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
