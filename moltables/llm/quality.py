@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from moltables.llm.common import SPACES, documents, query
+from moltables.llm.common import SPACES, documents, least_hashed, query
 from moltables.session import stable
 
 #: Rows of the sample on which costs and selectivities are estimated.
@@ -134,7 +134,7 @@ def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", samp
     made = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failed_rule"]
     d = docs.drop(*[c for c in made if c in docs.columns and c != text_col])
     checks = rules(text_col)
-    sample = d.limit(sample_rows)  # only to order the rules
+    sample = least_hashed(d.select(F.col(id_col).alias("_id"), F.col(text_col)), "_id", d.count(), sample_rows).select(text_col)
     sample = stable(with_counts(sample, text_col).select(F.col(text_col), *made[:6]))
     order = [e.name for e in estimate(sample, checks)]
     out = with_counts(d, text_col).withColumn("base_failed", base_failed())

@@ -28,7 +28,7 @@ from moltables.llm.common import documents, query, slices, with_bytes
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
-REMEMBERED = 200_000
+REMEMBERED = 300_000
 MODEL = "piece_bpe_32k.model"
 
 
@@ -173,10 +173,12 @@ class Codec:
         return re.findall(f"{MARK}*[^{MARK}]+|{MARK}+", self.marked(text))
 
     def learn(self, parts: set[str]) -> None:
-        """Encode words in one multithreaded batch and compare each with the other library, which is right where they differ."""
-        new = sorted(parts - self.words.keys())
-        if not new:
-            return
+        """Encode words in multithreaded batches and compare each with the other library, which is right where they differ."""
+        every = sorted(parts - self.words.keys())
+        for k in range(0, len(every), 20_000):
+            self._learn(every[k:k + 20_000])
+
+    def _learn(self, new: list[str]) -> None:
         got = self.tokenizer.encode_batch_fast(new, add_special_tokens=False)
         # The judge puts a mark in front by itself, so it gets the word without its first one.
         prefix = self.model.dummy_prefix
@@ -190,10 +192,11 @@ class Codec:
             self.words[w] = np.asarray(ids, "<i4").tobytes()
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.words) > REMEMBERED:
-            self.words.clear()
         cut = [self.parts(t) for t in texts]
-        self.learn(set().union(*cut))
+        seen = set().union(*cut)
+        if len(self.words) > REMEMBERED:
+            self.words = {w: v for w in seen if (v := self.words.get(w)) is not None}
+        self.learn(seen)
         get = self.words.__getitem__
         return [np.frombuffer(b"".join(map(get, p)), "<i4") for p in cut]
 
@@ -224,7 +227,7 @@ def model_path(name: str = MODEL) -> str:
 def _encode_task(path: str, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
-        for b in slices(batches):
+        for b in slices(batches, most=2 << 20):
             raw = b.column("text").to_pylist()
             texts = [(t or b"").decode("utf-8", "replace") for t in raw]
             ids = c.encode(texts)

@@ -35,7 +35,9 @@ from moltables.session import shared_folder, stable
 
 MAGIC = b"IDRECS01"
 ROLL_BYTES = 32 << 20
-REMEMBERED = 250_000
+REMEMBERED = 400_000
+#: Between new words that are encoded together; words that hold it are encoded alone.
+MARK = b"\x01"
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 1
 
@@ -66,27 +68,64 @@ def _store(folder: str) -> tuple[fs.FileSystem, str]:
 
 
 class _Encoder:
-    """Encodes words between ASCII white space, which the tokenizer drops, and remembers them up to a bound."""
+    """Encodes words between ASCII white space, which the tokenizer drops, and remembers them up to a bound.
+
+    New words go through the tokenizer a thousand at a time, with a mark between them that is one id of its own.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a worker on each core
         self.tokenizer = Tokenizer.from_file(path)
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
+        self.kind = f"<u{self.width}"
         self.words: dict[bytes, bytes] = {}
+        mark = self.tokenizer.encode(MARK.decode(), add_special_tokens=False).ids
+        self.mark = mark[0] if len(mark) == 1 else None
+
+    def _one_by_one(self, words: list[bytes]) -> None:
+        for w, e in zip(words, self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)):
+            self.words[w] = np.array(e.ids, self.kind).tobytes()
+
+    def _learn(self, words: list[bytes]) -> None:
+        for i in range(0, len(words), 1000):
+            some = words[i:i + 1000]
+            alone = [w for w in some if MARK in w] if self.mark is not None else some
+            if alone:
+                self._one_by_one(alone)
+                some = [w for w in some if w not in self.words]
+            if not some:
+                continue
+            line = (b" " + MARK + b" ").join(some).decode("utf-8", "replace")
+            ids = np.array(self.tokenizer.encode_batch_fast([line], add_special_tokens=False)[0].ids, self.kind)
+            ends = np.append(np.flatnonzero(ids == self.mark), len(ids))
+            if len(ends) != len(some):  # a word gave the mark's id by itself
+                self._one_by_one(some)
+                continue
+            raw, n, lo = ids.tobytes(), self.width, 0
+            for w, hi in zip(some, ends.tolist()):
+                self.words[w] = raw[lo * n:hi * n]
+                lo = hi + 1
 
     def encode(self, texts: list[bytes], end_id: int) -> list[bytes]:
         """Ids of each text with the end id, ``width`` bytes each."""
+        # ASCII letters lose their case in the tokenizer anyway; the names of special tokens must not be made by it.
+        cut = [(t if b"<|" in t or not self.lower else t.lower()).split() for t in texts]
+        seen = set().union(*cut)
         if len(self.words) > REMEMBERED:
-            self.words.clear()
-        cut = [t.split() for t in texts]
-        new = sorted(set().union(*cut) - self.words.keys())
-        kind = f"<u{self.width}"
-        for w, e in zip(new, self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)):
-            self.words[w] = np.array(e.ids, kind).tobytes()
-        end = np.array([end_id], kind).tobytes()
+            self.words = {w: v for w in seen if (v := self.words.get(w)) is not None}
+        self._learn(sorted(seen - self.words.keys()))
+        end = np.array([end_id], self.kind).tobytes()
         get = self.words.__getitem__
         return [b"".join([*map(get, words), end]) for words in cut]
 
+    @property
+    def lower(self) -> bool:
+        if not hasattr(self, "_lower"):
+            both = [self.tokenizer.encode(t, add_special_tokens=False).ids for t in ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "The End", "the end")]
+            self._lower = both[0] == both[1] and both[2] == both[3]
+        return self._lower
+
 
 _ENCODERS: dict[str, _Encoder] = {}
 
@@ -123,7 +162,7 @@ def _write_task(folder: str, tokenizer: str, end_id: int, roll: int):
         enc = _ENCODERS[tokenizer]
         part = TaskContext.get().partitionId() if TaskContext.get() else 0
         writer, seq, done = None, 0, []
-        for b in slices(batches):
+        for b in slices(batches, most=2 << 20):
             for doc_id, ids in zip(b.column("doc_id").to_pylist(), enc.encode([t or b"" for t in b.column("text").to_pylist()], end_id)):
                 writer = writer or _Writer(folder, part, seq, enc.width)
                 writer.add(doc_id, ids, enc.width)
