@@ -23,6 +23,7 @@ from moltables.session import stable
 SAMPLE_ROWS = 400
 WINDOW = 5
 MIN_WORDS = 10
+MADE = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failed_rule"]
 MAX_REPEAT_PERCENT = 20
 
 
@@ -131,17 +132,29 @@ def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", samp
     that is null counts as failed. Repeated rows get equal verdicts. Columns
     of ``docs`` that are named like a result column are replaced.
     """
-    made = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failed_rule"]
-    d = docs.drop(*[c for c in made if c in docs.columns and c != text_col])
+    d = docs.drop(*[c for c in MADE if c in docs.columns and c != text_col])
     checks = rules(text_col)
-    sample = least_hashed(d.select(F.col(id_col).alias("_id"), F.col(text_col)), "_id", d.count(), sample_rows).select(text_col)
-    sample = stable(with_counts(sample, text_col).select(F.col(text_col), *made[:6]))
+    sample = least_hashed(d.select(F.col(id_col).alias("_sample"), F.col(text_col)), "_sample", d.count(), sample_rows).select(text_col)
+    sample = stable(with_counts(sample, text_col).select(F.col(text_col), *MADE[:6]))
     order = [e.name for e in estimate(sample, checks)]
     out = with_counts(d, text_col).withColumn("base_failed", base_failed())
     out = out.withColumn("failed_rule", F.when(F.col("base_failed"), F.lit("base")).otherwise(cascade(checks, order)))
     return out.withColumn("kept", F.col("failed_rule").isNull())
 
 
+def passing(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows that pass, with all the columns they came with, also those named like a result.
+
+    The optimizer would move the filter below the counts and write their
+    expressions out anew in every place that names them. It leaves a filter on
+    a column that is not deterministic where it is.
+    """
+    own = [F.col(f"`{c}`").alias(f"_own{i}") for i, c in enumerate(docs.columns)]
+    d = judged(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), *own), "_id", "_text")
+    d = d.withColumn("_q_at", F.monotonically_increasing_id()).filter(F.col("kept") & (F.col("_q_at") >= 0))
+    return d.select(*[F.col(f"_own{i}").alias(c) for i, c in enumerate(docs.columns)])
+
+
 _SQL = r"""
 with t as (select doc_id, coalesce(text, '') t from documents),
 w as (select doc_id, t, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') w,
