@@ -15,7 +15,7 @@ from moltables.session import shared_folder, stable
 
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that pass the cascade, with the columns they came with."""
-    return quality.judged(docs).filter("kept").select(*docs.columns)
+    return quality.passing(docs)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
