@@ -253,7 +253,7 @@ select o_orderpriority as name, arg_max(o_orderstatus || '-' || o_custkey, o_ord
 def smiles_by_name_last_wins(spark, sf):
     o = table(spark, sf, "orders")
     text = F.concat(F.col("o_orderstatus"), F.lit("-"), F.col("o_custkey").cast("string"), F.lit(" "), F.replace("o_orderpriority", F.lit(" "), F.lit("_")))
-    d = ST.smiles_by_name(lines_from(o, F.lit("list"), F.col("o_orderkey"), text))
+    d = ST.smiles_by_name(lines_from(o, F.lit("list"), F.col("o_orderkey"), text, hot=True))
     return d.select(F.replace("name", F.lit("_"), F.lit(" ")).alias("name"), "smiles")
 
 
@@ -266,5 +266,5 @@ def ids_or_score_lines_first_seen(spark, sf):
     rec = F.translate(F.replace("o_orderpriority", F.lit(" "), F.lit("_")), "-", ".")
     scored = F.concat_ws(" ", F.lit("d"), F.lit("1"), ident, rec, *[F.lit("0")] * 10)
     d = ST.ids_or_score_lines(
-        lines_from(o, F.lit("list"), F.col("o_orderkey"), F.when(F.col("o_orderstatus") == "F", ident).otherwise(scored)), part="LOW")
+        lines_from(o, F.lit("list"), F.col("o_orderkey"), F.when(F.col("o_orderstatus") == "F", ident).otherwise(scored), hot=True), part="LOW")
     return d.select("id", F.col("place.seq").alias("at"))

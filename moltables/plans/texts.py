@@ -57,8 +57,7 @@ def multi_model_files(spark, sf):
     return got.groupBy("file", "model").agg(F.count(F.lit(1)).alias("n"), rounded(F.sum("x"), 2).alias("x"))
 
 
-@query(f"""with {_A} select mol, serial::int as num, type, {rs('x', 4)} as x, {rs('q', 4)} as q, type not like 'H%' as heavy from a""")
-def mol2_round_trip(spark, sf):
+def mol2_lines(spark, sf):
     a = atoms(spark, sf)
     row = F.format_string("%-6d %-4s %9.4f %9.4f %9.4f %-5s %4s %6s %9.4f", "serial", F.lit("X"), "x", "y", "z", "type", F.lit("1"), F.lit("LIG"), "q")
     # One record per molecule: its rows, as many as the molecule has atoms.
@@ -66,7 +65,12 @@ def mol2_round_trip(spark, sf):
     text = F.concat(F.lit("\n"), F.col("mol").cast("string"), F.lit("\n1 1 1 0 0\nSMALL\nUSER_CHARGES\n@<TRIPOS>ATOM\n"), F.col("t"), F.lit("\n@<TRIPOS>BOND\n1 1 2 1\n"))
     body = rec.select(F.col("mol").alias("at"), text.alias("v"))
     first = spark.range(1).select(F.lit(-1).cast("bigint").alias("at"), F.lit("########## Name: first").alias("v"))
-    mols, got, _ = SM.mol2_tables(lines_from(body.unionByName(first), F.lit("all"), F.col("at"), F.col("v")))
+    return lines_from(body.unionByName(first), F.lit("all"), F.col("at"), F.col("v"), hot=True)
+
+
+@query(f"""with {_A} select mol, serial::int as num, type, {rs('x', 4)} as x, {rs('q', 4)} as q, type not like 'H%' as heavy from a""")
+def mol2_round_trip(spark, sf):
+    mols, got, _ = SM.mol2_tables(mol2_lines(spark, sf))
     d = got.join(mols.select("mol_id", F.col("name").cast("bigint").alias("mol")), "mol_id")
     return d.select("mol", "num", "type", rounded("x", 4).alias("x"), rounded("q", 4).alias("q"), "heavy")
 

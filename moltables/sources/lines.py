@@ -30,10 +30,10 @@ def read_lines(spark: SparkSession, path: str | Sequence[str], sep: str | None =
     )
 
 
-def lines_from(df: DataFrame, file: Column, order: Column, value: Column) -> DataFrame:
-    """Lines rendered from a table; huge files are cut into range blocks."""
+def lines_from(df: DataFrame, file: Column, order: Column, value: Column, hot: bool = False) -> DataFrame:
+    """Lines rendered from a table; with ``hot`` (one or few huge files) they are cut into range blocks."""
     d = df.select(file.alias("file"), order.alias("seq"), value.alias("value"))
-    o = ordered(d, ["file"], ["seq"])
+    o = ordered(d, ["file"], ["seq"], hot)
     block = F.col(o.block) if o.block else F.lit(0)
     return o.df.select("file", block.cast("bigint").alias("block"), "seq", "value")
 

@@ -6,6 +6,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from moltables.functions.smiles import nanomolar_to_molar
 from moltables.sources.lines import number, place, word, words
@@ -92,13 +93,12 @@ def read_table(spark: SparkSession, location: str, table: str | None = None, par
 
 def read_required_csv(spark: SparkSession, path: str, schema: str, required: Sequence[str]) -> DataFrame:
     """CSV with a header; missing required columns raise, rows with nulls in them are dropped."""
-    have = spark.read.option("header", True).csv(path).columns
-    missing = [c for c in required if c not in have]
+    raw = spark.read.option("header", True).csv(path)
+    missing = [c for c in required if c not in raw.columns]
     if missing:
         raise ValueError(f"missing columns: {missing}")
-    raw = spark.read.option("header", True).csv(path)
-    types = dict(part.strip().split(" ", 1) for part in schema.split(","))
-    return raw.select(*[F.col(c).try_cast(types.get(c, "string")).alias(c) for c in have]).dropna(subset=list(required))
+    types = {f.name: f.dataType.simpleString() for f in StructType.fromDDL(schema)}
+    return raw.select(*[F.col(c).try_cast(types.get(c, "string")).alias(c) for c in raw.columns]).dropna(subset=list(required))
 
 
 def axis_profile(lines: DataFrame, columns: Sequence[str] = ("z", "count", "sd")) -> DataFrame:
