@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -22,19 +24,21 @@ def strip_and_pad(s: Column, width: int) -> Column:
     return F.when(F.length(core) < width, F.lpad(core, width, "0")).otherwise(core)
 
 
-def base62_value(s: Column, width: int = 8) -> Column:
-    """Value of up to ``width`` base-62 symbols; null for any other symbol.
+def _bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body names it."""
+    return F.transform(F.array(value), body)[0]
 
-    A plain sum over positions counted from the end, so it stays inside
-    generated code.
-    """
-    rev = F.reverse(s)
-    total = None
-    for i in range(width):
-        at = F.call_function("instr", F.lit(SYMBOLS), F.substring(rev, i + 1, 1)).cast("bigint")
-        term = F.when(F.length(s) > i, (at - 1) * F.lit(62**i)).otherwise(F.lit(0).cast("bigint"))
-        total = term if total is None else total + term
-    return F.when(s.rlike(f"^[0-9a-zA-Z]{{1,{width}}}$"), total)
+
+def base62_value(s: Column, width: int = 8) -> Column:
+    """Value of up to ``width`` base-62 symbols; null for any other symbol. A sum over positions counted from the end."""
+    def value(t: Column) -> Column:
+        total = None
+        for i in range(width):
+            at = F.call_function("instr", F.lit(SYMBOLS), F.substring(t, -1 - i, 1)).cast("bigint")
+            term = F.when(F.length(t) > i, (at - 1) * F.lit(62**i)).otherwise(F.lit(0).cast("bigint"))
+            total = term if total is None else total + term
+        return F.when(t.rlike(f"^[0-9a-zA-Z]{{1,{width}}}$"), total)
+    return _bound(s, value)
 
 
 def base62_text(n: Column, width: int = 8) -> Column:
@@ -53,10 +57,12 @@ def _div(n: Column, by: int) -> Column:
 
 def tranche_of(compound_id: Column) -> Column:
     """``H<heavy atoms><logP bin>`` from characters 5 and 6; null when out of range."""
-    heavy = base62_value(F.substring(compound_id, 5, 1), 1)
-    logp = base62_value(F.substring(compound_id, 6, 1), 1)
     labels = F.array(*[F.lit(x) for x in LOGP_LABELS])
-    return F.concat(F.format_string("H%02d", heavy), F.get(labels, logp.cast("int")))
+
+    def name(two: Column) -> Column:
+        heavy, logp = base62_value(F.substring(two, 1, 1), 1), base62_value(F.substring(two, 2, 1), 1)
+        return F.concat(F.format_string("H%02d", heavy), F.get(labels, logp.cast("int")))
+    return _bound(F.substring(compound_id, 5, 2), name)
 
 
 def number_of(compound_id: Column) -> Column:

@@ -25,7 +25,7 @@ def _atom_columns(pqr: bool) -> list[Column]:
     return [
         record.alias("record"),
         F.coalesce(F.trim(_cut(6, 11)).try_cast("int"), F.lit(0)).alias("serial"),
-        F.when(F.size(words(bare)) == 1, bare).otherwise(name).alias("name"),
+        F.when(~bare.rlike(r"\s"), bare).otherwise(name).alias("name"),
         _cut(16, 17).alias("altloc"),
         resname.alias("resname"),
         _cut(21, 22).alias("chain"),
