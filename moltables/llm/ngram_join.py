@@ -214,13 +214,27 @@ def _accumulated(entries: DataFrame, percent: int) -> DataFrame:
     return d.filter(F.col("count") + F.greatest(after("n"), after("m")) >= needed(F.col("n"), F.col("m"), percent)).select("a", "b").distinct()
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, percent: int, width: int) -> DataFrame:
+def _differing(a: Column, b: Column) -> Column:
+    bits = [F.bit_count(a[i].bitwiseXOR(b[i])) for i in range(SIGNATURE // 64)]
+    return sum(bits[1:], bits[0])
+
+
+def _signed(pairs: DataFrame, signs: DataFrame, percent: int) -> DataFrame:
+    """Pairs whose signatures differ in no more bits than the symmetric difference may have elements."""
+    side = lambda c: signs.select(F.col("doc_id").alias(c), F.col("n").alias(f"n{c}"), F.col("sig").alias(f"s{c}"))
+    n, m = F.col("na"), F.col("nb")
+    d = pairs.join(side("a"), "a").join(side("b"), "b")
+    return d.filter(_differing(F.col("sa"), F.col("sb")) <= n + m - 2 * needed(n, m, percent)).select("a", "b").distinct()
+
+
+def _verified(pairs: DataFrame, signs: DataFrame, texts: DataFrame, percent: int, width: int) -> DataFrame:
     """Pairs whose whole sets reach the threshold.
 
-    Only the texts of these pairs are cut into shingles again; a bitmap of
-    their ids, of a fixed size, finds them where they are, without a shuffle.
+    Signatures go first. Then only the texts of the pairs left are cut into
+    shingles again; a bitmap of their ids, of a fixed size, finds them where
+    they are, without a shuffle.
     """
-    pairs = stable(pairs)
+    pairs = stable(_signed(stable(pairs), signs, percent))
     wanted = bitmap(pairs.select(F.explode(F.array("a", "b")).alias("d")).select(F.xxhash64("d").alias("hash")), "hash")
     shared = texts.sparkSession.sparkContext.broadcast(wanted)
     sets = stable(texts.withColumn("hash", F.xxhash64("doc_id")).mapInArrow(_sets(width, shared), "doc_id long, grams array<long>"))
@@ -251,10 +265,9 @@ def _column_stars(columns: DataFrame, percent: int) -> DataFrame:
 
 
 def _close(a: str, b: str, percent: int) -> Column:
-    """Signatures, where both rows have one, differ in no more bits than the symmetric difference may have elements."""
+    """The test of signatures, where both rows have one."""
     n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
-    bits = [F.bit_count(F.col(f"{a}.sig")[i].bitwiseXOR(F.col(f"{b}.sig")[i])) for i in range(SIGNATURE // 64)]
-    return F.coalesce(sum(bits[1:], bits[0]) <= n + m - 2 * needed(n, m, percent), F.lit(True))
+    return F.coalesce(_differing(F.col(f"{a}.sig"), F.col(f"{b}.sig")) <= n + m - 2 * needed(n, m, percent), F.lit(True))
 
 
 def _column_products(columns: DataFrame, comp: DataFrame, signs: DataFrame, percent: int) -> DataFrame:
@@ -310,9 +323,9 @@ def near_duplicate_components(docs: DataFrame, id_col: str = "doc_id", text_col:
     # Columns of one row have no product. The entries are dealt by column, and the single ones go before anything else is done.
     dealt = entries.repartition(shuffle_width(spark), "h").sortWithinPartitions("h").mapInArrow(_drop_single, "h long, doc long, n long, pos int")
     columns = stable(_with_weight(stable(dealt), percent))
-    links = stable(_verified(_column_stars(columns, percent), texts, percent, width).union(ties))
+    links = stable(_verified(_column_stars(columns, percent), known, texts, percent, width).union(ties))
     comp = stable(components(links, "a", "b"))
-    more = stable(_verified(_column_products(columns, comp, known, percent), texts, percent, width))
+    more = stable(_verified(_column_products(columns, comp, known, percent), known, texts, percent, width))
     chain = comp.select(F.col("node").alias("a"), F.col("component").alias("b"))
     comp = stable(components(chain.union(more), "a", "b"))
     node = member.groupBy("doc_id").agg(F.min("rep").alias("rep"))
