@@ -35,7 +35,7 @@ from moltables.session import shared_folder, stable
 
 MAGIC = b"IDRECS01"
 ROLL_BYTES = 32 << 20
-REMEMBERED = 400_000
+REMEMBERED = 1_000_000
 #: Between new words that are encoded together; words that hold it are encoded alone.
 MARK = b"\x01"
 TOKENIZER = "word_bpe_49k.json"
