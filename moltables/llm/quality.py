@@ -67,7 +67,8 @@ def with_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """Add the base counts of whole texts: n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words.
 
     Null text has no words. Windows are compared by a 64-bit hash of their
-    words. Columns that start with ``_q_`` are used on the way and dropped.
+    words, lines as they are, with the white space at their ends. Columns that
+    start with ``_q_`` are used on the way and dropped.
     """
     t = F.coalesce(F.col(text_col), F.lit(""))
     d = docs.withColumn("_q_t", F.btrim(t, F.lit(" \t\n\x0b\f\r")))
@@ -75,7 +76,7 @@ def with_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     n = F.size("_q_w")
     window = lambda i: F.xxhash64(*[F.col("_q_w")[i + k] for k in range(WINDOW)])
     d = d.withColumn("_q_h", F.when(n >= WINDOW, F.transform(F.sequence(F.lit(0), n - WINDOW), window)).otherwise(F.array().cast("array<long>")))
-    d = d.withColumn("_q_l", F.filter(F.split("_q_t", "\n"), lambda x: F.btrim(x, F.lit(" \t\n\x0b\f\r")) != ""))
+    d = d.withColumn("_q_l", F.filter(F.split(t, "\n"), lambda x: F.btrim(x, F.lit(" \t\n\x0b\f\r")) != ""))
     d = d.withColumns({
         "n_words": n.cast("long"),
         "word_chars": F.length(F.array_join("_q_w", "")).cast("long"),

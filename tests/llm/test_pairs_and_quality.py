@@ -122,6 +122,13 @@ def test_quality_counts(spark, awkward_docs, empty_docs):
     assert Q.judged(empty_docs).count() == 0
 
 
+def test_repeated_lines_are_compared_with_their_outer_white_space(spark):
+    texts = ["a\r\nb\r\na\r\n", " x\n x", " x\nx", "x\ny\nx ", "\n\tx\n\tx\n", "\r\n a\r\n a\r\n", "x\nx"]
+    got = Q.with_counts(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [r["n_dup_lines"] for r in got] == [1, 1, 0, 0, 1, 1, 1]
+    assert [(r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) for r in got] == [plain_counts(t) for t in texts]
+
+
 def test_order_of_rules_changes_no_verdict(spark):
     d = spark.range(200).withColumn("x", F.col("id") % 7)
     checks = {"a": F.col("x") > 2, "b": F.col("x") < 6, "c": F.col("id") > 10}
