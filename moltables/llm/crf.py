@@ -16,6 +16,7 @@ from moltables.llm.viterbi import decode
 PLACES = (-2, -1, 0, 1, 2)
 _BASE = 0x9FB21C651E98DF25
 _PIECE = 1 << 18
+_SPACES = (b" ", b"\n", b"\t", b"\r", b"\x0b", b"\x0c")
 _POWERS = np.cumprod(np.concatenate([[np.uint64(1)], np.full(_PIECE, _BASE, np.uint64)]), dtype=np.uint64)
 _INVERSES = np.cumprod(np.concatenate([[np.uint64(1)], np.full(_PIECE, pow(_BASE, -1, 1 << 64), np.uint64)]), dtype=np.uint64)
 _CODES = np.random.default_rng(3).integers(0, 1 << 64, 256, np.uint64, endpoint=False)
@@ -36,25 +37,41 @@ _FOLD = _folding()
 
 def shapes(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(start, end, shape hash) of each token between ASCII white space; places are in bytes."""
-    if len(text) > _PIECE:
-        at = max(text.rfind(c, 0, _PIECE) for c in (b" ", b"\n", b"\t", b"\r", b"\x0b", b"\x0c"))
-        if at > 0:
-            heads, tails = [], []
-            lo = 0
-            while len(text) - lo > _PIECE:
-                cut = max(text.rfind(c, lo, lo + _PIECE) for c in (b" ", b"\n", b"\t", b"\r", b"\x0b", b"\x0c"))
-                if cut <= lo:
-                    cut = lo + _PIECE  # a token longer than a piece falls apart; it is no personal data
-                heads.append((lo, cut))
-                lo = cut
-            heads.append((lo, len(text)))
-            for a, b in heads:
-                s, e, h = _shapes(text[a:b])
-                tails.append((s + a, e + a, h))
-            return tuple(np.concatenate([x[i] for x in tails]) for i in range(3))
-        s, e = 0, len(text)
-        return np.array([s]), np.array([e]), np.zeros(1, np.uint64)
-    return _shapes(text)
+    parts, lo = [], 0
+    while len(text) - lo > _PIECE:
+        cut = max(text.rfind(c, lo + 1, lo + _PIECE) for c in _SPACES)
+        if cut < 0:  # one token longer than a piece, perhaps after a space: it stays whole, and the text goes on after it
+            ends = [at for c in _SPACES if (at := text.find(c, lo + 1)) >= 0]
+            cut = min(ends, default=len(text))
+            first = lo + (text[lo:lo + 1] in _SPACES)
+            parts.append((np.array([first]), np.array([cut]), np.array([_long_shape(text[first:cut])])))
+        else:
+            s, e, h = _shapes(text[lo:cut])
+            parts.append((s + lo, e + lo, h))
+        lo = cut
+    s, e, h = _shapes(text[lo:])
+    parts.append((s + lo, e + lo, h))
+    return tuple(np.concatenate([x[i] for x in parts]) for i in range(3))
+
+
+def _folded(kind: np.ndarray) -> np.ndarray:
+    """Which bytes are kept: runs of equal letter kinds are folded to one."""
+    letter = (kind == ord("x")) | (kind == ord("X"))
+    keep = np.ones(len(kind), bool)
+    keep[1:] = ~(letter[1:] & (kind[1:] == kind[:-1]))
+    return keep
+
+
+def _long_shape(token: bytes) -> np.uint64:
+    """Shape hash of one token of any length, equal to that of ``_shapes``."""
+    kind = _FOLD[np.frombuffer(token, np.uint8)]
+    kept = kind[_folded(kind)]
+    h = 0
+    for i in range(0, len(kept), _PIECE):
+        own = _CODES[kept[i:i + _PIECE]]
+        h += int((own * _POWERS[:len(own)]).sum(dtype=np.uint64)) * pow(_BASE, i, 1 << 64)
+    h &= (1 << 64) - 1
+    return np.uint64(h ^ (h >> 29))
 
 
 def _shapes(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -64,9 +81,7 @@ def _shapes(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     start, end = edges[::2], edges[1::2]
     if not len(start):
         return start, end, np.zeros(0, np.uint64)
-    letter = (kind == ord("x")) | (kind == ord("X"))
-    keep = np.ones(len(kind), bool)
-    keep[1:] = ~(letter[1:] & (kind[1:] == kind[:-1]))
+    keep = _folded(kind)
     place = np.cumsum(keep)  # place of each kept byte, from 1
     sums = np.concatenate([[np.uint64(0)], np.cumsum(_CODES[kind[keep]] * _POWERS[:int(place[-1])], dtype=np.uint64)])
     lo, hi = place[start] - 1, place[end - 1]
@@ -129,7 +144,7 @@ def train(sequences: list[tuple[list[str], list[str]]], labels: list[str], round
     """
     k = len(labels)
     sequences = [s for s in sequences if s[0]]
-    hashes = [np.concatenate([_shapes(t.encode())[2][:1] for t in tokens]) for tokens, _ in sequences]
+    hashes = [np.concatenate([shapes(t.encode())[2][:1] for t in tokens]) for tokens, _ in sequences]
     known = np.unique(np.concatenate(hashes)) if hashes else np.zeros(0, np.uint64)
     m = Model(labels, known, np.zeros((len(PLACES), len(known) + 2, k), np.float32), np.zeros((k, k)), np.zeros(k))
     m.weights[PLACES.index(0), len(known), 0] = 4.0  # a shape never seen is outside

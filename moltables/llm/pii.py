@@ -78,7 +78,7 @@ def _digits(text: str) -> str:
 def valid(kind: str, text: str) -> bool:
     """The test of a rule's match."""
     if kind == "ip":
-        return all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in text.split("."))
+        return all(len(p) <= 3 and int(p or "0") <= 255 for p in (q.lstrip("0") for q in text.split(".")))
     d = _digits(text)
     if kind == "card":
         return 12 <= len(d) <= 19 and luhn(d)

@@ -110,6 +110,27 @@ def test_shapes_of_a_long_text_are_those_of_its_pieces(monkeypatch):
     assert all(np.array_equal(a, b) for a, b in zip(crf.shapes(text), whole))
 
 
+def test_the_field_reads_on_after_a_token_longer_than_a_piece(monkeypatch):
+    m = crf.train(pii.fixed_examples(), pii.LABELS)
+    tail = " please call me at (212) 555-0199 tonight or pay with 4111.1111.1111.1111 today"
+    block = "Ab1/" * (crf._PIECE // 2)  # twice a piece, without white space
+    for head in ("", " ", "日本語" * 60_000, "short words first "):
+        text = head + block + tail
+        spans = pii._spans(m, [text.encode()])[1][0]
+        assert [(k, text[a:b]) for k, a, b in spans] == [("phone", "(212) 555-0199"), ("card", "4111.1111.1111.1111")]
+        assert "0199" not in pii.masked(text, spans)
+    texts = [f"{w}Ab1/Ab1/x1 (cd) \n{block[:600]}\tAb1{e}".encode() for w in ("", " ", "a ") for e in ("", " ", "\n")]
+    whole = [crf.shapes(t) for t in texts]
+    monkeypatch.setattr(crf, "_PIECE", 150)
+    for t, w in zip(texts, whole):
+        assert all(np.array_equal(a, b) for a, b in zip(crf.shapes(t), w))
+    assert len(crf.train([([block], ["O"])], pii.LABELS, rounds=1).known) == 1  # such a token may be in the labelled table
+
+
+def test_an_ip_part_of_many_zeros():
+    assert pii.base_spans(f"at {'0' * 5000}1.2.3.4 now")[0][0] == "ip" and not pii.valid("ip", f"1.2.3.{'0' * 5000}256")
+
+
 def test_language_model_is_better_and_adds_up_to_one(spark, awkward_docs, empty_docs):
     rows = QUERIES["op7_gru_language_model"](spark, SF).collect()
     texts = duckdb.sql(f"select doc_id, text from '{SF}/documents.parquet'").fetchall()
