@@ -107,10 +107,22 @@ class _Encoder:
                 self.words[w] = raw[lo * n:hi * n]
                 lo = hi + 1
 
+    def _cut(self, text: bytes) -> list[bytes]:
+        """Words of a text; ASCII letters lose their case in the tokenizer anyway, so words that differ in it only are learned once.
+
+        The names of special tokens must not be made by it. The tokenizer composes
+        before it lowers, so a letter that a combining mark may follow keeps its
+        case: only marks of U+0300 to U+036F (first byte CC or CD) compose with ASCII letters.
+        """
+        if b"<|" in text or not self.lower:
+            return text.split()
+        if b"\xcc" in text or b"\xcd" in text:
+            return [w.lower() if w.isascii() else w for w in text.split()]
+        return text.lower().split()
+
     def encode(self, texts: list[bytes], end_id: int) -> list[bytes]:
         """Ids of each text with the end id, ``width`` bytes each."""
-        # ASCII letters lose their case in the tokenizer anyway; the names of special tokens must not be made by it.
-        cut = [(t if b"<|" in t or not self.lower else t.lower()).split() for t in texts]
+        cut = [self._cut(t) for t in texts]
         seen = set().union(*cut)
         if len(self.words) > REMEMBERED:
             self.words = {w: v for w in seen if (v := self.words.get(w)) is not None}

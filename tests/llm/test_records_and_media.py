@@ -1,6 +1,8 @@
 """Token files, media, pieces: exact round trips."""
 
 import struct
+import sys
+import unicodedata
 import zlib
 
 import numpy as np
@@ -49,6 +51,19 @@ def test_words_of_the_mark_and_special_names_are_encoded_as_in_the_whole_text():
         assert np.frombuffer(raw, e.kind).tolist() == e.tokenizer.encode(t, add_special_tokens=False).ids + [1]
 
 
+def test_capitals_before_combining_marks_are_encoded_as_in_the_whole_text():
+    e = T._Encoder(WORDS)
+    pairs = ["H\u0331", "T\u0308", "W\u030a", "Y\u030a", "J\u030c"]
+    texts = [*pairs, *[f"The {p}amad SAYS {p.lower()} \u00c9T\u00c9" for p in pairs], *["".join(f"{chr(a)}{chr(m)} x{chr(a)}{chr(m)}y " for a in range(65, 91)) for m in range(0x300, 0x370)]]
+    for t, raw in zip(texts, e.encode([t.encode() for t in texts], 1)):
+        assert np.frombuffer(raw, e.kind).tolist() == e.tokenizer.encode(t, add_special_tokens=False).ids + [1]
+
+
+def test_only_marks_of_one_block_compose_with_ascii_letters():
+    joins = {c for c in map(chr, range(0x80, sys.maxunicode + 1)) if unicodedata.normalize("NFD", c)[0] < "\x80" for c in unicodedata.normalize("NFD", c)[1:]}
+    assert joins and all(c.encode()[0] in (0xCC, 0xCD) for c in joins)
+
+
 def test_broken_frames_are_found():
     f = T.frame(b"some record")
     assert T.unframe(b"xx" + f, 2) == (b"some record", 2 + len(f))
