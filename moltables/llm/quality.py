@@ -25,6 +25,8 @@ WINDOW = 5
 MIN_WORDS = 10
 MADE = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failed_rule"]
 MAX_REPEAT_PERCENT = 20
+#: Letters and marks of scripts written without spaces between words.
+UNSPACED = "[" + "".join(rf"\p{{Is{x}}}" for x in ("Han", "Hiragana", "Katakana", "Thai", "Lao", "Khmer", "Myanmar", "Tibetan")) + "]"
 
 
 @dataclass(frozen=True)
@@ -92,14 +94,22 @@ def base_failed() -> Column:
     return (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
 
 
-def rules(text_col: str = "text") -> dict[str, Column]:
-    """The further rules, true where a document passes; each is set so that ordinary prose in any language passes."""
-    n = F.col("n_words")
+def rules(text_col: str = "text", unspaced: bool = False) -> dict[str, Column]:
+    """The further rules, true where a document passes; each is set so that ordinary prose of languages written with spaces passes.
+
+    With ``unspaced``, so does prose that is mainly in scripts written without
+    spaces, whose words between spaces are clauses: no longest mean applies,
+    and marks (vowel signs) count as letters. The SQL of op10 has no such case.
+    """
+    n, text = F.col("n_words"), F.coalesce(F.col(text_col), F.lit(""))
+    short, letters = F.col("word_chars") <= 20 * n, r"\p{L}"
+    if unspaced:
+        short, letters = short | (2 * F.regexp_count(text, F.lit(UNSPACED)) > F.col("word_chars")), r"[\p{L}\p{M}]"
     return {
-        "mean_word_length": (F.col("word_chars") >= 2 * n) & (F.col("word_chars") <= 20 * n),
+        "mean_word_length": (F.col("word_chars") >= 2 * n) & short,
         "symbols": 5 * F.col("n_symbols") <= n,
         "duplicate_lines": 10 * F.col("n_dup_lines") <= 3 * F.col("n_lines"),
-        "letters": 2 * F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(r"\p{L}")) >= F.col("word_chars"),
+        "letters": 2 * F.regexp_count(text, F.lit(letters)) >= F.col("word_chars"),
     }
 
 
@@ -126,15 +136,16 @@ def cascade(checks: Mapping[str, Column], order: list[str]) -> Column:
     return verdict
 
 
-def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = SAMPLE_ROWS, unspaced: bool = False) -> DataFrame:
     """Every row with all its columns, the counts, base_failed, kept and failed_rule.
 
     Null, empty and blank texts have no words and fail the base rule. A rule
     that is null counts as failed. Repeated rows get equal verdicts. Columns
-    of ``docs`` that are named like a result column are replaced.
+    of ``docs`` that are named like a result column are replaced. ``unspaced``
+    is that of ``rules``.
     """
     d = docs.drop(*[c for c in MADE if c in docs.columns and c != text_col])
-    checks = rules(text_col)
+    checks = rules(text_col, unspaced)
     sample = least_hashed(d.select(F.col(id_col).alias("_sample"), F.col(text_col)), "_sample", d.count(), sample_rows).select(text_col)
     sample = stable(with_counts(sample, text_col).select(F.col(text_col), *MADE[:6]))
     order = [e.name for e in estimate(sample, checks)]
@@ -144,14 +155,14 @@ def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", samp
 
 
 def passing(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows that pass, with all the columns they came with, also those named like a result.
+    """The rows that pass, with all the columns they came with, also those named like a result. Prose in unspaced scripts passes.
 
     The optimizer would move the filter below the counts and write their
     expressions out anew in every place that names them. It leaves a filter on
     a column that is not deterministic where it is.
     """
     own = [F.col(f"`{c}`").alias(f"_own{i}") for i, c in enumerate(docs.columns)]
-    d = judged(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), *own), "_id", "_text")
+    d = judged(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), *own), "_id", "_text", unspaced=True)
     d = d.withColumn("_q_at", F.monotonically_increasing_id()).filter(F.col("kept") & (F.col("_q_at") >= 0))
     return d.select(*[F.col(f"_own{i}").alias(c) for i, c in enumerate(docs.columns)])
 

@@ -129,6 +129,16 @@ def test_repeated_lines_are_compared_with_their_outer_white_space(spark):
     assert [(r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) for r in got] == [plain_counts(t) for t in texts]
 
 
+def test_prose_in_scripts_without_spaces_passes(spark):
+    prose = ["春はあけぼの。やうやう白くなりゆく山ぎは、すこしあかりて紫だちたる雲のほそくたなびきたる", "人人生而自由在尊严和权利上一律平等他们赋有理性和良心并应以兄弟关系的精神相对待",
+             "มนุษย์ทั้งหลายเกิดมามีอิสระและเสมอภาคกันในเกียรติศักดิ์และสิทธิ", "လူတိုင်းသည်တူညီလွတ်လပ်သောဂုဏ်သိက္ခာဖြင့်လည်းကောင်း", "មនុស្សទាំងអស់កើតមកមានសេរីភាពនិងសមភាពក្នុងសេចក្ដីថ្លៃថ្នូរ"]
+    text = lambda p: "\n".join(f"{p[i:]}{p[:i]}" for i in range(12))
+    rows = [*map(text, prose), text("averylongrunoflatinlettersthatisnoproseatall"), text("春は" + "x" * 40)]
+    d = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in Q.passing(d).collect()) == [0, 1, 2, 3, 4]
+    assert not Q.judged(d).filter("kept").count()  # as in the SQL of op10
+
+
 def test_order_of_rules_changes_no_verdict(spark):
     d = spark.range(200).withColumn("x", F.col("id") % 7)
     checks = {"a": F.col("x") > 2, "b": F.col("x") < 6, "c": F.col("id") > 10}
