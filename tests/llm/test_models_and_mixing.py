@@ -156,6 +156,25 @@ def test_language_model_is_better_and_adds_up_to_one(spark, awkward_docs, empty_
     assert gru_lm.language_model_scores(empty_docs).count() == 0
 
 
+def test_the_network_learns_from_every_training_text(spark, monkeypatch):
+    docs = spark.range(4000).select((F.col("id") % 3900).alias("doc_id"), F.when(F.col("id") % 50 > 0, F.concat(F.lit("a b c d "), F.col("id") % 9)).alias("text")).repartition(5)
+    texts = docs.select("doc_id", F.col("text").cast("binary").alias("text"))
+    counts = texts.mapInArrow(gru_lm._count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")).withColumn("tail", F.pmod(F.crc32(F.expr("substring(word, -3)")), F.lit(gru_lm.TAIL)).cast("int"))
+    v = gru_lm.vocabulary(counts)
+    vocab = spark.sparkContext.broadcast(v)
+    assert gru_lm.fitted(texts, v, vocab)[1] == 3 * v.total == 3 * (3920 * 6 + 80)
+    monkeypatch.setattr(gru_lm, "TASK_TOKENS", 5000)  # four tasks, four rounds
+    assert gru_lm.fitted(texts, v, vocab)[1] == 3 * v.total
+    scores = gru_lm.language_model_scores(docs).agg(F.sum("score"), F.sum("base_score")).first()
+    assert scores[0] > 0.6 * scores[1]
+
+
+def test_a_small_training_set_is_learned_from(spark):
+    docs = spark.range(300).select(F.col("id").alias("doc_id"), F.lit("a b c d").alias("text"))  # about 1350 tokens
+    r = gru_lm.language_model_scores(docs).agg(F.sum("score"), F.sum("base_score"), F.max("train_tokens")).first()
+    assert r[2] < 2304 and r[0] > 0.9 * r[1]
+
+
 def test_first_word_probabilities_sum_to_one():
     head = 6
     head_class = np.array([0, 0, 1, 1, 2, 3])
