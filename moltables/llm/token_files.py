@@ -257,9 +257,14 @@ def _read_task(folder: str, with_ids: bool):
 
 
 def read_token_files(manifest: DataFrame, folder: str, with_ids: bool = False) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32[, ids]) of every record, checked against checksums and index. Files are dealt out one by one."""
+    """(doc_id, start, n_tokens, ids_crc32[, ids]) of every record, checked against checksums and index.
+
+    Files are dealt out by their place, about one to a task; a number of
+    partitions that is asked for is not cut down by adaptive execution.
+    """
+    files = max(1, manifest.count())
     kind = "doc_id long, start long, n_tokens long, ids_crc32 long" + (", ids array<long>" if with_ids else "")
-    return manifest.select("file", "start", "docs").repartition("file").mapInArrow(_read_task(folder, with_ids), kind)
+    return manifest.select("file", "start", "docs").repartitionByRange(files, "start", "file").mapInArrow(_read_task(folder, with_ids), kind)
 
 
 def token_folder(spark: SparkSession) -> str:
