@@ -259,25 +259,25 @@ def manifest(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source"
 
 
 def _level_sql(name: str, depth: int) -> str:
-    """Runs of a forest (key, at, node) level by level; a key with one node left keeps it."""
+    """Runs of a forest (key, pos, node) level by level; a key with one node left keeps it."""
     out = f"{name}0 as (select *, count(*) over (partition by key) n from {name})"
     for k in range(depth):
         out += f""",
-{name}r{k} as (select key, at // 16 at, any_value(n) n, list(node order by at) nodes from {name}{k} group by key, at // 16),
-{name}{k + 1} as (select key, at, case when n = 1 then nodes[1] else sha256(array_to_string(nodes, '')) end node, count(*) over (partition by key) n from {name}r{k})"""
+{name}r{k} as (select key, pos // 16 pos, any_value(n) n, list(node order by pos) nodes from {name}{k} group by key, pos // 16),
+{name}{k + 1} as (select key, pos, case when n = 1 then nodes[1] else sha256(array_to_string(nodes, '')) end node, count(*) over (partition by key) n from {name}r{k})"""
     return out
 
 
 def _path_sql(name: str, source: str, depth: int, columns: str) -> str:
-    """Siblings and fold of each row of ``source`` (key, at, fold, proof), level by level."""
+    """Siblings and fold of each row of ``source`` (key, pos, fold, proof), level by level."""
     out, last = "", source
     for k in range(depth):
-        place = f"((p.at // {16 ** k}) % 16)::int"
+        place = f"((p.pos // {16 ** k}) % 16)::int"
         others = f"list_concat(nodes[:{place}], nodes[{place} + 2:])"
         mended = f"list_concat(nodes[:{place}], [fold], nodes[{place} + 2:])"
         out += f""",
-{source}p{k} as (select {columns}, p.key, p.at, case when n = 1 then proof else proof || array_to_string({others}, '') end proof,
-  case when n = 1 then fold else sha256(array_to_string({mended}, '')) end fold from {last} p join {name}r{k} r on r.key = p.key and r.at = p.at // {16 ** (k + 1)})"""
+{source}p{k} as (select {columns}, p.key, p.pos, case when n = 1 then proof else proof || array_to_string({others}, '') end proof,
+  case when n = 1 then fold else sha256(array_to_string({mended}, '')) end fold from {last} p join {name}r{k} r on r.key = p.key and r.pos = p.pos // {16 ** (k + 1)})"""
         last = f"{source}p{k}"
     return out
 
@@ -290,13 +290,13 @@ _SQL = f"""
 with d as (select *, sha256({_LEAF} || {_E('text')}) leaf, sha256({_LEAF} || {_E(_LETTERS)}) lowered,
   xor(list_reduce(flatten(list_transform(string_split(doc_id::varchar, ''), lambda c: list_transform(range(8), lambda k: ((ascii(c) >> k::int) & 1)::bigint))),
     lambda a, b: xor(a >> 1, 3988292384 * (xor(a, b) & 1)), 4294967295::bigint), 4294967295::bigint) crc from documents),
-l as (select doc_id, coalesce('=' || source, '-') key, row_number() over (partition by source order by doc_id nulls first, leaf) - 1 at, leaf node, leaf,
+l as (select doc_id, coalesce('=' || source, '-') key, row_number() over (partition by source order by doc_id nulls first, leaf) - 1 pos, leaf node, leaf,
   case when crc % 5 = 0 then lowered else leaf end fold, '' proof from d),
 {_level_sql('l', _DEPTH)},
-s as (select '' key, row_number() over (order by l.key) - 1 at, l.key source, node, node fold, '' proof from l{_DEPTH} l),
+s as (select '' key, row_number() over (order by l.key) - 1 pos, l.key source, node, node fold, '' proof from l{_DEPTH} l),
 {_level_sql('s', _DEPTH)}
 {_path_sql('l', 'l', _DEPTH, 'doc_id, leaf')},
-q as (select p.doc_id, p.leaf, s.key, s.at, s.node subroot, p.fold, p.proof from lp{_DEPTH - 1} p join s on s.source = p.key)
+q as (select p.doc_id, p.leaf, s.key, s.pos, s.node subroot, p.fold, p.proof from lp{_DEPTH - 1} p join s on s.source = p.key)
 {_path_sql('s', 'q', _DEPTH, 'doc_id, leaf, subroot')}
 select doc_id, leaf, subroot, t.node root, sha256(proof) proof_sha256, fold folded_root, fold = t.node verified from qp{_DEPTH - 1}, s{_DEPTH} t
 """
