@@ -11,7 +11,9 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -24,11 +26,13 @@ from moltables.session import stable
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ["O", *[f"{p}-{k}" for k in KINDS for p in "BI"]]
 PATTERNS = {
-    "email": re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"),
-    "ip": re.compile(r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)"),
+    "email": re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"),  # what stands before the @ is in LOCAL
+    # A match starts where a run of digits does, as the one before ends with a run.
+    "ip": re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++)(?:\.[0-9]++)(?:\.[0-9]++)"),
     "card": re.compile(r"[0-9](?:[ -]?[0-9])+"),
     "phone": re.compile(r"\+[0-9][ ().0-9-]+[0-9]"),
 }
+LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
 #: What a text must hold before a pattern is tried at all.
 _NEEDS = {"email": "@", "ip": ".", "phone": "+"}
 #: Documents that give windows to the labelled table, the ones of the least hashed ids; the most windows taken from one; tokens on each side.
@@ -99,11 +103,24 @@ def plausible(kind: str, text: str) -> bool:
     return valid(kind, text) if re.fullmatch(r"[0-9]+(\.[0-9]+){3}", text) else False
 
 
+def _emails(text: str) -> Iterator[tuple[int, int]]:
+    """Addresses, each looked for from its @ backwards, so that long runs of letters are read once."""
+    done = 0
+    for m in PATTERNS["email"].finditer(text):
+        lo = max(done, text.rfind("@", done, m.start()) + 1)
+        start = lo + len(text[lo:m.start()].rstrip(LOCAL))
+        if start < m.start():
+            done = m.end()
+            yield start, done
+
+
 def base_spans(text: str) -> list[tuple[str, int, int]]:
     """Leftmost matches of each kind that do not overlap, without those that fail the kind's test; by start, then kind."""
     out = []
+    if "@" in text:
+        out += [(a, KINDS.index("email"), b) for a, b in _emails(text)]
     for kind, pattern in PATTERNS.items():
-        if _NEEDS.get(kind, "") in text:
+        if kind != "email" and _NEEDS.get(kind, "") in text:
             out += [(m.start(), KINDS.index(kind), m.end()) for m in pattern.finditer(text) if valid(kind, m[0])]
     return [(KINDS[k], a, b) for a, k, b in sorted(out)]
 
@@ -120,8 +137,9 @@ def _window_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             text = (t or b"").decode("utf-8", "replace")
             spots = _tokens(text)
             marks = ["O"] * len(spots)
+            starts, ends = [a for a, _ in spots], [e for _, e in spots]
             for kind, lo, hi in base_spans(text):
-                own = [i for i, (a, e) in enumerate(spots) if a < hi and e > lo]
+                own = range(bisect_right(ends, lo), bisect_left(starts, hi))
                 for n, i in enumerate(own):
                     marks[i] = ("B-" if not n else "I-") + kind
             want = [i for i, (a, e) in enumerate(spots) if marks[i][0] == "B" or marks[i] == "O" and re.search(r"[0-9@]", text[a:e])]
@@ -170,8 +188,18 @@ def trained(labelled: DataFrame) -> crf.Model:
     return crf.train(fixed_examples() * 5 + [(list(t), list(x)) for t, x in rows], LABELS)
 
 
-def _code_points(text: bytes, at: int) -> int:
-    return len(text[:at].decode("utf-8", "replace"))
+class _CodePoints:
+    """Code points before byte offsets that ascend; each stretch of the text is decoded once."""
+
+    def __init__(self, text: bytes):
+        self.text, self.at, self.points = text, 0, 0
+
+    def before(self, at: int) -> int:
+        if at < self.at:
+            self.at = self.points = 0
+        self.points += len(self.text[self.at:at].decode("utf-8", "replace"))
+        self.at = at
+        return self.points
 
 
 def _trimmed(text: str, lo: int, hi: int) -> tuple[int, int]:
@@ -212,15 +240,18 @@ def _find_task(model):
 
 
 def _added(text, raw, start, end, tags, sure, labels) -> list[tuple[str, int, int]]:
-    out = []
+    out, points, last = [], _CodePoints(raw), 0
+    starts, reach = [a for _, a, _ in sure], list(accumulate((b for _, _, b in sure), max))
     for i in [j for j in tags.nonzero()[0].tolist() if labels[tags[j]][0] == "B"]:
         kind, j = labels[tags[i]][2:], i + 1
         while j < len(tags) and labels[tags[j]] == f"I-{kind}":
             j += 1
-        lo, hi = _trimmed(text, _code_points(raw, start[i]), _code_points(raw, end[j - 1]))
-        near = any(a < hi and b > lo for _, a, b in sure + out)
-        if not near and plausible(kind, text[lo:hi]):
+        lo, hi = points.before(start[i]), points.before(end[j - 1])
+        lo, hi = _trimmed(text, lo, hi)
+        k = bisect_left(starts, hi)  # rule spans that start before the run ends
+        if not (k and reach[k - 1] > lo or last > lo) and plausible(kind, text[lo:hi]):
             out.append((kind, lo, hi))
+            last = max(last, hi)
     return out
 
 
