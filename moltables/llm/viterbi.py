@@ -10,12 +10,13 @@ def decode(scores: np.ndarray, lengths: np.ndarray, moves: np.ndarray, first: np
 
     ``moves[i, j]`` is added for going from label i to j, ``first`` at the first
     item. Sequences of length zero are allowed. Of equal paths the one with
-    the smaller labels, seen from the end, is taken. Memory: one byte for each
-    item and label.
+    the smaller labels, seen from the end, is taken. Memory: one number of the
+    smallest type that holds the labels for each item and label.
     """
     lengths = np.asarray(lengths, np.int64)
     total, k = scores.shape
-    out = np.zeros(total, np.int8)
+    kind = np.int8 if k <= 1 << 7 else np.int16 if k <= 1 << 15 else np.int32
+    out = np.zeros(total, kind)
     order = np.argsort(-lengths, kind="stable")
     order = order[lengths[order] > 0]
     if not len(order):
@@ -24,7 +25,7 @@ def decode(scores: np.ndarray, lengths: np.ndarray, moves: np.ndarray, first: np
     sizes = lengths[order]
     steps = int(sizes[0])
     live = np.searchsorted(-sizes, -np.arange(steps), side="left")  # sequences longer than t
-    back = np.zeros((total, k), np.int8)
+    back = np.zeros((total, k), kind)
     last = np.zeros((len(order), k), np.float32)
     v = scores[starts] + (0 if first is None else first.astype(np.float32))
     turned = np.ascontiguousarray(moves.T.astype(np.float32))  # [to, from]
