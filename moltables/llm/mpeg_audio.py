@@ -154,10 +154,13 @@ def _tags(data: bytes) -> tuple[dict[str, str], int, int]:
 
 
 def _rate_table(data: bytes, at: int, h: Head) -> dict:
-    """Xing, Info or VBRI table of a first frame: frames, bytes and seek points as far as it has them."""
-    p = at + 4 + h.side
+    """Xing, Info or VBRI table of a first frame: frames, bytes and seek points as far as it has them, none if it does not fit in the frame."""
+    p, end = at + 4 + h.side, at + h.size
     name = data[p:p + 4]
     if h.layer == 3 and name in (b"Xing", b"Info"):
+        need = 8 + (4 * (data[p + 7] & 3).bit_count() + 100 * (data[p + 7] >> 2 & 1) if p + 8 <= end else 0)
+        if p + need > end:
+            return {}
         out, flags, p = {"kind": name.decode()}, struct.unpack(">I", data[p + 4:p + 8])[0], p + 8
         for bit, key in ((1, "frames"), (2, "bytes")):
             if flags & bit:
@@ -166,7 +169,7 @@ def _rate_table(data: bytes, at: int, h: Head) -> dict:
         if flags & 4:
             out["points"] = list(data[p:p + 100])
         return out
-    if data[at + 36:at + 40] == b"VBRI":
+    if data[at + 36:at + 40] == b"VBRI" and at + 54 <= end:
         n, frames = struct.unpack(">II", data[at + 46:at + 54])
         return {"kind": "VBRI", "bytes": n, "frames": frames}
     return {}
