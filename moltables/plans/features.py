@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from moltables.operators import features as X
 from moltables.operators import similarity as M
+from moltables.operators.variance import variance_clusters
 from moltables.plans.registry import big, query, rounded, rs, table
 
 DIM = 64
@@ -149,7 +150,27 @@ def top_down_vector_clusters(spark, sf):
     return M.vector_clusters(table(spark, sf, "embeddings"), "vec_id", "embedding", 10)
 
 
-_BITS = r"""s as (select doc_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}_]+'), lambda w: w <> '') w from documents where lang = lang),
+# Merges by chains of nearest clusters, all of them; those of less cost than the threshold make the clusters.
+@query("""with recursive start as (select list(struct_pack(id := id, n := n, v := v) order by id) cl from (select min(vec_id) id, count(*)::double n, embedding::double[] v from embeddings where embedding is not null group by embedding)),
+chain as (select 0 step, cl, []::bigint[] chain, null::bigint lo, null::bigint hi, null::double cost from start
+  union all
+  select step + 1,
+    case when meet then list_append(list_filter(cl, lambda c: c.id <> tip.id and c.id <> best.id), struct_pack(id := least(tip.id, best.id), n := tip.n + other.n,
+      v := list_transform(range(1, len(tip.v) + 1), lambda k: (tip.n * tip.v[k] + other.n * other.v[k]) / (tip.n + other.n)))) else cl end,
+    case when meet then chain[:len(chain) - 2] when len(chain) = 0 then [tip.id, best.id] else list_append(chain, best.id) end,
+    case when meet then least(tip.id, best.id) end, case when meet then greatest(tip.id, best.id) end, case when meet then best.cost end
+  from (select *, list_filter(cl, lambda c: c.id = best.id)[1] other, len(chain) >= 2 and chain[len(chain) - 1] = best.id meet
+    from (select *, list_aggregate(list_transform(list_filter(cl, lambda c: c.id <> tip.id), lambda c: struct_pack(cost := 2 * tip.n * c.n / (tip.n + c.n) * pow(list_distance(c.v, tip.v), 2), id := c.id)), 'min') best
+      from (select *, list_filter(cl, lambda c: c.id = coalesce(chain[len(chain)], cl[1].id))[1] tip from chain where len(cl) > 1)))),
+m as (select hi, lo from chain where cost < 4.0),
+f as (select id, id c from (select unnest(cl).id id from start) union all select f.id, m.lo from f join m on m.hi = f.c),
+l as (select e.vec_id id, k.c from embeddings e join (select r.v, min(f.c) c from (select unnest(cl) r from start) join f on f.id = r.id group by r.v) k on k.v = e.embedding::double[])
+select id as vec_id, c as cluster from l""")
+def variance_threshold_clusters(spark, sf):
+    return variance_clusters(table(spark, sf, "embeddings"), "vec_id", "embedding", 2.0)
+
+
+_BITS = r"""s as (select doc_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}_]+'), lambda w: w <> '') w from documents),
 g as (select doc_id, unnest(case when len(w) < 3 then [array_to_string(w, ' ')] else list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) end) t from s),
 b as (select distinct doc_id, ('0x' || substr(sha256(t), 1, 7))::bigint % 1048576 bit from g),
 sets as (select doc_id, list_sort(list(bit)) bits, count(*) n from b group by 1), reps as (select min(doc_id) id, bits, any_value(n) n from sets group by bits)"""
