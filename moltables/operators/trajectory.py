@@ -1,4 +1,4 @@
-"""Per-frame geometry: torsions, RMSD, fluctuations, principal components, gyration, water dipoles."""
+"""Per-frame geometry: torsions, RMSD, fluctuations, covariance, gyration, water dipoles."""
 
 from __future__ import annotations
 
@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from moltables.operators.features import products
 from moltables.functions.geometry import dihedral, point
-from moltables.operators.similarity import connected_components
 from moltables.operators.structure import XYZ, centre_of_mass
 
 BACKBONE = ("N", "CA", "C", "O")
@@ -68,23 +67,6 @@ def fluctuation(atoms: DataFrame, keys: Sequence[str], label: str | None = "resn
     return atoms.groupBy(*keys).agg(*aggs)
 
 
-def covariance_table(long: DataFrame, frame: str, coordinate: str, value: str) -> DataFrame:
-    """Sample covariance of coordinates: (i, j, cov) for i <= j from rows (frame, coordinate, value).
-
-    Values of a frame are gathered into one vector (as wide as the molecule, not
-    as long as the trajectory); every frame adds its products map-side.
-    """
-    mean = long.groupBy(coordinate).agg(F.avg(value).alias("_mean"))
-    d = long.join(mean, coordinate).withColumn("_d", F.col(value) - F.col("_mean"))
-    vec = d.groupBy(frame).agg(F.sort_array(F.collect_list(F.struct(F.col(coordinate).alias("c"), F.col("_d").alias("d")))).alias("v"))
-    n = vec.agg(F.count(F.lit(1)).alias("_n"))
-    left = vec.select("v", F.posexplode("v").alias("_p", "_a"))
-    pairs = left.select(F.col("_a.c").alias("i"), F.col("_a.d").alias("_di"),
-                        F.explode(F.slice("v", F.col("_p") + 1, F.size("v"))).alias("_b"))
-    s = pairs.groupBy("i", F.col("_b.c").alias("j")).agg(F.sum(F.col("_di") * F.col("_b.d")).alias("_s"))
-    return s.join(F.broadcast(n)).select("i", "j", (F.col("_s") / (F.col("_n") - 1)).alias("cov"))
-
-
 def vector_covariance(frames: DataFrame, vec: str) -> DataFrame:
     """(i, j, cov) of coordinates i <= j, sample covariance over frames; each task adds its products up before anything is shuffled.
 
@@ -102,93 +84,12 @@ def vector_covariance(frames: DataFrame, vec: str) -> DataFrame:
     return d.select("i", "j", F.try_divide(F.col("s") - F.col("_si") * F.col("_s") / F.col("_n"), F.col("_n") - 1).alias("cov"))
 
 
-def principal_components(vectors: DataFrame, column: str, k: int = 10) -> tuple[DataFrame, DataFrame]:
-    """(components, eigenvectors) of an array<double> column over all rows.
-
-    components: component, eigenvalue, share of the kept and of the total
-    variance in percent, and the running share. eigenvectors: component,
-    coordinate, value; signs make the largest entry positive. Rows are reduced
-    on the executors; what comes back is as wide as one vector.
-    """
-    from pyspark.ml.feature import PCA
-    from pyspark.ml.functions import array_to_vector
-    from pyspark.ml.stat import Summarizer
-
-    rows = vectors.select(array_to_vector(F.col(column).cast("array<double>")).alias("v"))
-    model = PCA(k=k, inputCol="v", outputCol="p").fit(rows)
-    total = float(rows.select(Summarizer.variance(F.col("v")).alias("s")).first()["s"].toArray().sum())
-    vec = model.pc.toArray()
-    val = model.explainedVariance.toArray() * total
-    vec = vec * np.sign(vec[np.abs(vec).argmax(axis=0), range(vec.shape[1])])
-    kept, run = float(val.sum()), np.cumsum(val)
-    spark = vectors.sparkSession
-    comp = [(i + 1, float(v), 100.0 * float(v) / kept, 100.0 * float(v) / total, 100.0 * float(run[i]) / kept)
-            for i, v in enumerate(val)]
-    ev = [(i + 1, c, float(vec[c, i])) for i in range(vec.shape[1]) for c in range(vec.shape[0])]
-    return (
-        spark.createDataFrame(comp, "component int, eigenvalue double, variance_explained_percent double, "
-                                    "variance_total_percent double, cumulative_percent double"),
-        spark.createDataFrame(ev, "component int, coordinate int, eigenvector_value double"))
-
-
-def projections(vectors: DataFrame, column: str, eigenvectors: DataFrame, keep: Sequence[str]) -> DataFrame:
-    """Rows projected on components (centred): keep…, component, projection."""
-    mean = vectors.select(F.posexplode(column).alias("coordinate", "_v")).groupBy("coordinate").agg(F.avg("_v").alias("_mean"))
-    # Both tables are as wide as one vector times the number of components.
-    e = eigenvectors.join(mean, "coordinate").groupBy("component").agg(
-        F.sort_array(F.collect_list(F.struct("coordinate", "eigenvector_value", "_mean"))).alias("_e"))
-    all_e = e.agg(F.sort_array(F.collect_list(F.struct("component", "_e"))).alias("_all"))
-    d = vectors.join(F.broadcast(all_e)).select(*keep, column, F.explode("_all").alias("_c"))
-    prod = F.zip_with(column, F.col("_c._e"), lambda v, w: (v.cast("double") - w["_mean"]) * w["eigenvector_value"])
-    return d.select(*keep, F.col("_c.component").alias("component"), F.aggregate(prod, F.lit(0.0), lambda a, b: a + b).alias("projection"))
-
-
 def frame_table(torsion: DataFrame, rmsd: DataFrame, keys: Sequence[str], frame: str, timestep: float, keep: Sequence[str] = ()) -> DataFrame:
     """frame, time, phi, psi and RMSD side by side; ``keep`` names further torsion columns such as the residue."""
     return torsion.join(rmsd, [*keys, frame]).select(
         *keys, frame, *keep, (F.col(frame) * timestep).alias("time_ps"), "phi_deg", "psi_deg", "rmsd_angstrom")
 
 
-def frame_pairs(vectors: DataFrame, ident: str, column: str, eps: float, atoms: int, pivots: int = 3) -> DataFrame:
-    """Frames with RMSD <= eps (no superposition): (i, j, rmsd), i < j.
-
-    RMSD is a metric, so |rmsd(i, p) - rmsd(j, p)| <= eps for any frame p. The
-    distances to a few pivot frames make a small grid of cell size eps; only
-    frames in equal or neighbouring cells are compared, exactly.
-    """
-    v = F.col(column).cast("array<double>")
-    base = vectors.select(F.col(ident).alias("_id"), v.alias("_v"))
-    # ``pivots`` frames, spread by id hash; a fixed small number.
-    piv = base.orderBy(F.xxhash64("_id"), "_id").limit(pivots).agg(F.collect_list("_v").alias("_p"))
-    rms = lambda a, b: F.sqrt(F.aggregate(F.zip_with(a, b, lambda s, t: (s - t) * (s - t)), F.lit(0.0), lambda x, y: x + y) / F.lit(float(atoms)))
-    d = base.join(F.broadcast(piv)).select(
-        "_id", "_v", F.transform("_p", lambda p: F.floor(rms(F.col("_v"), p) / F.lit(eps)).cast("bigint")).alias("_cell"))
-    offsets = F.array(*[F.array(*[F.lit(o).cast("bigint") for o in off]) for off in _offsets(pivots)])
-    right = d.select(F.col("_id").alias("_id2"), F.col("_v").alias("_v2"), F.explode(F.transform(
-        offsets, lambda o: F.zip_with(F.col("_cell"), o, lambda c, q: c + q))).alias("_cell"))
-    pairs = d.join(right, "_cell").filter(F.col("_id") < F.col("_id2"))
-    return pairs.withColumn("rmsd", rms(F.col("_v"), F.col("_v2"))).filter(F.col("rmsd") <= eps).select(
-        F.col("_id").alias("i"), F.col("_id2").alias("j"), "rmsd")
-
-
-def _offsets(n: int) -> list[tuple[int, ...]]:
-    out: list[tuple[int, ...]] = [()]
-    for _ in range(n):
-        out = [(*o, d) for o in out for d in (-1, 0, 1)]
-    return out
-
-
-def rmsd_to_references(vectors: DataFrame, references: DataFrame, ident: str, column: str, atoms: int, max_references: int = 1000) -> DataFrame:
-    """RMSD of every frame to chosen reference frames; the number of references is checked."""
-    n = references.limit(max_references + 1).count()
-    if n > max_references:
-        raise ValueError(f"more than {max_references} references: use frame_pairs with a cutoff")
-    r = references.agg(F.collect_list(F.struct(F.col(ident).alias("id"), F.col(column).cast("array<double>").alias("v"))).alias("_r"))
-    d = vectors.join(F.broadcast(r)).select(F.col(ident).alias("frame"), F.col(column).alias("_v"), F.explode("_r").alias("_e"))
-    d2 = F.aggregate(F.zip_with("_v", F.col("_e.v"), lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda x, y: x + y)
-    return d.select("frame", F.col("_e.id").alias("reference"), F.sqrt(d2 / F.lit(float(atoms))).alias("rmsd"))
-
-
 def gyration(atoms: DataFrame, keys: Sequence[str], mass: Column) -> DataFrame:
     """Mass-weighted radius of gyration per frame (variance form, centred on the frame's mean first)."""
     mid = atoms.groupBy(*keys).agg(*[F.avg(c).alias(f"_0{c}") for c in XYZ])
@@ -226,21 +127,3 @@ def water_dipoles(atoms: DataFrame, keys: Sequence[str], name: str = "name") ->
     n = F.sqrt(mu["x"] ** 2 + mu["y"] ** 2 + mu["z"] ** 2)
     g = g.withColumn("cos_theta", F.when(n > 0, mu["z"] / n).otherwise(0.0))
     return g.select(*keys, F.col("_oz").alias("z"), "cos_theta", (0.5 * (3 * F.col("cos_theta") ** 2 - 1)).alias("p2"))
-
-
-def density_clusters(pairs: DataFrame, frames: DataFrame, ident: str, min_points: int = 25) -> DataFrame:
-    """Density clusters from pairs within eps: (ident, cluster, core); noise has a null cluster.
-
-    A frame with at least ``min_points`` frames within eps (itself included) is
-    core; cores that are neighbours share a cluster; a border frame joins its
-    nearest core.
-    """
-    both = pairs.select("i", "j", "rmsd").unionByName(pairs.select(F.col("j").alias("i"), F.col("i").alias("j"), "rmsd"))
-    core = both.groupBy("i").agg((F.count(F.lit(1)) + 1).alias("_n")).filter(F.col("_n") >= min_points).select("i")
-    links = pairs.join(core, "i", "left_semi").join(core.withColumnRenamed("i", "j"), "j", "left_semi").select("i", "j")
-    comp = connected_components(core.withColumnRenamed("i", "id"), links, "i", "j")
-    border = (both.join(core.withColumnRenamed("i", "j"), "j", "left_semi").join(core, "i", "left_anti")
-              .groupBy("i").agg(F.min_by("j", F.struct("rmsd", "j")).alias("j")))
-    named = comp.select(F.col("id").alias(ident), F.col("component").alias("cluster"), F.lit(True).alias("core"))
-    edge = border.join(comp, border.j == comp.id).select(F.col("i").alias(ident), F.col("component").alias("cluster"), F.lit(False).alias("core"))
-    return frames.select(ident).join(named.unionByName(edge), ident, "left").withColumn("core", F.coalesce("core", F.lit(False)))

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from moltables.operators import frames as R
 from moltables.operators import histograms as H
+from moltables.operators import principal as P
 from moltables.operators import trajectory as J
 from moltables.plans.registry import big, query, rounded, rs, table
 
@@ -92,17 +94,37 @@ def _vectors(spark, sf):
     return table(spark, sf, "embeddings").select(F.col("vec_id").alias("frame"), F.transform("embedding", lambda x: x.cast("double")).alias("v"))
 
 
-@query(None)
+# Leading eigenvectors one after the other: the covariance squared thirty times, its largest column, and what that explains taken off.
+_PCA = """x0 as (select vec_id, embedding::double[] v from embeddings where embedding is not null),
+mean as (select list(a order by i) m from (select i, avg(v[i]) a from x0, range(1, 65) r(i) group by i)),
+x as (select vec_id, list_transform(range(1, 65), lambda k: v[k] - m[k]) d from x0, mean),
+cov as (select list(r order by i) c from (select i, list(s order by j) r from (select a.i i, b.i j, sum(d[a.i] * d[b.i]) / (count(*) - 1) s from x, range(1, 65) a(i), range(1, 65) b(i) group by all) group by i)),
+p as (select 1 comp, 0 step, c, c p, null::double val, null::double[] vec from cov
+  union all
+  select case when step < 30 then comp else comp + 1 end, case when step < 30 then step + 1 else 0 end, c2,
+    case when step < 30 then list_transform(q, lambda r: list_transform(r, lambda t: t / list_sum(list_transform(range(1, 65), lambda k: q[k][k])))) else c2 end, val2, u
+  from (select *, case when u is null then c else list_transform(range(1, 65), lambda i: list_transform(range(1, 65), lambda j: c[i][j] - val2 * u[i] * u[j])) end c2
+    from (select *, list_dot_product(u, list_transform(c, lambda r: list_dot_product(r, u))) val2
+      from (select *, list_transform(w, lambda t: t / sqrt(list_dot_product(w, w)) * sign(w[list_position(list_transform(w, lambda t2: abs(t2)), list_max(list_transform(w, lambda t3: abs(t3))))])) u
+        from (select *, case when step < 30 then list_transform(p, lambda r: list_transform(p, lambda s: list_dot_product(r, s))) end q,
+            case when step = 30 then p[list_position(list_transform(range(1, 65), lambda k: p[k][k]), list_max(list_transform(range(1, 65), lambda k2: p[k2][k2])))] end w
+          from p where comp <= 10))))),
+e as (select (comp - 1)::int component, val, vec from p where vec is not null)"""
+
+
+@query(f"""with recursive {_PCA}, t as (select list_sum(list_transform(range(1, 65), lambda k: c[k][k])) total from cov)
+select component, {rs('val')} as eigenvalue, {rs('100 * val / sum(val) over ()')} as variance_explained_percent, {rs('100 * val / total')} as variance_total_percent,
+  {rs('100 * sum(val) over (order by component) / sum(val) over ()')} as cumulative_percent from e, t""")
 def principal_component_table(spark, sf):
-    comp, _ = J.principal_components(_vectors(spark, sf), "v", 10)
+    comp, _ = P.principal_components(_vectors(spark, sf), "v", 10)
     return comp.withColumns({c: rounded(c, 6) for c in comp.columns if c != "component"})
 
 
-@query(None)
+@query(f"with recursive {_PCA} select vec_id as frame, component, {rs('list_dot_product(d, vec)', 5)} as projection from x, e")
 def principal_projections(spark, sf):
     v = _vectors(spark, sf)
-    _, ev = J.principal_components(v, "v", 10)
-    return J.projections(v, "v", ev, ["frame"]).withColumn("projection", rounded("projection", 5))
+    _, ev = P.principal_components(v, "v", 10)
+    return P.projections(v, "v", ev, ["frame"]).withColumn("projection", rounded("projection", 5))
 
 
 # Frames of one point each, spread along the order key: the number of near frames does not grow with the table.
@@ -119,7 +141,41 @@ def _single_points(spark, sf):
 
 @query(f"with {_PAIRS} select i, j, {rs('rmsd')} as rmsd from p1")
 def close_frame_pairs(spark, sf):
-    return J.frame_pairs(_single_points(spark, sf), "frame", "v", _EPS, 1).withColumn("rmsd", rounded("rmsd"))
+    return R.frame_pairs(_single_points(spark, sf), "frame", "v", _EPS, 1).withColumn("rmsd", rounded("rmsd"))
+
+
+# Frames of 64 values, every pair of them compared in the SQL.
+_NEAR = 0.25
+_NEAR_PAIRS = f"""g as (select vec_id id, embedding::double[] v from embeddings where embedding is not null),
+w as (select a.id i, b.id j, sqrt(pow(list_distance(a.v, b.v), 2) / 22.0) rmsd from g a join g b on a.id < b.id), n as (select * from w where rmsd <= {_NEAR})"""
+
+
+@query(f"with {_NEAR_PAIRS} select i, j, {rs('rmsd')} as rmsd from n")
+def near_frame_pairs(spark, sf):
+    return R.frame_pairs(_vectors(spark, sf), "frame", "v", _NEAR, 22).withColumn("rmsd", rounded("rmsd"))
+
+
+_SIEVED = f"""{_NEAR_PAIRS}, p as (select i, j, rmsd from n union all select j, i, rmsd from n), q as (select * from p where i % 3 = 0 and j % 3 = 0),
+core as (select i from q group by 1 having count(*) + 1 >= 4), l as (select i, j from q where i in (select i from core) and j in (select i from core)),
+reach as (select i, i as c from core union select l.i, r.c from l join reach r on r.i = l.j), comp as (select i, min(c) c from reach group by 1),
+b as (select i, arg_min(j, (rmsd, j)) j from p where i not in (select i from core) and j in (select i from core) group by 1),
+s as (select id as frame, coalesce(comp.c, bc.c) as cluster, comp.c is not null as core from g left join comp on comp.i = id left join b on b.i = id left join comp bc on bc.i = b.j)"""
+
+
+def _sieved(spark, sf):
+    return R.sieved_clusters(_vectors(spark, sf), "frame", "v", _NEAR, 22, min_points=4, sieve=3)
+
+
+@query(f"with recursive {_SIEVED} select * from s")
+def sieved_frame_clusters(spark, sf):
+    return _sieved(spark, sf)
+
+
+@query(f"""with recursive {_SIEVED} , c as (select frame // 100 as block, cluster, count(*) as frames from s group by all)
+select block, cluster, frames, {rs('frames / sum(frames) over (partition by block)::double', 8)} as fraction from c""")
+def cluster_population_over_time(spark, sf):
+    d = R.population_over_time(_sieved(spark, sf), F.floor(F.col("frame") / 100))
+    return d.withColumn("fraction", rounded("fraction", 8))
 
 
 @query(f"""
@@ -128,7 +184,7 @@ select e.vec_id as frame, r.vec_id as reference, {rs("sqrt(list_sum(list_transfo
 """)
 def rmsd_to_reference_frames(spark, sf):
     v = _vectors(spark, sf)
-    return J.rmsd_to_references(v, v.filter("frame < 5"), "frame", "v", 22).withColumn("rmsd", rounded("rmsd"))
+    return R.rmsd_to_references(v, v.filter("frame < 5"), "frame", "v", 22).withColumn("rmsd", rounded("rmsd"))
 
 
 @query(f"""with {_F}, w as (select *, case nm when 0 then 14.0 else 12.0 end m from f), c as (select frame, sum(m*x)/sum(m) cx, sum(m*y)/sum(m) cy, sum(m*z)/sum(m) cz from w group by 1)
@@ -138,13 +194,13 @@ def gyration_radii(spark, sf):
     return J.gyration(frames(spark, sf), ["frame"], m).withColumn("rg", rounded("rg"))
 
 
-@query(f"""with {_F}, {_RMSD}, h as (select label, floor(rmsd / 0.02)::int bin, count(*) c from m join (select distinct frame, label from f) using (frame) where rmsd < 0.6 group by all)
-select label, bin, c as count, {rs('c / sum(c) over (partition by label)::double', 8)} as fraction from (select distinct label from f) join (select range::int bin from range(30)) on true left join h using (label, bin) where c is not null""")
+@query(f"""with {_F}, {_RMSD}, h as (select label, floor(rmsd / 0.02)::int bin, count(*) c from m join (select distinct frame, label from f) using (frame) group by all)
+select label, bin, coalesce(c, 0) as count, {rs('coalesce(c, 0) / sum(c) over (partition by label)::double', 8)} as fraction from (select distinct label from f) join (select unnest(range((select max(bin) + 1 from h)))::int bin) on true left join h using (label, bin)""")
 def rmsd_histogram_by_replica(spark, sf):
     f = frames(spark, sf)
     r = J.backbone_rmsd(f, [], "frame", ["atom"]).join(f.select("frame", "label").distinct(), "frame")
-    # Bin numbers come from the same division on both sides; empty bins are left out here.
-    h = H.binned_means(r, "rmsd_angstrom", ["rmsd_angstrom"], 0.0, 0.02, 30, ["label"]).filter("count > 0")
+    top = r.agg(F.coalesce(F.floor(F.max("rmsd_angstrom") / 0.02), F.lit(-1))).first()[0]
+    h = H.binned_means(r, "rmsd_angstrom", ["rmsd_angstrom"], 0.0, 0.02, int(top) + 1, ["label"])
     tot = h.groupBy("label").agg(F.sum("count").alias("t"))
     return h.join(tot, "label").select("label", "bin", "count", rounded(F.col("count") / F.col("t"), 8).alias("fraction"))
 
@@ -190,8 +246,8 @@ select o_orderkey as frame, coalesce(comp.c, bc.c) as cluster, comp.c is not nul
 """)
 def density_based_clusters(spark, sf):
     v = _single_points(spark, sf)
-    pairs = J.frame_pairs(v, "frame", "v", _EPS, 1)
-    return J.density_clusters(pairs, v.select("frame"), "frame", 5)
+    pairs = R.frame_pairs(v, "frame", "v", _EPS, 1)
+    return R.density_clusters(pairs, v.select("frame"), "frame", 5)
 
 
 @query("select vec_id as frame, vec_id * 0.5::double as time_ps from embeddings")

@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 
 from moltables.operators import features as X
 from moltables.operators import fits
+from moltables.operators import frames as R
 from moltables.operators import similarity as M
 from moltables.operators import structure as S
-from moltables.operators import trajectory as J
 from moltables.functions.sequence import find_exact, helix_types
 
 
@@ -121,23 +121,11 @@ def test_frame_pairs_by_brute_force(spark):
     rng = np.random.default_rng(3)
     v = rng.normal(size=(60, 6))
     d = spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(v)], "f int, v array<double>")
-    got = {(r["i"], r["j"]) for r in J.frame_pairs(d, "f", "v", 1.2, 2).collect()}
+    got = {(r["i"], r["j"]) for r in R.frame_pairs(d, "f", "v", 1.2, 2).collect()}
     want = {(i, j) for i in range(60) for j in range(i + 1, 60) if np.sqrt(((v[i] - v[j]) ** 2).sum() / 2) <= 1.2}
     assert got == want
 
 
-def test_principal_components(spark):
-    rng = np.random.default_rng(3)
-    v = rng.normal(size=(50, 5)) * np.array([5, 3, 1, 0.5, 0.1])
-    d = spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(v)], "f int, v array<double>")
-    comp, ev = J.principal_components(d, "v", 3)
-    want = np.sort(np.linalg.eigvalsh(np.cov(v.T)))[::-1]
-    got = [r["eigenvalue"] for r in comp.orderBy("component").collect()]
-    assert np.allclose(got, want[:3])
-    pr = J.projections(d, "v", ev, ["f"]).groupBy("component").agg(F.var_samp("projection").alias("v")).orderBy("component").collect()
-    assert np.allclose([r["v"] for r in pr], want[:3])
-
-
 def test_ring_bonds_are_not_rotatable(spark):
     ring = [(1, 2), (2, 3), (3, 4), (4, 1), (4, 5), (5, 6), (6, 7)]
     b = spark.createDataFrame([("m", k + 1, a, c, "1") for k, (a, c) in enumerate(ring)], "mol string, num int, a1 int, a2 int, type string")
