@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from moltables.functions.compound_ids import number_of, tranche_of
@@ -109,22 +109,13 @@ def vendor_lookup(codes: DataFrame, supplier_codes: DataFrame, supplier_map: Dat
 
 
 def new_registry_rows(batch: DataFrame, registry: DataFrame | None, key: str, order: str, required: str) -> DataFrame:
-    """Insert-or-ignore: first row per unseen key; rows without the required value are skipped."""
+    """Insert-or-ignore: first row per unseen key, a null key being one key; rows without the required value are skipped."""
     cols = [c for c in batch.columns if c != key]
     first = batch.filter(F.col(required).isNotNull()).groupBy(key).agg(
         F.min_by(F.struct(*cols), F.col(order)).alias("_r")).select(key, "_r.*")
-    return first if registry is None else first.join(registry.select(key), key, "left_anti")
-
-
-def add_to_registry(spark: SparkSession, batch: DataFrame, path: str, key: str, order: str, required: str) -> None:
-    """Append the new rows to a parquet registry, creating it when absent."""
-    try:
-        registry = spark.read.parquet(path)
-    except Exception as e:  # the table does not exist yet
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        registry = None
-    new_registry_rows(batch, registry, key, order, required).write.mode("append").parquet(path)
+    if registry is None:
+        return first
+    return first.join(registry.select(F.col(key).alias("_known")), F.col(key).eqNullSafe(F.col("_known")), "left_anti")
 
 
 def find(df: DataFrame, column: str, value) -> DataFrame:

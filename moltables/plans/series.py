@@ -263,4 +263,4 @@ def streamed_registry(spark, sf):
     for run in range(2):  # the second pass finds nothing new
         stream = spark.readStream.schema(schema).option("pathGlobFilter", "customer.parquet").parquet(sf)
         ST.grow_registry(stream, out, "c_custkey", "c_custkey", "c_name", shared_folder(spark, f"registry-progress-{run}")).awaitTermination()
-    return spark.read.parquet(out).select("c_custkey", "c_name")
+    return ST.read_table(spark, out).select("c_custkey", "c_name")

@@ -2,17 +2,15 @@
 
 from __future__ import annotations
 
-import gzip
-import io
 import re
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from moltables.sources.lines import in_order, number, word
 
+# Fixed values of the pose files: the record's end, and the remarks that hold names, scores, SMILES and distances.
 ENDMDL = "ENDMDL\n"
 
 
@@ -98,46 +96,3 @@ def split_pose_text(chunks: Iterator[str]) -> Iterator[tuple[str, float | None,
     row = done()
     if row:
         yield row
-
-
-def _unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        for path, content in zip(pdf["path"], pdf["content"], strict=True):
-            rows, size = [], 0
-            stream = io.BytesIO(content)
-            raw = gzip.GzipFile(fileobj=stream) if content[:2] == b"\x1f\x8b" else stream
-            text = io.TextIOWrapper(raw, encoding="utf-8", errors="replace")
-            for i, (name, energy, body) in enumerate(split_pose_text(text)):
-                rows.append((path, i, name, energy, body))
-                size += len(body)
-                if size > 8_000_000:  # send a batch on; memory holds one batch, not the archive
-                    yield pd.DataFrame(rows, columns=["file", "ordinal", "name", "energy", "text"])
-                    rows, size = [], 0
-            if rows:
-                yield pd.DataFrame(rows, columns=["file", "ordinal", "name", "energy", "text"])
-
-
-def read_pose_archives(spark: SparkSession, path: str) -> DataFrame:
-    """Poses of gzip archives whose suffix hides the codec (``*.mol2.gz.0``), one task per file."""
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.mapInPandas(_unpack, "file string, ordinal int, name string, energy double, text string")
-
-
-def _gzip_state(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        out = []
-        for path, content in zip(pdf["path"], pdf["content"], strict=True):
-            try:
-                with gzip.GzipFile(fileobj=io.BytesIO(content)) as g:
-                    while g.read(1 << 20):
-                        pass
-                out.append((path, True, None))
-            except (OSError, EOFError) as e:
-                out.append((path, False, type(e).__name__))
-        yield pd.DataFrame(out, columns=["file", "ok", "error"])
-
-
-def archive_states(spark: SparkSession, path: str) -> DataFrame:
-    """(file, ok, error): archives that do not unpack are reported, not raised."""
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.mapInPandas(_gzip_state, "file string, ok boolean, error string")

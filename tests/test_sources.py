@@ -1,10 +1,11 @@
 import gzip
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from moltables.operators.scores import run_totals
-from moltables.sources import documents, mol2, poses, scores, simulation, structures, tables
+from moltables.sources import archives, documents, mol2, poses, scores, simulation, structures, tables
 from moltables.sources.lines import read_lines
 from moltables.streaming import scores as stream
 
@@ -92,9 +93,9 @@ def test_pose_files(spark, write, tmp_path):
     (tmp_path / "arc").mkdir()
     (tmp_path / "arc" / "test.mol2.gz.0").write_bytes(gzip.compress(text.encode()))
     (tmp_path / "arc" / "test.mol2.gz.1").write_bytes(gzip.compress(text.encode())[:40])
-    ok = {r["file"][-1]: r["ok"] for r in poses.archive_states(spark, str(tmp_path / "arc")).collect()}
+    ok = {r["file"][-1]: r["ok"] for r in archives.archive_states(spark, str(tmp_path / "arc")).collect()}
     assert ok == {"0": True, "1": False}
-    arc = poses.read_pose_archives(spark, str(tmp_path / "arc" / "test.mol2.gz.0"))
+    arc = archives.read_pose_archives(spark, str(tmp_path / "arc" / "test.mol2.gz.0"))
     from moltables.operators.scores import best_poses
     best, missing = best_poses(arc, spark.createDataFrame([("Z1",), ("Z2",)], "name string"))
     assert [(r["name"], r["energy"], r["ordinal"]) for r in best.collect()] == [("Z1", -4.5, 1)]
@@ -141,5 +142,45 @@ def test_streams(spark, tmp_path):
     got = {r["compound"]: (r["score"], r["row"]) for r in stream.current_best(spark, out).collect()}
     assert got == {"a": (1.0, 3), "b": (2.0, 2), "c": (9.0, 4)}
     st = stream.score_stream(spark, src, schema)
-    stream.append_new_targets(st, "compound_id", str(tmp_path / "t"), str(tmp_path / "c2")).awaitTermination()
-    assert spark.read.parquet(str(tmp_path / "t")).count() == 4
+    stream.append_new_targets(st, "compound_id", str(tmp_path / "t"), str(tmp_path / "c2"))
+    assert stream.read_table(spark, str(tmp_path / "t")).count() == 4
+    stream.compact_best(spark, out)
+    assert stream.BatchTable(spark, out).read().count() == 3
+    assert {r["compound"]: (r["score"], r["row"]) for r in stream.current_best(spark, out).collect()} == got
+
+
+def test_a_batch_that_failed_half_way_runs_again(spark, tmp_path, monkeypatch):
+    """The second batch is lost after its rows are written, before it counts; the run goes on from its own beginning."""
+    src, out, ckpt = str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "c")
+    schema = "key string, n int"
+    old = spark.createDataFrame([("a", 0)], schema)
+    old.write.parquet(src)
+    stream.append_new_targets(stream.score_stream(spark, src, schema), "key", out, ckpt)
+    for k in range(1, 4):  # three files, a file a batch; target b comes in all of them, a is known
+        spark.createDataFrame([("a", k), ("b", k)], schema).coalesce(1).write.mode("append").parquet(src)
+    note, calls = stream.BatchTable.note, []
+
+    def lost(self, kind, source, batch, *rest):
+        calls.append(kind)
+        if kind == "batch" and calls.count("batch") == 2:
+            raise RuntimeError("lost")
+        note(self, kind, source, batch, *rest)
+    monkeypatch.setattr(stream.BatchTable, "note", lost)
+    with pytest.raises(Exception, match="lost"):
+        stream.append_new_targets(stream.score_stream(spark, src, schema, files_per_trigger=1), "key", out, ckpt)
+    monkeypatch.setattr(stream.BatchTable, "note", note)
+    assert len(list((tmp_path / "out" / "rows").iterdir())) == 3 and stream.read_table(spark, out).count() == 2
+    stream.append_new_targets(stream.score_stream(spark, src, schema, files_per_trigger=1), "key", out, ckpt)
+    assert sorted((r["key"], r["n"]) for r in stream.read_table(spark, out).collect()) == [("a", 0), ("b", 1), ("b", 2), ("b", 3)]
+    stream.BatchTable(spark, out).compact()
+    stream.append_new_targets(stream.score_stream(spark, src, schema), "key", out, ckpt)
+    assert stream.read_table(spark, out).count() == 4
+
+
+def test_registry_takes_a_null_key_once(spark, tmp_path):
+    src, out = str(tmp_path / "in"), str(tmp_path / "out")
+    schema = "key string, at int, v string"
+    for k in range(3):
+        spark.createDataFrame([(None, k, "x"), ("a", k, "y"), (f"n{k}", k, None)], schema).coalesce(1).write.mode("append").parquet(src)
+        stream.grow_registry(stream.score_stream(spark, src, schema), out, "key", "at", "v", str(tmp_path / "c")).awaitTermination()
+    assert sorted((str(r["key"]), r["at"]) for r in stream.read_table(spark, out).collect()) == [("None", 0), ("a", 0)]
