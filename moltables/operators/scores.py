@@ -10,6 +10,7 @@ from pyspark.sql import Window
 
 from moltables.functions.units import KT, KT_TO_KCAL
 from moltables.operators.ordered import ordered, running_count_at
+from moltables.session import stable
 
 RANDOM_LOG_AUC = 0.14462
 
@@ -143,16 +144,12 @@ def part_preferences(df: DataFrame, compound: str, receptor: str, energy: str, s
     return out.select(compound, "part", (F.col("_in") / (F.col("_in") + F.col("_all") - F.col("_only_in"))).alias("preference"))
 
 
-def density_corrected_preferences(
-    poses: DataFrame, neighbours: DataFrame, compound: str = "compound", receptor: str = "receptor", energy: str = "energy",
-    n_dist: int = 10, dof: float = 1.0, kt: float = KT,
-) -> DataFrame:
-    """Part preferences with weights e^(-E/kT) / (n / r_k^dof).
+def kth_from_list(neighbours: DataFrame, compound: str = "compound", n_dist: int = 10) -> DataFrame:
+    """(compound, pose, rmsd, _k): the value at index k of each pose's ascending distances (compound, pose, rmsd) to the other poses.
 
-    neighbours: (compound, pose, rmsd), the nearest other poses of each pose, at
-    least n_dist + 1 of them where the compound has that many. r_k is the value
-    at index k of the ascending list; k is clamped to the rows every pose of the
-    compound has and is not below the largest number of zero distances.
+    k is n_dist, not below the largest number of zero distances of a pose of
+    the compound and not above the number of distances every pose has; an index
+    past the end means the last value.
     """
     per_pose = neighbours.groupBy(compound, "pose").agg(
         F.count(F.lit(1)).alias("_m"), F.count_if(F.col("rmsd") == 0).alias("_z"))
@@ -160,8 +157,54 @@ def density_corrected_preferences(
         compound, "_hi", F.least(F.greatest(F.lit(n_dist), F.col("_lo")), F.col("_hi")).alias("_k"))
     w = Window.partitionBy(compound, "pose").orderBy("rmsd")
     nth = neighbours.withColumn("_i", F.row_number().over(w) - 1).join(clamp, compound)
-    # An index past the end of the list means its last value.
-    nth = nth.filter(F.col("_i") == F.least(F.col("_k"), F.col("_hi") - 1))
+    return nth.filter(F.col("_i") == F.least(F.col("_k"), F.col("_hi") - 1)).select(compound, "pose", "rmsd", "_k")
+
+
+def kth_on_line(poses: DataFrame, compound: str, pose: str, value: str, n_dist: int = 10) -> DataFrame:
+    """The same from poses that are numbers: the k + 1 nearest are neighbours in sorted order, some on each side.
+
+    How many on the left is searched for by halves: with more on the left, the
+    left end is farther and the right one nearer. Every half is a join on the
+    place in the order, so no list of distances exists, however many are equal.
+    """
+    d = ordered(poses.select(compound, pose, value), [compound], [value, pose]).row_number("_at").result()
+    equal = d.groupBy(compound, value).agg(F.count("*").alias("_e"))
+    size = equal.groupBy(compound).agg(F.sum("_e").alias("_all"), (F.max("_e") - 1).alias("_z"))
+    size = size.filter("_all > 1").withColumn("_k", F.least(F.greatest(F.lit(n_dist), F.col("_z")), F.col("_all") - 1))
+    d = stable(d.join(size.withColumn("_want", F.least(F.col("_k") + 1, F.col("_all") - 1)), compound))
+    value_at = d.select(F.col(compound).alias("_c"), F.col("_at").alias("_p"), F.col(value).alias("_v"))
+
+    def ends(rows: DataFrame, left: Column) -> DataFrame:
+        """Distances to the ends of a neighbourhood with so many on the left: null where it does not fit in."""
+        rows = rows.withColumn("_a", left)
+        for name, place in (("_l", F.col("_at") - F.col("_a")), ("_r", F.col("_at") + F.col("_want") - F.col("_a"))):
+            other = value_at.select(F.col("_c").alias("_c2"), F.col("_p").alias("_p2"), F.col("_v").alias(name))
+            rows = rows.join(other, (F.col(compound) == F.col("_c2")) & (place == F.col("_p2")), "left").drop("_c2", "_p2")
+        return rows.withColumn("_l", F.col(value) - F.col("_l")).withColumn("_r", F.col("_r") - F.col(value))
+    least = F.greatest(F.lit(0), F.col("_want") - (F.col("_all") - F.col("_at")))
+    most = F.least(F.col("_want"), F.col("_at") - 1)
+    d = d.withColumn("_lo", least).withColumn("_hi", most + 1).withColumn("_min", least).withColumn("_max", most)
+    widest = d.agg(F.max(F.col("_hi") - F.col("_lo"))).first()[0] or 0
+    for _ in range(int(widest).bit_length()):  # least number on the left whose left end is not nearer than the right one
+        d = ends(d, F.floor((F.col("_lo") + F.col("_hi")) / 2).cast("long"))
+        open_ = F.col("_lo") < F.col("_hi")
+        far = F.col("_l") >= F.col("_r")
+        d = d.withColumns({"_lo": F.when(open_ & ~far, F.col("_a") + 1).otherwise(F.col("_lo")), "_hi": F.when(open_ & far, F.col("_a")).otherwise(F.col("_hi"))})
+        d = stable(d.drop("_a", "_l", "_r"))
+    none = F.lit(float("inf"))
+    d = ends(d, F.col("_lo")).withColumn("_one", F.when(F.col("_lo") <= F.col("_max"), F.greatest("_l", "_r")).otherwise(none)).drop("_a", "_l", "_r")
+    d = ends(d, F.col("_lo") - 1).withColumn("_two", F.when(F.col("_lo") > F.col("_min"), F.greatest("_l", "_r")).otherwise(none))
+    return d.select(compound, F.col(pose).alias("pose"), F.least("_one", "_two").alias("rmsd"), "_k")
+
+
+def density_corrected_preferences(
+    poses: DataFrame, nth: DataFrame, compound: str = "compound", receptor: str = "receptor", energy: str = "energy",
+    dof: float = 1.0, kt: float = KT,
+) -> DataFrame:
+    """Part preferences with weights e^(-E/kT) / (k / r_k^dof).
+
+    nth: (compound, pose, rmsd, _k) of ``kth_from_list`` or ``kth_on_line``.
+    """
     low = poses.groupBy(compound).agg(F.min(energy).alias("_low"))
     # Equal poses have an r_k of 0 where all of a compound's other poses are equal too; they have no weight then.
     weighted = poses.join(nth.select(compound, "pose", "rmsd", "_k"), [compound, "pose"]).join(low, compound).withColumn(

@@ -326,14 +326,15 @@ def linear_fit_bands(spark, sf):
 
 
 @query(f"""
-with d as (select embedding[1]::double a, embedding[2]::double b, embedding[3]::double z from embeddings),
+with d as (select embedding[3 * i + 1]::double a, embedding[3 * i + 2]::double b, embedding[3 * i + 3]::double z from embeddings, range(22) r(i)),
 m as (select floor((z + 0.4) / 0.04)::int bin, count(*) c, avg(a) ma, avg(b) mb from d where z >= -0.4 and z < 0.4 group by 1)
 select r.bin::int as bin, {rs("-0.4 + (r.bin + 0.5) * 0.04", 8)} as center, coalesce(c, 0) as count, {rs("ma", 8)} as mean_a, {rs("mb", 8)} as mean_b
 from range(20) r(bin) left join m using (bin)
 """)
 def axis_binned_means(spark, sf):
-    e = F.col("embedding")
-    d = table(spark, sf, "embeddings").select(e[0].cast("double").alias("a"), e[1].cast("double").alias("b"), e[2].cast("double").alias("z"))
+    at = lambda i: F.get("embedding", i).cast("double")
+    pts = F.transform(F.sequence(F.lit(0), F.lit(21)), lambda i: F.struct(at(3 * i).alias("a"), at(3 * i + 1).alias("b"), at(3 * i + 2).alias("z")))
+    d = table(spark, sf, "embeddings").select(F.explode(pts).alias("p")).select("p.*")  # the last point lacks b and z
     m = H.binned_means(d, "z", ["a", "b"], -0.4, 0.04, 20)
     return m.withColumns({c: rounded(c, 8) for c in ("center", "mean_a", "mean_b")})
 

@@ -215,7 +215,7 @@ def receptor_part_preferences(spark, sf):
 with e as (select user_id, event_id, value, event_type from events),
 n as (select a.user_id, a.event_id, abs(a.value - b.value) r, row_number() over (partition by a.user_id, a.event_id order by abs(a.value - b.value)) k
   from e a join e b on a.user_id = b.user_id and a.event_id <> b.event_id),
-z as (select user_id, event_id, count(*) filter (r = 0) z, count(*) m from n where k <= 6 group by all),
+z as (select user_id, event_id, count(*) filter (r = 0) z, count(*) m from n group by all),
 c as (select user_id, least(greatest(3, max(z)), min(m)) k, min(m) m from z group by 1),
 w as (select e.user_id, e.event_type, exp(-(-value / 100 - lo) / 0.593) / (c.k / n.r) w from e join c using (user_id)
   join n on n.user_id = e.user_id and n.event_id = e.event_id and n.k - 1 = least(c.k, c.m - 1) join (select user_id, min(-value / 100) lo from e group by 1) l on l.user_id = e.user_id)
@@ -224,15 +224,7 @@ select user_id as compound, event_type as part, {rs("sum(w) / any_value(t)", 7)}
 def density_corrected_part_preferences(spark, sf):
     e = table(spark, sf, "events").select(F.col("user_id").alias("compound"), F.col("event_id").alias("pose"), "value",
                                           F.col("event_type").alias("receptor"), (-F.col("value") / 100).alias("energy"))
-    # Nearest poses on a line: three shifts each way in sorted order hold the three nearest; six rows per pose.
-    o = O.ordered(e, ["compound"], ["value", "pose"])
-    prev, nxt = F.col("value"), F.col("value")
-    for i in range(6):
-        o = o.scan(lags={f"p{i}": prev}, leads={f"n{i}": nxt})
-        prev, nxt = F.col(f"p{i}"), F.col(f"n{i}")
-    near = F.slice(F.sort_array(F.array_compact(F.array(*[F.abs(F.col("value") - F.col(f"{s}{i}")) for s in "pn" for i in range(6)]))), 1, 6)
-    nb = o.result().select("compound", "pose", F.explode(near).alias("rmsd"))
-    d = D.density_corrected_preferences(e, nb, n_dist=3)
+    d = D.density_corrected_preferences(e, D.kth_on_line(e, "compound", "pose", "value", 3))
     return d.withColumn("preference", rounded("preference", 7))
 
 

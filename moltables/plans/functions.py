@@ -209,22 +209,22 @@ def masses_from_names(spark, sf):
 
 
 @query(f"""
-with e as (select vec_id, embedding v from embeddings),
-p as (select vec_id, v[1]::double ax, v[2]::double ay, v[3]::double az, v[4]::double bx, v[5]::double b_y, v[6]::double bz, v[7]::double cx, v[8]::double cy, v[9]::double cz,
+with e as (select vec_id, o::int as first_point, embedding[3 * o + 1:3 * o + 12] v from embeddings, range(18) r(o)),
+p as (select vec_id, first_point, v[1]::double ax, v[2]::double ay, v[3]::double az, v[4]::double bx, v[5]::double b_y, v[6]::double bz, v[7]::double cx, v[8]::double cy, v[9]::double cz,
   v[10]::double dx, v[11]::double dy, v[12]::double dz from e),
 q as (select *, sqrt(pow(ax-bx,2)+pow(ay-b_y,2)+pow(az-bz,2)) ab, sqrt(pow(bx-cx,2)+pow(b_y-cy,2)+pow(bz-cz,2)) bc, sqrt(pow(ax-cx,2)+pow(ay-cy,2)+pow(az-cz,2)) ac,
   bx-ax ux, b_y-ay uy, bz-az uz, cx-bx vx, cy-b_y vy, cz-bz vz, dx-cx wx, dy-cy wy, dz-cz wz from p),
 r as (select *, uy*vz-uz*vy n1x, uz*vx-ux*vz n1y, ux*vy-uy*vx n1z, vy*wz-vz*wy n2x, vz*wx-vx*wz n2y, vx*wy-vy*wx n2z from q),
 s as (select *, degrees(acos(greatest(-1, least(1, (n1x*n2x+n1y*n2y+n1z*n2z)/(sqrt(n1x*n1x+n1y*n1y+n1z*n1z)*sqrt(n2x*n2x+n2y*n2y+n2z*n2z)))))) t,
   (n1y*n2z-n1z*n2y)*vx+(n1z*n2x-n1x*n2z)*vy+(n1x*n2y-n1y*n2x)*vz sg from r)
-select vec_id, {rs("ab")} as distance, {rs("degrees(acos(greatest(-1, least(1, (ab*ab+bc*bc-ac*ac)/(2*ab*bc)))))", 5)} as angle,
+select vec_id, first_point, {rs("ab")} as distance, {rs("degrees(acos(greatest(-1, least(1, (ab*ab+bc*bc-ac*ac)/(2*ab*bc)))))", 5)} as angle,
   {rs("case when sg < 0 then -t else t end", 5)} as dihedral from s
 """)
 def distances_angles_dihedrals(spark, sf):
-    e = F.col("embedding")
-    pt = [G.point(*[e[3 * i + j].cast("double") for j in range(3)]) for i in range(4)]
-    return table(spark, sf, "embeddings").select(
-        "vec_id", rounded(G.distance(pt[0], pt[1])).alias("distance"), rounded(G.angle(*pt[:3]), 5).alias("angle"),
+    pt = [G.point(*[F.get("embedding", 3 * (F.col("first_point") + i) + j).cast("double") for j in range(3)]) for i in range(4)]
+    d = table(spark, sf, "embeddings").withColumn("first_point", F.explode(F.sequence(F.lit(0), F.lit(17))))  # four points of 21 in a row
+    return d.select(
+        "vec_id", "first_point", rounded(G.distance(pt[0], pt[1])).alias("distance"), rounded(G.angle(*pt[:3]), 5).alias("angle"),
         rounded(G.dihedral(*pt), 5).alias("dihedral"))
 
 
