@@ -49,7 +49,19 @@ def stable(df: DataFrame) -> DataFrame:
     """
     path = shared_folder(df.sparkSession, "stable")
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._stable_path = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete tables that ``stable`` wrote, once what was made of them is written. Others are left alone."""
+    for t in tables:
+        path = getattr(t, "_stable_path", None)
+        if path:
+            spark = t.sparkSession
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
