@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from moltables.session import stable
+from moltables.session import forget, stable
 
 
 def _star(e: DataFrame, large: bool) -> DataFrame:
@@ -38,7 +38,8 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     mark = F.struct(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0)))
     seen = e.select(mark.alias("m")).first()["m"]
     while seen[0]:
-        e = stable(_star(_star(e, large=True), large=False))
+        last, e = e, stable(_star(_star(e, large=True), large=False))
+        forget(last)
         now = e.select(mark.alias("m")).first()["m"]
         if now == seen:
             break

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from moltables.llm.common import documents, query, slices, with_bytes
 from moltables.llm.components import components
-from moltables.session import shuffle_width, stable
+from moltables.session import forget, shuffle_width, stable
 
 WIDTH = 5
 PERCENT = 75
@@ -228,20 +228,23 @@ def _signed(pairs: DataFrame, signs: DataFrame, percent: int) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, signs: DataFrame, texts: DataFrame, percent: int, width: int) -> DataFrame:
-    """Pairs whose whole sets reach the threshold.
+    """Those of the written pairs whose whole sets reach the threshold, written; ``pairs`` is deleted.
 
     Signatures go first. Then only the texts of the pairs left are cut into
     shingles again; a bitmap of their ids, of a fixed size, finds them where
     they are, without a shuffle.
     """
-    pairs = stable(_signed(stable(pairs), signs, percent))
+    candidates, pairs = pairs, stable(_signed(pairs, signs, percent))
+    forget(candidates)
     wanted = bitmap(pairs.select(F.explode(F.array("a", "b")).alias("d")).select(F.xxhash64("d").alias("hash")), "hash")
     shared = texts.sparkSession.sparkContext.broadcast(wanted)
     sets = stable(texts.withColumn("hash", F.xxhash64("doc_id")).mapInArrow(_sets(width, shared), "doc_id long, grams array<long>"))
     d = (pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("grams").alias("ga")), "a")
          .join(sets.select(F.col("doc_id").alias("b"), F.col("grams").alias("gb")), "b"))
     both = F.size(F.array_intersect("ga", "gb"))
-    return d.filter(100 * both >= percent * (F.size("ga") + F.size("gb") - both)).select("a", "b").distinct()
+    out = stable(d.filter(100 * both >= percent * (F.size("ga") + F.size("gb") - both)).select("a", "b").distinct())
+    forget(pairs, sets)
+    return out
 
 
 def _with_weight(columns: DataFrame, percent: int) -> DataFrame:
@@ -252,7 +255,10 @@ def _with_weight(columns: DataFrame, percent: int) -> DataFrame:
     """
     rows = stable(columns.groupBy("h").agg(F.count("*").alias("rows")))
     per = columns.join(rows, "h").groupBy("doc", "n").agg((F.sum("rows") / (F.col("n") - _needed_alone(F.col("n"), percent) + 1)).alias("weight"))
-    return columns.join(stable(per), ["doc", "n"])
+    per = stable(per)
+    out = stable(columns.join(per, ["doc", "n"]))
+    forget(rows, per)
+    return out
 
 
 def _column_stars(columns: DataFrame, percent: int) -> DataFrame:
@@ -261,7 +267,9 @@ def _column_stars(columns: DataFrame, percent: int) -> DataFrame:
     first = columns.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= CENTRES)
     first = stable(first.select("h", "doc", "n", "pos"))
     d = columns.alias("q").join(first.alias("p"), "h").filter(F.col("q.doc") != F.col("p.doc")).filter(_reachable("p", "q", percent))
-    return _accumulated(d.select(F.col("p.doc").alias("a"), F.col("q.doc").alias("b"), F.col("p.n").alias("n"), F.col("q.n").alias("m")), percent)
+    out = stable(_accumulated(d.select(F.col("p.doc").alias("a"), F.col("q.doc").alias("b"), F.col("p.n").alias("n"), F.col("q.n").alias("m")), percent))
+    forget(first)
+    return out
 
 
 def _close(a: str, b: str, percent: int) -> Column:
@@ -286,13 +294,16 @@ def _column_products(columns: DataFrame, comp: DataFrame, signs: DataFrame, perc
     crowded = rows.filter(F.col("rows") > CROWD).join(signs.select(F.col("doc_id").alias("doc"), "n", "sig"), ["doc", "n"])
     rows = rows.filter(F.col("rows") <= CROWD).withColumn("sig", F.lit(None).cast("array<long>")).unionByName(crowded)
     rows = rows.withColumn("k", F.ceil(F.col("rows") / ROW_BLOCK).cast("int")).drop("rows").withColumn("r", F.pmod(F.xxhash64("doc"), "k").cast("int"))
-    rows = stable(rows).withColumn("s", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+    dealt = stable(rows)
+    rows = dealt.withColumn("s", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
     names = ["h", "doc", "n", "pos", "c", "sig"]
     left = rows.select(*names, F.col("r").alias("x"), F.col("s").alias("y"))
     right = rows.select(*names, F.col("s").alias("x"), F.col("r").alias("y"))
     d = left.alias("p").join(right.alias("q"), ["h", "x", "y"]).filter((F.col("p.doc") < F.col("q.doc")) & (F.col("p.c") != F.col("q.c")))
     d = d.filter(_reachable("p", "q", percent) & _close("p", "q", percent))
-    return _accumulated(d.select(F.col("p.doc").alias("a"), F.col("q.doc").alias("b"), F.col("p.n").alias("n"), F.col("q.n").alias("m")), percent)
+    out = stable(_accumulated(d.select(F.col("p.doc").alias("a"), F.col("q.doc").alias("b"), F.col("p.n").alias("n"), F.col("q.n").alias("m")), percent))
+    forget(c, open_, dealt)
+    return out
 
 
 def near_duplicate_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, width: int = WIDTH) -> DataFrame:
@@ -322,10 +333,13 @@ def near_duplicate_components(docs: DataFrame, id_col: str = "doc_id", text_col:
     entries = reps.select(F.col("doc_id").alias("doc"), "n", F.posexplode("prefix").alias("pos", "h"))
     # Columns of one row have no product. The entries are dealt by column, and the single ones go before anything else is done.
     dealt = entries.repartition(shuffle_width(spark), "h").sortWithinPartitions("h").mapInArrow(_drop_single, "h long, doc long, n long, pos int")
-    columns = stable(_with_weight(stable(dealt), percent))
+    dealt = stable(dealt)
+    columns = _with_weight(dealt, percent)
+    forget(dealt, counts)
     links = stable(_verified(_column_stars(columns, percent), known, texts, percent, width).union(ties))
     comp = stable(components(links, "a", "b"))
-    more = stable(_verified(_column_products(columns, comp, known, percent), known, texts, percent, width))
+    more = _verified(_column_products(columns, comp, known, percent), known, texts, percent, width)
+    forget(columns)
     chain = comp.select(F.col("node").alias("a"), F.col("component").alias("b"))
     comp = stable(components(chain.union(more), "a", "b"))
     node = member.groupBy("doc_id").agg(F.min("rep").alias("rep"))
