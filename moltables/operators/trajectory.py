@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from moltables.operators.features import products
@@ -24,14 +24,13 @@ def residue_backbone(atoms: DataFrame, keys: Sequence[str]) -> DataFrame:
 def torsions(atoms: DataFrame, keys: Sequence[str], fill_zero: bool = False) -> DataFrame:
     """phi and psi of every residue of every frame; null (or 0) without both neighbours' atoms.
 
-    Neighbours are the residues numbered one less and one more, found by one
-    equi-join per side.
+    Neighbours are the residues numbered one less and one more; they are the
+    rows before and after in one window over a chain of a frame, if the numbers fit.
     """
-    r = residue_backbone(atoms, keys)
-    prev = r.select(*keys, "chain", (F.col("resseq") + 1).alias("resseq"), F.col("C").alias("_pc"))
-    nxt = r.select(*keys, "chain", (F.col("resseq") - 1).alias("resseq"), F.col("N").alias("_nn"))
     on = [*keys, "chain", "resseq"]
-    d = r.join(prev, on, "left").join(nxt, on, "left")
+    w = Window.partitionBy(*keys, "chain").orderBy("resseq")
+    beside = lambda move, step, c: F.when(move("resseq").over(w) == F.col("resseq") + step, move(c).over(w))
+    d = residue_backbone(atoms, keys).withColumns({"_pc": beside(F.lag, -1, "C"), "_nn": beside(F.lead, 1, "N")})
     both = F.col("_pc").isNotNull() & F.col("_nn").isNotNull() & F.col("N").isNotNull() & F.col("CA").isNotNull() & F.col("C").isNotNull()
     other = F.lit(0.0) if fill_zero else F.lit(None).cast("double")
     phi = F.when(both, dihedral(F.col("_pc"), F.col("N"), F.col("CA"), F.col("C"))).otherwise(other)

@@ -38,6 +38,18 @@ def response_correlations(spark, sf):
     return d.withColumns({"r": rounded("r", 7), "r2": rounded("r2", 7), "f_score": rounded("f_score", 4)})
 
 
+# Under no correlation r has the density (1 - x^2)^((n - 4) / 2) / B(1/2, (n - 2) / 2), summed here by Simpson's rule from |r| to 1.
+@query(f"""with {_LONG}, c as (select feature, count(*) n, coalesce(corr(value, label), 0) r from l group by 1),
+s as (select feature, n, r, sum(case when k = 0 or k = 4000 then 1 when k % 2 = 1 then 4 else 2 end
+  * pow(greatest(0, 1 - pow(abs(r) + (1 - abs(r)) * k / 4000.0, 2)), (n - 4) / 2.0)) * (1 - abs(r)) / 12000.0 area from c, range(4001) x(k) group by feature, n, r)
+select feature, n, {rs('2 * area / exp(lgamma(0.5) + lgamma((n - 2) / 2.0) - lgamma((n - 1) / 2.0))', 7)} as p_value,
+  {rs('2 * area / exp(lgamma(0.5) + lgamma((n - 2) / 2.0) - lgamma((n - 1) / 2.0))', 7)} as f_p_value from s""")
+def correlation_p_values(spark, sf):
+    d = X.correlations(long(spark, sf).withColumn("label", F.col("label").cast("double")), "feature", "value", "label")
+    p = X.with_p_values(d)
+    return p.select("feature", "n", rounded("p_value", 7).alias("p_value"), rounded("f_p_value", 7).alias("f_p_value"))
+
+
 @query(f"""with {_LONG}, g as (select feature, label, count(*)::double n, avg(value) m, var_pop(value) v from l group by all),
 a as (select feature, count(*)::int classes, sum(n) n, sum(n * m * m) - sum(n * m) * sum(n * m) / sum(n) b, sum(n * v) w from g group by 1)
 select feature, classes, n::bigint as n, {rs('(b / (classes - 1)) / (w / (n - classes))', 6)} as f_score from a""")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from moltables.functions import residues as R
 from moltables.operators import structure as X
-from moltables.plans.registry import big, query, rounded, rs, table
+from moltables.plans.registry import big, fitted_rmsd, query, rounded, rs, table
 
 TYPES = {"A": "C.3", "N": "N.am", "R": "O.2"}
 _TYPE = "case l_returnflag when 'A' then 'C.3' when 'N' then 'N.am' else 'O.2' end"
@@ -248,3 +248,12 @@ def superposed_molecules(spark, sf):
     a = atoms(spark, sf)
     fit = X.superpose(X.matched_by_order(a, a.withColumn("mol", F.col("mol") - 1), ["mol"], "serial"), ["mol"])
     return X.moved(a, fit, ["mol"]).select("mol", "serial", *[rounded(c, 5).alias(c) for c in "xyz"])
+
+
+@query(f"""with {_A}, pt as (select a.mol, a.x::double x, a.y::double y, a.z::double z, b.x::double rx, b.y::double ry, b.z::double rz from a join a b on b.mol = a.mol + 1 and b.serial = a.serial),
+{fitted_rmsd("pt", "mol")} select mol, {rs('rmsd', 4)} as rmsd from fit""")
+def superposed_rmsd(spark, sf):
+    """RMSD of every molecule's best fit on the one with the next key."""
+    a = atoms(spark, sf)
+    fit = X.superpose(X.matched_by_order(a, a.withColumn("mol", F.col("mol") - 1), ["mol"], "serial"), ["mol"])
+    return fit.select("mol", rounded("rmsd", 4).alias("rmsd"))

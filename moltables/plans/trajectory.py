@@ -8,7 +8,8 @@ from moltables.operators import frames as R
 from moltables.operators import histograms as H
 from moltables.operators import principal as P
 from moltables.operators import trajectory as J
-from moltables.plans.registry import big, query, rounded, rs, table
+from moltables.operators.structure import superpose_alpha_carbons
+from moltables.plans.registry import big, fitted_rmsd, query, rounded, rs, table
 
 
 def frames(spark, sf):
@@ -254,3 +255,12 @@ def density_based_clusters(spark, sf):
 def frame_times(spark, sf):
     from moltables.operators.series import frame_time
     return table(spark, sf, "embeddings").select(F.col("vec_id").alias("frame"), frame_time(big("vec_id"), 0.5).alias("time_ps"))
+
+
+@query(f"""with {_F}, pt as (select a.frame, a.x, a.y, a.z, b.x rx, b.y ry, b.z rz from f a join f b on b.frame = a.frame + 1 and b.atom = a.atom where a.nm = 1 and a.res between 1 and 5),
+{fitted_rmsd("pt", "frame")} select frame, {rs('rmsd', 5)} as rmsd from fit""")
+def alpha_carbon_fits(spark, sf):
+    """Fit of the alpha carbons of residues 1 to 5 of each frame on the next frame's."""
+    f = frames(spark, sf)
+    fit = superpose_alpha_carbons(f, f.withColumn("frame", F.col("frame") - 1), 1, 5, ["frame"])
+    return fit.select("frame", rounded("rmsd", 5).alias("rmsd"))
