@@ -220,8 +220,12 @@ def plateau_verdict(df: DataFrame, keys: Sequence[str], time: str, value: str, s
 
 
 def demultiplex(frames: DataFrame, index: DataFrame, slot: str = "slot", time: str = "time") -> DataFrame:
-    """Attach the walker that sat in a slot at a time; index: (time, slot, walker)."""
-    return frames.join(index, [slot, time])
+    """Attach the walker that sat in a slot at a time; index: (time, slot, walker).
+
+    Both sides are shuffled: the planner takes an index made by ``explode`` for
+    as small as its source and would broadcast it.
+    """
+    return frames.join(index.hint("merge"), [slot, time])
 
 
 def cumulative_share(df: DataFrame, order: str, value: str, out: str, keys: Sequence[str] = ()) -> DataFrame:

@@ -2,7 +2,10 @@
 
 import numpy as np
 
+from pyspark.sql import functions as F
+
 from moltables.operators import frames as R
+from moltables.operators import series as S
 from moltables.operators import structure as X
 from moltables.operators import variance as V
 
@@ -71,3 +74,13 @@ def test_many_small_cells_and_crowded_ones(spark, monkeypatch):
 def test_cells_are_not_grouped_in_python(spark):
     d = spark.createDataFrame([(i, [float(i)]) for i in range(40)], "f long, v array<double>")
     assert "CoGroup" not in plan_of(R.frame_pairs(d, "f", "v", 2.0, 1))
+
+
+def test_an_exploded_index_is_not_broadcast(spark, tmp_path):
+    frames = stored(spark.createDataFrame([(i, i % 3, i % 2) for i in range(12)], "event long, slot long, time long"), tmp_path / "f")
+    who = stored(spark.createDataFrame([(0, 100), (1, 101), (1, 102), (None, 103)], "slot long, walker long"), tmp_path / "w")
+    index = who.select("slot", "walker", F.explode(F.array(F.lit(0).cast("long"), F.lit(1).cast("long"))).alias("time"))
+    d = S.demultiplex(frames, index)
+    assert "BroadcastExchange" not in plan_of(d)
+    want = [(i, 100) for i in range(12) if i % 3 == 0] + [(i, w) for i in range(12) if i % 3 == 1 for w in (101, 102)]
+    assert sorted((r["event"], r["walker"]) for r in d.collect()) == sorted(want)
