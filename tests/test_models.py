@@ -2,6 +2,8 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from moltables.operators import features as X
@@ -154,3 +156,28 @@ def test_rules_folds_and_selection(spark):
     assert {r["group_label"] for r in lab.select("group_label").distinct().collect()} == {"A", "B"}
     curve = X.greedy_selection(lab, ["res_1", "res_2"], "group_label", "replicate", max_k=2)
     assert curve[0][2] == ["res_1"] and curve[0][1] > 0.9
+
+
+def test_similar_pairs_come_out_of_blocks_alone(spark):
+    """Sets of many sizes in blocks of the same and of neighbouring size classes; no table of candidates, which grow with the square of the rows, is shuffled."""
+    r = random.Random(8)
+    base = [r.sample(range(200), r.randint(1, 60)) for _ in range(10)]
+    data = [(i, sorted({x for x in r.choice(base) if r.random() > 0.2} | {r.randrange(200)})) for i in range(150)]
+    reps, _ = M.distinct_fingerprints(spark.createDataFrame(data, "id int, bits array<int>"), "id", "bits")
+    kept = {x["id"]: x["bits"] for x in reps.collect()}
+    for t in (0.3, 0.6):
+        got = M.similar_pairs(reps, t)
+        want = {(a, b): jac(kept[a], kept[b]) for a in kept for b in kept if a < b and jac(kept[a], kept[b]) >= t}
+        assert {(x["a"], x["b"]): x["similarity"] for x in got.collect()} == want
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "array_intersect" not in plan and plan.count("FlatMapGroupsInArrow") >= 1
+    lists = pa.array([kept[i] for i in sorted(kept)], pa.list_(pa.int32()))
+    for places, tile in ((1 << 22, 1 << 20), (8, 5)):
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(M, "PLACES", places)
+            m.setattr(M, "TILE", tile)
+            for left in (len(lists), 40):
+                i, j, s = M.block_pairs(lists, left, 0.5)
+                sets = lists.to_pylist()
+                want = {(a, b): jac(sets[a], sets[b]) for a in range(left) for b in range(a + 1 if left == len(lists) else left, len(lists)) if jac(sets[a], sets[b]) >= 0.5}
+                assert dict(zip(zip(i.tolist(), j.tolist()), s.tolist())) == want
