@@ -51,15 +51,16 @@ def success_rates(
     )
     below = F.col("_p") / F.lit(factor)
     sweep = values.select("_g", F.explode(F.array(
-        F.struct(F.col("_p").alias("at"), F.col("_w").alias("w"), F.lit(False).alias("ask")),
-        F.struct(below.alias("at"), F.lit(0).cast("bigint").alias("w"), F.lit(True).alias("ask")),
+        F.struct(F.col("_p").alias("at"), F.col("_w").alias("w"), F.col("_p")),
+        F.struct(below.alias("at"), F.lit(0).cast("bigint").alias("w"), F.col("_p")),
     )).alias("e")).select("_g", "e.*")
-    counts = running_count_at(sweep, ["_g"], "at", F.col("w"), "_c", hot)
     sizes = df.groupBy(F.col(group).alias("_g")).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > min_size)
-    rates = (
-        values.withColumn("at", below).join(counts, ["_g", "at"]).join(sizes, "_g")
-        .select("_g", "_p", (F.col("_c") / F.col("_n")).alias("_rate"))
-    )
+    if hot:
+        counts = values.withColumn("at", below).join(running_count_at(sweep, ["_g"], "at", F.col("w"), "_c", hot), ["_g", "at"])
+    else:  # the asking rows, of weight 0, keep their potency, so neither an aggregate nor a join is needed to come back to it
+        upto = Window.partitionBy("_g").orderBy("at").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+        counts = sweep.withColumn("_c", F.sum("w").over(upto)).filter("w = 0")
+    rates = counts.join(sizes, "_g").select("_g", "_p", (F.col("_c") / F.col("_n")).alias("_rate"))
     on = (F.col(group) == F.col("_g")) & (F.col(potency) == F.col("_p"))
     return df.join(rates, on, "left").withColumn(out, F.coalesce("_rate", F.lit(0.0))).drop("_g", "_p", "_rate")
 

@@ -4,6 +4,7 @@ import numpy as np
 
 from pyspark.sql import functions as F
 
+from moltables.operators import assays as A
 from moltables.operators import frames as R
 from moltables.operators import series as S
 from moltables.operators import structure as X
@@ -84,3 +85,17 @@ def test_an_exploded_index_is_not_broadcast(spark, tmp_path):
     assert "BroadcastExchange" not in plan_of(d)
     want = [(i, 100) for i in range(12) if i % 3 == 0] + [(i, w) for i in range(12) if i % 3 == 1 for w in (101, 102)]
     assert sorted((r["event"], r["walker"]) for r in d.collect()) == sorted(want)
+
+
+def test_success_rates_read_each_value_once(spark):
+    """The count at a tenth of a potency stays beside it: nothing is aggregated by the doubled values, and they are not joined again."""
+    rows = [(g, p) for g in (1, 2) for p in (1.0, 1.0, 10.0, 10.0, 100.0, 50.0, 2.0)] + [(1, None), (3, 1.0), (3, 10.0), (None, 10.0)]
+    d = spark.createDataFrame(rows, "g long, p double")
+    got = A.success_rates(d, "g", "p")
+    plan = plan_of(got)
+    assert plan.count("Generate ") == 1 and plan.count("Join") == 2
+    def share(g, p):
+        mine = [y for x, y in rows if x == g and g is not None]
+        return sum(y is not None and y <= p / 10 for y in mine) / len(mine) if len(mine) > 5 and p is not None else 0.0
+    for d in (got, A.success_rates(d, "g", "p", hot=True)):
+        assert sorted((x["g"] or 0, x["p"] or 0, x["prop_10x"]) for x in d.collect()) == sorted((g or 0, p or 0, share(g, p)) for g, p in rows)
