@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from moltables.operators.ordered import Ordered, ordered, ordered_by_block
 
 PLACE = ("file", "block", "seq")
+#: Set in the metadata of ``block`` where every file is a single block; kept by filters and added columns.
+WHOLE = "whole_file"
 
 
 def read_lines(spark: SparkSession, path: str | Sequence[str], sep: str | None = None, **options: str) -> DataFrame:
@@ -35,10 +37,13 @@ def lines_from(df: DataFrame, file: Column, order: Column, value: Column, hot: b
     d = df.select(file.alias("file"), order.alias("seq"), value.alias("value"))
     o = ordered(d, ["file"], ["seq"], hot)
     block = F.col(o.block) if o.block else F.lit(0)
-    return o.df.select("file", block.cast("bigint").alias("block"), "seq", "value")
+    return o.df.select("file", block.cast("bigint").alias("block", metadata={} if o.block else {WHOLE: True}), "seq", "value")
 
 
 def in_order(lines: DataFrame) -> Ordered:
+    """Scans over the lines of a file. Files of one block need no carry between blocks, which reads the lines a second time."""
+    if lines.schema["block"].metadata.get(WHOLE):
+        return ordered(lines, ["file"], ["seq"])
     return ordered_by_block(lines, ["file"], "block", ["seq"])
 
 

@@ -184,3 +184,17 @@ def test_registry_takes_a_null_key_once(spark, tmp_path):
         spark.createDataFrame([(None, k, "x"), ("a", k, "y"), (f"n{k}", k, None)], schema).coalesce(1).write.mode("append").parquet(src)
         stream.grow_registry(stream.score_stream(spark, src, schema), out, "key", "at", "v", str(tmp_path / "c")).awaitTermination()
     assert sorted((str(r["key"]), r["at"]) for r in stream.read_table(spark, out).collect()) == [("None", 0), ("a", 0)]
+
+
+def test_files_of_one_block_are_read_once(spark):
+    """Rendered lines need no carry between blocks; those cut into ranges do."""
+    from moltables.sources import structures as ST
+    from moltables.sources.lines import lines_from
+
+    rows = [(f, 10 * m + i, v) for f in (1, 2) for m in range(3) for i, v in enumerate(["MODEL", f"ATOM  {m:5d}", "ENDMDL"])]
+    d = spark.createDataFrame(rows, "f long, at long, v string")
+    want = sorted((str(f), at, v, at // 10) for f, at, v in rows)
+    for hot, joins in ((False, 0), (True, 1)):
+        got = ST.numbered_models(lines_from(d, d["f"].cast("string"), d["at"], d["v"], hot=hot))
+        assert sorted((r["file"], r["seq"], r["value"], r["model"]) for r in got.collect()) == want
+        assert got._jdf.queryExecution().optimizedPlan().toString().count("Join") == joins
