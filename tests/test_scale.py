@@ -1,11 +1,15 @@
 """Plans and bounds that keep large tables off the driver and out of single tasks."""
 
+import math
+
 import numpy as np
 
 from pyspark.sql import functions as F
 
+from moltables.functions.units import KT
 from moltables.operators import assays as A
 from moltables.operators import frames as R
+from moltables.operators import scores as D
 from moltables.operators import series as S
 from moltables.operators import structure as X
 from moltables.operators import variance as V
@@ -99,3 +103,20 @@ def test_success_rates_read_each_value_once(spark):
         return sum(y is not None and y <= p / 10 for y in mine) / len(mine) if len(mine) > 5 and p is not None else 0.0
     for d in (got, A.success_rates(d, "g", "p", hot=True)):
         assert sorted((x["g"] or 0, x["p"] or 0, x["prop_10x"]) for x in d.collect()) == sorted((g or 0, p or 0, share(g, p)) for g, p in rows)
+
+
+def test_few_neighbours_are_looked_up_by_offsets(spark):
+    """Only the sizes of the compounds are joined, by compound; the weights are made in one pass."""
+    rows = [("a", i, float(i * i % 17), "P.Q" if i % 2 else "P") for i in range(12)] + [("b", 1, 2.0, None), ("b", 2, 3.0, "Q"), ("c", 1, 1.0, "P")]
+    d = spark.createDataFrame(rows, "compound string, pose int, value double, receptor string").withColumn("energy", -F.col("value"))
+    nth = D.kth_on_line(d, "compound", "pose", "value", 3)
+    assert plan_of(nth).count("Join ") == 1
+    got = D.density_corrected_preferences(d, nth)
+    assert plan_of(got).count("Join ") == 3
+    w, low = {}, {c: min(-v for x, _, v, _ in rows if x == c) for c in "abc"}
+    for r in nth.collect():
+        v = next(x[2] for x in rows if (x[0], x[1]) == (r["compound"], r["pose"]))
+        w[r["compound"], r["pose"]] = math.exp(-(-v - low[r["compound"]]) / KT) / (r["_k"] / r["rmsd"])
+    total = {c: sum(x for (k, _), x in w.items() if k == c) for c in "ab"}
+    want = {(c, p): sum(w[x[0], x[1]] for x in rows if x[0] == c and x[3] and p in x[3].split(".")) / total[c] for c, p in (("a", "P"), ("a", "Q"), ("b", "Q"))}
+    assert {(r["compound"], r["part"]): round(r["preference"], 9) for r in got.collect()} == {k: round(x, 9) for k, x in want.items()}
