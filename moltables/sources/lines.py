@@ -33,8 +33,12 @@ def read_lines(spark: SparkSession, path: str | Sequence[str], sep: str | None =
 
 
 def lines_from(df: DataFrame, file: Column, order: Column, value: Column, hot: bool = False) -> DataFrame:
-    """Lines rendered from a table; with ``hot`` (one or few huge files) they are cut into range blocks."""
-    d = df.select(file.alias("file"), order.alias("seq"), value.alias("value"))
+    """Lines rendered from a table; with ``hot`` (one or few huge files) they are cut into range blocks.
+
+    A line is rendered once: it is the only element of an exploded list, as
+    filters on parsed columns would else take the rendering into each of their terms.
+    """
+    d = df.select(file.alias("file"), order.alias("seq"), F.explode(F.array(value)).alias("value"))
     o = ordered(d, ["file"], ["seq"], hot)
     block = F.col(o.block) if o.block else F.lit(0)
     return o.df.select("file", block.cast("bigint").alias("block", metadata={} if o.block else {WHOLE: True}), "seq", "value")

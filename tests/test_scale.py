@@ -13,6 +13,9 @@ from moltables.operators import scores as D
 from moltables.operators import series as S
 from moltables.operators import structure as X
 from moltables.operators import variance as V
+from moltables.sources import sinks as SK
+from moltables.sources import structures as ST
+from moltables.sources.lines import lines_from
 
 
 def plan_of(df):
@@ -105,6 +108,17 @@ def test_success_rates_read_each_value_once(spark):
         assert sorted((x["g"] or 0, x["p"] or 0, x["prop_10x"]) for x in d.collect()) == sorted((g or 0, p or 0, share(g, p)) for g, p in rows)
 
 
+def test_a_line_is_rendered_once(spark):
+    """Filters on what is parsed from a line do not render it again."""
+    d = spark.range(8).select("id", (F.col("id") / 2).alias("x"))
+    value = SK.pdb_atom_line(F.lit("ATOM"), F.col("id"), F.lit("CA"), F.lit("ALA"), F.lit("A"), F.col("id"), F.col("x"), F.col("x"), F.col("x"), F.lit(1.0), F.lit(0.0), F.lit("S"), F.lit("C"))
+    got, _ = ST.pdb_atoms(lines_from(d, F.lit("f"), F.col("id"), value))
+    assert plan_of(got).count("format_string(") == 1
+    assert [(r["serial"], r["x"]) for r in got.orderBy("seq").collect()] == [(i, i / 2) for i in range(8)]
+    nulls = lines_from(d, F.lit("f"), F.col("id"), F.when(F.col("id") > 2, F.lit("a")))
+    assert sorted((r["seq"], r["value"]) for r in nulls.collect()) == [(i, "a" if i > 2 else None) for i in range(8)]
+
+
 def test_few_neighbours_are_looked_up_by_offsets(spark):
     """Only the sizes of the compounds are joined, by compound; the weights are made in one pass."""
     rows = [("a", i, float(i * i % 17), "P.Q" if i % 2 else "P") for i in range(12)] + [("b", 1, 2.0, None), ("b", 2, 3.0, "Q"), ("c", 1, 1.0, "P")]
