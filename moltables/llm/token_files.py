@@ -16,6 +16,7 @@ file that nobody reads.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import struct
@@ -25,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -40,6 +42,18 @@ REMEMBERED = 1_000_000
 MARK = b"\x01"
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 1
+#: What a tokenizer does to a text before its merges, where that is known to be nothing for the pieces below but mapping bytes.
+KNOWN_STEPS = (
+    {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    {"type": "Sequence", "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]},
+)
+#: Lower-case letters of Latin-1 (as UTF-8), single digits, and runs of ASCII marks other than the apostrophe.
+_LETTERS = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])++")
+_PLAIN = re.compile(rb"(?:[a-z0-9!-&(-/:-@\[-`{-~]|\xc3[\x9f-\xb6\xb8-\xbf])++")
+_PIECES = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])++|[0-9]|[!-&(-/:-@\[-`{-~]++|\n")
+_LETTER_AND_MARK = r"([a-z\x{df}-\x{f6}\x{f8}-\x{ff}])([!-&(-/:-@\[-`{-~])"
 
 
 def mask(crc: int) -> int:
@@ -71,6 +85,8 @@ class _Encoder:
     """Encodes words between ASCII white space, which the tokenizer drops, and remembers them up to a bound.
 
     New words go through the tokenizer a thousand at a time, with a mark between them that is one id of its own.
+    Words of plain letters, digits and marks, which ``KNOWN_STEPS`` do not change, are cut where these steps cut them;
+    their pieces, which words share, go through the same merges without these steps.
     """
 
     def __init__(self, path: str):
@@ -82,12 +98,44 @@ class _Encoder:
         self.words: dict[bytes, bytes] = {}
         mark = self.tokenizer.encode(MARK.decode(), add_special_tokens=False).ids
         self.mark = mark[0] if len(mark) == 1 else None
+        with open(path, encoding="utf-8") as f:
+            d = json.load(f)
+        # No plain word holds a special token: they look like <|name|>, and words with <| are not cut.
+        suffix = d["model"].get("end_of_word_suffix")
+        known = suffix and (d.get("normalizer"), d.get("pre_tokenizer")) == KNOWN_STEPS and all(t["content"].startswith("<|") for t in d.get("added_tokens") or [])
+        self.last = np.zeros(self.tokenizer.get_vocab_size(), bool)  # ids that end a piece
+        self.last[[i for t, i in self.tokenizer.get_vocab().items() if known and t.endswith(suffix)]] = True
+        self.merges = Tokenizer.from_str(json.dumps(d | {"normalizer": None, "pre_tokenizer": d["pre_tokenizer"]["pretokenizers"][-1]})) if known else None
+
+    def _learn_plain(self, words: list[bytes]) -> list[bytes]:
+        """Learn the plain ones of new words; returns the others."""
+        new = [w for w in words if _LETTERS.fullmatch(w) and w not in self.words]  # pieces already
+        rest = [w for w in words if not _LETTERS.fullmatch(w)]
+        plain = [w for w in rest if _PLAIN.fullmatch(w) and b"<|" not in w]
+        flat = _PIECES.findall(b"\n".join([*plain, b""]))  # each word ends with a line break
+        new += {p for p in flat if p not in self.words}.difference(new, [b"\n"])
+        for i in range(0, len(new), 1000):
+            some = new[i:i + 1000]
+            ids = np.array(self.merges.encode_batch_fast([b"\n".join(some).decode().split("\n")], is_pretokenized=True, add_special_tokens=False)[0].ids, self.kind)
+            ends = np.flatnonzero(self.last[ids]) + 1
+            raw, n, lo = ids.tobytes(), self.width, 0
+            for p, hi in zip(some, ends.tolist(), strict=True):
+                self.words[p] = raw[lo * n:hi * n]
+                lo = hi
+        ends = [i for i, p in enumerate(flat) if p == b"\n"]
+        get = self.words.__getitem__
+        for w, lo, hi in zip(plain, [0, *[i + 1 for i in ends]], ends):
+            if hi - lo > 1:
+                self.words[w] = b"".join(map(get, flat[lo:hi]))
+        return [w for w in rest if w not in self.words]
 
     def _one_by_one(self, words: list[bytes]) -> None:
         for w, e in zip(words, self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)):
             self.words[w] = np.array(e.ids, self.kind).tobytes()
 
     def _learn(self, words: list[bytes]) -> None:
+        if self.merges is not None:
+            words = self._learn_plain(words)
         for i in range(0, len(words), 1000):
             some = words[i:i + 1000]
             alone = [w for w in some if MARK in w] if self.mark is not None else some
@@ -107,29 +155,44 @@ class _Encoder:
                 self.words[w] = raw[lo * n:hi * n]
                 lo = hi + 1
 
-    def _cut(self, text: bytes) -> list[bytes]:
-        """Words of a text; ASCII letters lose their case in the tokenizer anyway, so words that differ in it only are learned once.
+    def _lowered(self, text: bytes) -> bytes:
+        """A text of the same ids; ASCII letters lose their case in the tokenizer anyway, so words that differ in it only are learned once.
 
         The names of special tokens must not be made by it. The tokenizer composes
         before it lowers, so a letter that a combining mark may follow keeps its
         case: only marks of U+0300 to U+036F (first byte CC or CD) compose with ASCII letters.
         """
         if b"<|" in text or not self.lower:
-            return text.split()
+            return text
         if b"\xcc" in text or b"\xcd" in text:
-            return [w.lower() if w.isascii() else w for w in text.split()]
-        return text.lower().split()
+            return b" ".join([w.lower() if w.isascii() else w for w in text.split()])
+        return text.lower()
 
     def encode(self, texts: list[bytes], end_id: int) -> list[bytes]:
         """Ids of each text with the end id, ``width`` bytes each."""
-        cut = [self._cut(t) for t in texts]
-        seen = set().union(*cut)
+        lowered = pa.array([self._lowered(t) for t in texts], pa.binary())
+        lowered = pa.Array.from_buffers(pa.string(), len(lowered), lowered.buffers())
+        if self.merges is not None:  # a mark after a letter starts a piece: words that differ in their last marks are one
+            lowered = pc.if_else(pc.match_substring(lowered, "<|"), lowered, pc.replace_substring_regex(lowered, _LETTER_AND_MARK, r"\1 \2"))
+        cut = pc.ascii_split_whitespace(lowered)
+        coded = cut.values.dictionary_encode()
+        words = coded.dictionary.cast(pa.binary()).to_pylist()
         if len(self.words) > REMEMBERED:
-            self.words = {w: v for w in seen if (v := self.words.get(w)) is not None}
-        self._learn(sorted(seen - self.words.keys()))
+            self.words = {w: v for w in words if (v := self.words.get(w)) is not None}
+        ids = list(map(self.words.get, words))
+        new = [i for i, v in enumerate(ids) if v is None]
+        self._learn([words[i] for i in new])
+        for i in new:
+            ids[i] = self.words[words[i]]
+        # The ids of each word in its turn, gathered from those of the distinct words.
+        held, codes = np.frombuffer(b"".join(ids), self.kind), coded.indices.to_numpy()
+        lengths = np.fromiter(map(len, ids), np.int64, len(ids)) // self.width
+        sizes = lengths[codes]
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        all_ids = held[np.repeat((np.cumsum(lengths) - lengths)[codes] - ends[:-1], sizes) + np.arange(ends[-1])]
         end = np.array([end_id], self.kind).tobytes()
-        get = self.words.__getitem__
-        return [b"".join([*map(get, words), end]) for words in cut]
+        bounds = ends[cut.offsets.to_numpy()].tolist()
+        return [all_ids[lo:hi].tobytes() + end for lo, hi in zip(bounds, bounds[1:])]
 
     @property
     def lower(self) -> bool:
@@ -174,7 +237,7 @@ def _write_task(folder: str, tokenizer: str, end_id: int, roll: int):
         enc = _ENCODERS[tokenizer]
         part = TaskContext.get().partitionId() if TaskContext.get() else 0
         writer, seq, done = None, 0, []
-        for b in slices(batches, most=2 << 20):
+        for b in slices(batches, most=8 << 20):
             for doc_id, ids in zip(b.column("doc_id").to_pylist(), enc.encode([t or b"" for t in b.column("text").to_pylist()], end_id)):
                 writer = writer or _Writer(folder, part, seq, enc.width)
                 writer.add(doc_id, ids, enc.width)

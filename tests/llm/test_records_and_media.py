@@ -1,5 +1,6 @@
 """Token files, media, pieces: exact round trips."""
 
+import random
 import struct
 import sys
 import unicodedata
@@ -64,6 +65,44 @@ def test_only_marks_of_one_block_compose_with_ascii_letters():
     assert joins and all(c.encode()[0] in (0xCC, 0xCD) for c in joins)
 
 
+def test_plain_words_are_learned_by_their_pieces_only(monkeypatch):
+    e = T._Encoder(WORDS)
+    assert e.lower
+    texts = ["Threshst. threshst, threshst!! (threshst) ñasarñ&&& ñasarñ 1999 x2y a_b-c ... &&", "été.é, -- 10%"]
+    want = [e.tokenizer.encode(t, add_special_tokens=False).ids + [1] for t in texts]
+    sent = []
+    class Seen:
+        def encode_batch_fast(self, lines, **how):
+            sent.extend(lines[0])
+            return merges.encode_batch_fast(lines, **how)
+    merges = e.merges
+    monkeypatch.setattr(e, "merges", Seen())
+    monkeypatch.setattr(e, "tokenizer", None)  # the whole way through the tokenizer is not gone
+    assert [np.frombuffer(raw, e.kind).tolist() for raw in e.encode([t.encode() for t in texts], 1)] == want
+    assert len(sent) == len(set(sent)) and sent.count("threshst") == 1
+
+
+def test_odd_words_are_encoded_as_in_the_whole_text():
+    e = T._Encoder(WORDS)
+    r = random.Random(5)
+    some = [*map(chr, range(1, 0x180)), *"'’`´́̈İıſKÅ٣½²ªµ·中文日本каЙй\u2028\u3000", *["<|endoftext|>", "<|", "|>", "'s", "'ll", "the", "É"] * 4, *" " * 60]
+    texts = ["".join(r.choices(some, k=r.randint(0, 14))) for _ in range(4000)] + ["abc<|endoftext|>. x<| y|>. <|startoftext|>!", "a" * 5000 + "中", "é" * 3000 + "!" * 3000 + "'", "½. ·. ²!. ª."]
+    for t, raw in zip(texts, e.encode([t.encode() for t in texts], 1)):
+        assert np.frombuffer(raw, e.kind).tolist() == e.tokenizer.encode(t, add_special_tokens=False).ids + [1], t
+
+
+def test_another_tokenizer_goes_the_whole_way(tmp_path):
+    import json
+    with open(WORDS, encoding="utf-8") as f:
+        d = json.load(f)
+    path = str(tmp_path / "other.json")
+    with open(path, "w", encoding="utf-8") as f:
+        json.dump(d | {"normalizer": {"type": "Lowercase"}}, f)
+    e = T._Encoder(path)
+    t = "Other words, their ends. ñ!! 12"
+    assert e.merges is None and np.frombuffer(e.encode([t.encode()], 1)[0], e.kind).tolist() == e.tokenizer.encode(t, add_special_tokens=False).ids + [1]
+
+
 def test_broken_frames_are_found():
     f = T.frame(b"some record")
     assert T.unframe(b"xx" + f, 2) == (b"some record", 2 + len(f))
