@@ -329,11 +329,16 @@ def near_duplicate_components(docs: DataFrame, id_col: str = "doc_id", text_col:
     member = stable(known.select("doc_id", "key").join(classes, "key").select("doc_id", "rep"))
     several = member.groupBy("doc_id").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).filter("lo < hi")
     ties = member.join(several, "doc_id").select(F.col("lo").alias("a"), F.col("rep").alias("b"))
-    reps = known.select("doc_id", "n", "key", "prefix").join(classes.select("key", F.col("rep").alias("doc_id")), ["key", "doc_id"]).dropDuplicates(["key", "doc_id"])
+    reps = known.select("doc_id", "n", "key", "prefix").join(classes.select("key", F.col("rep").alias("doc_id")), ["key", "doc_id"])
     entries = reps.select(F.col("doc_id").alias("doc"), "n", F.posexplode("prefix").alias("pos", "h"))
-    # Columns of one row have no product. The entries are dealt by column, and the single ones go before anything else is done.
-    dealt = entries.repartition(shuffle_width(spark), "h").sortWithinPartitions("h").mapInArrow(_drop_single, "h long, doc long, n long, pos int")
-    dealt = stable(dealt)
+    # The entries are the largest table by far, so this is their only shuffle: by column, two numbers in one.
+    # Entries of repeated rows and columns of one row, which have no product, go before anything else is done.
+    entries = entries.select("h", "doc", F.shiftleft("n", 32).bitwiseOR(F.col("pos").cast("long")).alias("at"))
+    dealt = stable(entries.repartition(shuffle_width(spark), "h").sortWithinPartitions("h", "doc", "at").mapInArrow(_drop_single, "h long, doc long, n long, pos int"))
+    # The prefixes have been dealt; what is read from now on is a table without them.
+    whole, rows = rows, stable(rows.drop("prefix"))
+    known = rows.filter("n > 0 and doc_id is not null")
+    forget(whole)
     columns = _with_weight(dealt, percent)
     forget(dealt, counts)
     links = stable(_verified(_column_stars(columns, percent), known, texts, percent, width).union(ties))
@@ -369,23 +374,26 @@ def one_of_each(docs: DataFrame, comp: DataFrame, id_col: str = "doc_id") -> Dat
 
 
 def _drop_single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by ``h`` keep those whose ``h`` occurs again; a run may go on over batches."""
-    names = ["h", "doc", "n", "pos"]
+    """Of rows sorted by ``h``, ``doc`` and ``at`` keep one of equal ones, and those whose ``h`` occurs again; a run may go on over batches."""
+    def out(cols):
+        h, doc, at = cols
+        return pa.RecordBatch.from_arrays([pa.array(h), pa.array(doc), pa.array(at >> 32), pa.array((at & 0xFFFFFFFF).astype(np.int32))], ["h", "doc", "n", "pos"])
     held = None  # last row of the batch before, and whether its column is known to have more rows
     for b in batches:
         if not b.num_rows:
             continue
-        cols = [b.column(c).to_numpy() for c in names]
+        cols = [b.column(c).to_numpy() for c in ("h", "doc", "at")]
         if held is not None:
             cols = [np.concatenate([x, c]) for x, c in zip(held[0], cols)]
+        again = np.logical_and.reduce([c[1:] == c[:-1] for c in cols])
+        cols = [c[np.concatenate([[True], ~again])] for c in cols]
         h = cols[0]
         same = h[1:] == h[:-1]
         keep = np.concatenate([[held is not None and held[1]], same]) | np.concatenate([same, [False]])
-        out = keep[:-1]
-        yield pa.RecordBatch.from_arrays([pa.array(c[:-1][out]) for c in cols], names)
+        yield out([c[:-1][keep[:-1]] for c in cols])
         held = ([c[-1:] for c in cols], bool(keep[-1]))
     if held is not None and held[1]:
-        yield pa.RecordBatch.from_arrays([pa.array(c) for c in held[0]], names)
+        yield out(held[0])
 
 
 _SQL = r"""

@@ -1,11 +1,14 @@
 """Near duplicates and quality rules against plain versions."""
 
 import itertools
+import os
 import random
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
+from moltables import session
 from moltables.llm import ngram_join as N
 from moltables.llm import quality as Q
 from moltables.llm.components import components
@@ -75,6 +78,25 @@ def test_awkward_rows(spark, awkward_docs, empty_docs):
     assert N.near_duplicate_components(empty_docs).count() == 0
 
 
+def test_equal_entries_and_columns_of_one_row_are_dropped_across_batches():
+    rows = sorted([(1, 7, 3, 0)] * 3 + [(2, 7, 3, 1), (2, 8, 4, 0), (2, 8, 4, 0), (3, 9, 5, 2)] + [(4, d, 6, 1) for d in (1, 1, 2, 3, 3)] + [(5, 1, 2, 2), (5, 1, 3, 0)])
+    table = pa.table({"h": [r[0] for r in rows], "doc": [r[1] for r in rows], "at": [r[2] << 32 | r[3] for r in rows]})
+    for size in (1, 2, 3, 100):
+        got = [tuple(r.values()) for b in N._drop_single(iter(table.to_batches(max_chunksize=size))) for r in b.to_pylist()]
+        assert got == [(2, 7, 3, 1), (2, 8, 4, 0), (4, 1, 6, 1), (4, 2, 6, 1), (4, 3, 6, 1), (5, 1, 2, 2), (5, 1, 3, 0)]
+
+
+def test_prefixes_are_deleted_once_they_are_dealt(spark):
+    session.shared_folder(spark, "any")  # the checkpoint folder is set
+    at = spark.sparkContext.getCheckpointDir().removeprefix("file:")
+    before, rows = set(os.listdir(at)), corpus(6, 120)
+    rows += rows[:30] + [(i, t) for (i, _), (_, t) in zip(rows[30:40], rows[40:50])]  # repeated rows, and ids of two texts
+    got = N.near_duplicate_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == len(rows)
+    left = [spark.read.parquet(f"{at}/{f}").columns for f in set(os.listdir(at)) - before]
+    assert left and not any("prefix" in c for c in left)
+
+
 def test_signature_bounds_the_symmetric_difference():
     r = np.random.default_rng(0)
     for _ in range(50):
