@@ -181,3 +181,31 @@ def test_similar_pairs_come_out_of_blocks_alone(spark):
                 sets = lists.to_pylist()
                 want = {(a, b): jac(sets[a], sets[b]) for a in range(left) for b in range(a + 1 if left == len(lists) else left, len(lists)) if jac(sets[a], sets[b]) >= 0.5}
                 assert dict(zip(zip(i.tolist(), j.tolist()), s.tolist())) == want
+
+
+def test_rows_of_similar_pairs_are_not_copied(spark, monkeypatch):
+    """Blocks are written once and read by their tasks: no set goes through the shuffle to each block it meets, and the blocks can be deleted."""
+    monkeypatch.setattr(M, "CELL_ROWS", 3)
+    r = random.Random(12)
+    data = [(i, sorted(r.sample(range(60), r.randint(1, 30))), "ab"[i % 2] if i % 7 else None) for i in range(90)]
+    data += [(100 + i, b[:-1] + [99], g) for i, b, g in data]
+    reps = spark.createDataFrame(data, "id int, bits array<int>, g string")
+    near = M.similar_pairs(reps, 0.5)
+    plan = near._jdf.queryExecution().executedPlan().toString()
+    assert "bits" not in plan and plan.count("FlatMapGroupsInArrow") == 1
+    want = {(a, b): jac(x, y) for a, x, _ in data for b, y, _ in data if a < b and jac(x, y) >= 0.5}
+    assert {(x["a"], x["b"]): x["similarity"] for x in near.collect()} == want and want
+    of = {i: g for i, _, g in data}
+    for kept, group in ((want, None), ({p for p in want if of[p[0]] and of[p[0]] == of[p[1]]}, "g")):
+        got = [(x["a"], x["b"]) for x in M.similar_pairs(reps, 0.5, group).collect()]
+        assert len(got) == len(set(got)) and set(got) == set(kept)
+    assert M.similar_pairs(reps.filter("id < 0"), 0.5).collect() == []
+    M.forget(near)
+    with pytest.raises(Exception):
+        near.collect()
+
+
+def test_blocks_cut_the_weights_into_equal_parts():
+    classes = [(0, 1, 1, 5), (1, 2, 3, 30), (2, 4, 4, 1)]
+    rows, spans = M._blocks(classes, 10)
+    assert rows == [(0, 0, 5), (1, 5, 30), (2, 35, 1)] and spans == [(1, 3), (2, 3), (2, 3), (2, 4)]
